@@ -1,3 +1,4 @@
 """Imports every module that registers named queries."""
 
 from wardlight.plans import registry  # noqa: F401
+from wardlight.plans import queries_shapes  # noqa: F401
