@@ -3,3 +3,4 @@
 from wardlight.plans import registry  # noqa: F401
 from wardlight.plans import queries_shapes  # noqa: F401
 from wardlight.plans import queries_ingest  # noqa: F401
+from wardlight.plans import queries_vectors  # noqa: F401
