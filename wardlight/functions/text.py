@@ -9,20 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# JS ``String.prototype.trim`` strips every Unicode whitespace and line terminator; Spark's
-# ``trim`` strips only blanks. ``\s`` with UNICODE_CHARACTER_CLASS covers the same set, plus the
-# BOM (U+FEFF) which JS also treats as whitespace.
-_JS_WS = "[\\s\\uFEFF\\u00A0]"
-_JS_TRIM_RE = f"(?U)^{_JS_WS}+|{_JS_WS}+$"
+# The characters JS ``String.prototype.trim`` strips (WhiteSpace + LineTerminator:
+# tab, LF, VT, FF, CR, space, NBSP, OGHAM SPACE MARK, U+2000..U+200A, LS, PS, NNBSP, MMSP,
+# IDEOGRAPHIC SPACE, BOM). Spark's ``trim`` strips only blanks; ``btrim`` with this set is exact and
+# needs no regex.
+JS_WHITESPACE = ("\t\n\u000b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, _JS_TRIM_RE, "")
-
-
-def truthy(c: Column) -> Column:
-    """Null when the value is JS-falsy: null, empty string (numbers: 0 or NaN)."""
-    return F.when(c.isNull(), F.lit(None)).otherwise(c)
+    return F.btrim(c, F.lit(JS_WHITESPACE))
 
 
 def falsy_to_null(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -84,10 +80,13 @@ def clean_value(alias: str, c: Column, dtype: T.DataType) -> Column | None:
     """
     if key_is_dropped(alias) or PASSWORD_KEY_PART in alias.lower():
         return None
-    s = js_trim(js_string(c, dtype))
+    if not isinstance(dtype, T.StringType):
+        # numbers, dates, booleans render short, without blanks, hex runs or image markers
+        return js_string(c, dtype)
+    s = js_trim(c)
     return (F.when(s.isNull(), F.lit(None))
             .when(F.length(s) > MAX_VALUE_CHARS, F.lit(None))
-            .when(s.rlike(HEX_HASH_PATTERN), F.lit(None))
+            .when((F.length(s) >= 32) & s.rlike(HEX_HASH_PATTERN), F.lit(None))
             .when(s.contains(IMAGE_MARKER), F.lit(None))
             .when(s == F.lit(""), F.lit(None))
             .otherwise(s))
@@ -97,7 +96,7 @@ def stable_id(table: Column | str, tenant: Column, record_id: Column) -> Column:
     """md5 of ``table:tenant:id`` laid out as 8-4-4-4-12 (the vector point id)."""
     t = F.lit(table) if isinstance(table, str) else table
     h = F.md5(F.concat_ws(":", t, tenant, record_id))
-    return F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.concat_ws("-", *[F.substring(h, p, n) for p, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
 def full_name(first: Column, last: Column) -> Column:
@@ -105,10 +104,6 @@ def full_name(first: Column, last: Column) -> Column:
     return F.concat(first, F.lit(" "), last)
 
 
-def _escape_like(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-
-
 def name_contains(c: Column, needle: str, wildcards: bool = False) -> Column:
     """Case-insensitive ``LIKE %needle%``. Caller's ``%``/``_`` are literal unless ``wildcards``."""
     if wildcards:

@@ -39,11 +39,16 @@ DEFAULT_HEADING = "PRESCRIPTION"
 DEFAULT_FOOTER = "This is a computer-generated prescription."
 
 
-def first_source(candidates: list[tuple[str, DataFrame | None]], key: str) -> DataFrame:
+def first_source(candidates: list[tuple[str, DataFrame | None]], key: str,
+                 method: str = "aggregate") -> DataFrame:
     """Per ``key``, rows of the first candidate table (in list order) that has any.
 
-    Absent tables (``None``) are skipped. The winning priority per key is a partial aggregate
-    (``min``), joined back with a semi join on ``(key, priority)`` — no window over a hot key.
+    Absent tables (``None``) are skipped; a single existing candidate is returned as is.
+    ``method="aggregate"``: the winning priority per key is a partial aggregate (``min``) joined
+    back with a semi join on ``(key, priority)`` — a hot key is combined map-side and the join
+    can be split by AQE, at the price of reading the candidates twice.
+    ``method="window"``: ``min(priority) over (partition by key)`` — one pass and one exchange,
+    whose partitioning later per-key steps (joins, numbering) reuse.
     """
     frames = []
     for prio, (name, df) in enumerate(candidates):
@@ -52,9 +57,15 @@ def first_source(candidates: list[tuple[str, DataFrame | None]], key: str) -> Da
         frames.append(df.withColumn("source_table", F.lit(name)).withColumn("_prio", F.lit(prio)))
     if not frames:
         raise ValueError("no candidate table exists")
+    if len(frames) == 1:
+        return frames[0].drop("_prio")
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f, allowMissingColumns=True)
+    if method == "window":
+        w = Window.partitionBy(key)
+        return u.withColumn("_best", F.min("_prio").over(w)).where(F.col("_prio") == F.col("_best")) \
+            .drop("_prio", "_best")
     best = u.groupBy(key).agg(F.min("_prio").alias("_best"))
     best = best.select(F.col(key).alias("_bk"), "_best")
     out = u.join(best, (F.col(key) == F.col("_bk")) & (F.col("_prio") == F.col("_best")), "left_semi")
@@ -98,7 +109,7 @@ def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, d
     dob = _pick(h, ("patient_dob",), NOT_AVAILABLE)
     date_s = F.date_format(F.col("created_at"), "yyyy-MM-dd")
     has_problem, has_tests, has_advice = problem != "", tests != "", advice != ""
-    header_lines = F.array(
+    header_lines = [
         _line(0, 0, 0, F.lit(heading)),
         _line(1, 0, 0, F.concat(F.lit("Dr. "), F.col("doctor_first_name"), F.lit(" "), F.col("doctor_last_name"))),
         _line(1, 0, 1, spec),
@@ -113,36 +124,31 @@ def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, d
         _line(6, 0, 1, F.concat(F.lit("Tests: "), tests), has_tests),
         _line(6, 0, 2, F.concat(F.lit("Advice: "), advice), has_advice),
         _line(7, 0, 0, F.lit(footer)),
+    ]
+    # one pass: every header row meets its items (or a null item), numbered per prescription
+    ic = items.select(F.col("prescription_id").alias("_ipid"), *[c for c in items.columns if c != "prescription_id"])
+    j = h.join(ic, F.col("id") == F.col("_ipid"), "left")
+    w = Window.partitionBy("id").orderBy(*[F.col(c) for c in order_cols])
+    j = j.withColumn("_n", F.when(F.col("_ipid").isNotNull(), F.row_number().over(w)))
+    has_item = F.col("_ipid").isNotNull()
+    first_row = ~has_item | (F.col("_n") == 1)
+    name = _pick(ic, MED_NAME_COLUMNS, MEDICINE_DEFAULT)
+    dosage = _pick(ic, DOSAGE_COLUMNS, DOSAGE_DEFAULT)
+    duration = _pick(ic, ("duration",), NOT_AVAILABLE)
+    tme = _pick(ic, TIME_COLUMNS, NOT_AVAILABLE)
+    note = _pick(ic, NOTE_COLUMNS, "")
+    n = F.col("_n")
+    lines = F.array(
+        *[F.when(first_row, x) for x in header_lines],
+        _line(5, n, 0, F.concat(n.cast("string"), F.lit(". "), name), has_item),
+        _line(5, n, 1, F.concat(F.lit("   Dosage: "), dosage, F.lit(" | Duration: "), duration,
+                                F.lit(" | Time: "), tme), has_item),
+        _line(5, n, 2, F.concat(F.lit("   Note: "), note), has_item & (note != "")),
+        _line(5, 0, 0, F.lit(NO_ITEMS), ~has_item),
     )
-    keys = h.select(F.col("id").alias("prescription_id"), "tenant_id",
-                    F.filter(header_lines, lambda x: x.isNotNull()).alias("_lines"))
-    head = keys.select("prescription_id", "tenant_id", F.explode("_lines").alias("l"))
-
-    # items: only of prescriptions that have a header; numbered in a stable order
-    hk = h.select(F.col("id").alias("_hid"), F.col("tenant_id").alias("_htenant"))
-    it = items.join(hk, items["prescription_id"] == F.col("_hid"), "inner")
-    w = Window.partitionBy("prescription_id").orderBy(*[F.col(c) for c in order_cols])
-    it = it.withColumn("_n", F.row_number().over(w))
-    name = _pick(it, MED_NAME_COLUMNS, MEDICINE_DEFAULT)
-    dosage = _pick(it, DOSAGE_COLUMNS, DOSAGE_DEFAULT)
-    duration = _pick(it, ("duration",), NOT_AVAILABLE)
-    tme = _pick(it, TIME_COLUMNS, NOT_AVAILABLE)
-    note = _pick(it, NOTE_COLUMNS, "")
-    item_lines = F.array(
-        _line(5, F.col("_n"), 0, F.concat(F.col("_n").cast("string"), F.lit(". "), name)),
-        _line(5, F.col("_n"), 1, F.concat(F.lit("   Dosage: "), dosage, F.lit(" | Duration: "), duration,
-                                           F.lit(" | Time: "), tme)),
-        _line(5, F.col("_n"), 2, F.concat(F.lit("   Note: "), note), note != ""),
-    )
-    body = it.select("prescription_id", F.col("_htenant").alias("tenant_id"),
-                     F.explode(F.filter(item_lines, lambda x: x.isNotNull())).alias("l"))
-    # prescriptions without items get the "none" line
-    empty = (hk.join(items.select(F.col("prescription_id").alias("_ipid")),
-                     F.col("_hid") == F.col("_ipid"), "left_anti")
-             .select(F.col("_hid").alias("prescription_id"), F.col("_htenant").alias("tenant_id"),
-                     _line(5, 0, 0, F.lit(NO_ITEMS)).alias("l")))
-    lines = head.unionByName(body).unionByName(empty)
-    return lines.select(
+    out = j.select(F.col("id").alias("prescription_id"), "tenant_id",
+                   F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("l"))
+    return out.select(
         "tenant_id", "prescription_id",
         F.concat(F.lit("prescriptions/"), F.col("tenant_id"), F.lit("/"),
                  F.col("prescription_id").cast("string")).alias("doc_path"),

@@ -137,9 +137,9 @@ def _kind(v: Column, path: str) -> Column:
             .otherwise(F.lit("number")))
 
 
-def _js_truthy(v: Column, path: str) -> Column:
-    """The value at ``path`` as text when JS would call it truthy, else null."""
-    k = _kind(v, path)
+def _js_truthy(v: Column, path: str, k: Column | None = None) -> Column:
+    """The value at ``path`` as text when JS would call it truthy, else null (``k``: its kind)."""
+    k = _kind(v, path) if k is None else k
     val = F.try_variant_get(v, path, "string")
     truthy = (F.when(k == "string", val != "")
               .when(k == "number", val.cast("double") != 0)
@@ -173,7 +173,8 @@ def parse_structured(df: DataFrame, text_col: str = "reply") -> DataFrame:
     staged = df.select("*", has.alias("_has"), F.try_parse_json(js).alias("_v"))
     v = F.col("_v")
     kinds = {"op": "$.operation", "tg": "$.targets", "fl": "$.filters", "ju": "$.justification"}
-    kinds.update({f"f_{n}": f"$.filters.{n}" for n in _STRING_FILTERS + _NUMBER_FILTERS})
+    kinds.update({f"f_{n}": f"$.filters.{n}" for n in _STRING_FILTERS + _NUMBER_FILTERS
+                  + ("prescriptionFor", "name")})
     staged = staged.select("*", *[_kind(v, p).alias(f"_k_{k}") for k, p in kinds.items()],
                            F.schema_of_variant(F.variant_get(v, "$.targets", "variant")).alias("_tg_schema"))
     k = lambda name: F.col(f"_k_{name}")
@@ -191,13 +192,13 @@ def parse_structured(df: DataFrame, text_col: str = "reply") -> DataFrame:
     staged = staged.select("*", ok.alias("_ok"), (ok & schema_ok).alias("_good"), (ok & ~schema_ok).alias("_rep"))
     good, rep = F.col("_good"), F.col("_rep")
     fs = lambda name: F.try_variant_get(v, f"$.filters.{name}", "string")
-    ft = lambda name: _js_truthy(v, f"$.filters.{name}")
+    ft = lambda name: _js_truthy(v, f"$.filters.{name}", k(f"f_{name}"))
     lim = F.try_variant_get(v, "$.filters.limit", "double")
     out = staged.select(
         *df.columns,
         F.col("_ok").alias("parse_ok"),
         F.when(~F.col("_has"), F.lit(NO_JSON)).when(~F.col("_ok"), F.lit(PARSE_ERROR)).alias("error"),
-        F.when(good, op).when(rep, F.coalesce(_js_truthy(v, "$.operation"), F.lit("lookup"))).alias("operation"),
+        F.when(good, op).when(rep, F.coalesce(_js_truthy(v, "$.operation", k("op")), F.lit("lookup"))).alias("operation"),
         F.when(good, targets).when(rep, F.when(k("tg") == "array", targets)
                                     .otherwise(F.array().cast("array<string>"))).alias("targets"),
         F.when(good, fs("patientName"))
@@ -210,7 +211,7 @@ def parse_structured(df: DataFrame, text_col: str = "reply") -> DataFrame:
         F.when(good, F.coalesce(lim, F.lit(float(DEFAULT_LIMIT))))
          .when(rep, F.coalesce(ft("limit").cast("double"), F.lit(float(DEFAULT_LIMIT)))).alias("row_limit"),
         F.when(good, F.try_variant_get(v, "$.justification", "string"))
-         .when(rep, F.coalesce(_js_truthy(v, "$.justification"), F.lit(DEFAULT_JUSTIFICATION))).alias("justification"),
+         .when(rep, F.coalesce(_js_truthy(v, "$.justification", k("ju")), F.lit(DEFAULT_JUSTIFICATION))).alias("justification"),
     )
     return out
 

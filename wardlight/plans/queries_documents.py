@@ -20,9 +20,9 @@ _FIRST_ITEMS_SQL = """first_items AS (
                                 WHEN 'prescription_items' THEN 1 WHEN 'opd_prescription_items' THEN 2 END)"""
 
 
-def _first_items(cat: Catalog):
+def _first_items(cat: Catalog, method: str = "aggregate"):
     tables = cat.item_tables()
-    return first_source([(t, tables.get(t)) for t in ITEM_CANDIDATES], "prescription_id")
+    return first_source([(t, tables.get(t)) for t in ITEM_CANDIDATES], "prescription_id", method)
 
 
 @register("first_source_items", with_views("items") + ", " + _FIRST_ITEMS_SQL +
@@ -74,5 +74,5 @@ def q_prescription_documents(spark, sf_dir):
     cat = Catalog(spark, sf_dir)
     headers = first_source([(t, cat.prescriptions() if t == "prescriptions" else None)
                             for t in HEADER_CANDIDATES], "id")
-    return prescription_document_lines(headers, cat.patients(), cat.doctors(), _first_items(cat),
+    return prescription_document_lines(headers, cat.patients(), cat.doctors(), _first_items(cat, "window"),
                                        order_cols=("line_no", "part_id", "supplier_id", "price"))

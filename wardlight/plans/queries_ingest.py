@@ -87,14 +87,14 @@ def _passages(cat: Catalog) -> DataFrame:
           "\nUNION ALL\n" + passages_sql("patients", "patients", DRIVER_MAPPINGS["patients"]) +
           "\nUNION ALL\n" + passages_sql("doctors", "doctors", DRIVER_MAPPINGS["doctors"]))
 def q_passages(spark, sf_dir):
-    return _passages(Catalog(spark, sf_dir))
+    return _passages(Catalog(spark, sf_dir, spread=True))
 
 
 @register("stable_ids", with_views("prescriptions") +
           "SELECT id, table_name, tenant_id, record_id FROM (" +
           passages_sql("prescriptions", "prescriptions", DRIVER_MAPPINGS["prescriptions"]) + ")")
 def q_stable_ids(spark, sf_dir):
-    p = build_passages(Catalog(spark, sf_dir).prescriptions(), DRIVER_MAPPINGS["prescriptions"])
+    p = build_passages(Catalog(spark, sf_dir, spread=True).prescriptions(), DRIVER_MAPPINGS["prescriptions"])
     return p.select("id", "table_name", "tenant_id", "record_id")
 
 
@@ -127,7 +127,7 @@ _STORE_SQL = (with_views("appointments") + ", " + _BATCH_SQL +
 @register("upsert_newest", _STORE_SQL +
           "SELECT * FROM store WHERE id NOT IN (SELECT id FROM newest) UNION ALL SELECT * FROM newest")
 def q_upsert_newest(spark, sf_dir):
-    cat = Catalog(spark, sf_dir)
+    cat = Catalog(spark, sf_dir, spread=True)
     m = DRIVER_MAPPINGS["appointments"]
     store = build_passages(cat.appointments(), m)
     incoming = build_passages(_changed_batch(cat), m)
@@ -141,7 +141,7 @@ def q_upsert_newest(spark, sf_dir):
                  greatest(o.hw, n.hw) AS high_water
           FROM old o FULL OUTER JOIN new n ON o.tenant_id = n.tenant_id AND o.table_name = n.table_name""")
 def q_high_water(spark, sf_dir):
-    cat = Catalog(spark, sf_dir)
+    cat = Catalog(spark, sf_dir, spread=True)
     m = DRIVER_MAPPINGS["appointments"]
     store = build_passages(cat.appointments(), m)
     old = high_water(store)
@@ -173,7 +173,7 @@ def _ingest_state(cat: Catalog) -> DataFrame:
           """ + passages_sql("ca", "appointments", DRIVER_MAPPINGS["appointments"]) + "\nUNION ALL\n" +
           passages_sql("cp", "prescriptions", DRIVER_MAPPINGS["prescriptions"]))
 def q_ingest_incremental(spark, sf_dir):
-    cat = Catalog(spark, sf_dir)
+    cat = Catalog(spark, sf_dir, spread=True)
     state = _ingest_state(cat)
     out = None
     for entity in ("appointments", "prescriptions"):

@@ -20,6 +20,8 @@ requests      events     key = user_id
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +45,47 @@ ITEM_SPLIT = {"prescription_medicines": "A", "prescription_items": "N",
               "opd_prescription_items": "R"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+_READ_CACHE: dict[tuple[int, str, bool], DataFrame] = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False,
+               spread: bool = False) -> DataFrame:
+    """A parquet table; the resolved reader (schema + file index) is reused within a session.
+
+    ``spread``: a scan with fewer input splits than the session's default parallelism (one small
+    file with a single row group) is round-robin redistributed, so row-wise CPU work after the scan
+    (regex cleaning, JSON parsing, document assembly) uses every core. Large inputs have many
+    splits and are left untouched (no extra shuffle). ``refresh=True`` re-lists the files.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path, spread)
+    if refresh or key not in _READ_CACHE:
+        df = spark.read.parquet(path)
+        if spread:
+            par = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < par:
+                df = df.repartition(par)
+        _READ_CACHE[key] = df
+    return _READ_CACHE[key]
+
+
+class LazyTables(Mapping):
+    """``{entity: DataFrame}`` whose frames are only built when a query asks for them."""
+
+    def __init__(self, builders: dict):
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, key: str) -> DataFrame:
+        if key not in self._built:
+            self._built[key] = self._builders[key]()
+        return self._built[key]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str | None = None,
@@ -80,12 +121,15 @@ def _last(name: Column) -> Column:
 class Catalog:
     """Logical clinical tables bound to one directory of driver parquet tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, spread: bool = False):
+        """``spread``: redistribute single-split scans (see ``read_table``); worth it for row-heavy
+        narrow pipelines (passage building, JSON parsing), not for join-heavy plans."""
         self.spark = spark
         self.sf_dir = sf_dir
+        self.spread = spread
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        return read_table(self.spark, self.sf_dir, name, spread=self.spread)
 
     # ---- entities -------------------------------------------------------------------------
     def patients(self) -> DataFrame:
@@ -151,13 +195,15 @@ class Catalog:
             F.col("o_orderdate").alias("updated_at"),
         )
 
-    def medicine_items(self) -> DataFrame:
-        """All item rows with the physical candidate table each belongs to."""
+    def medicine_items(self, flag: str | None = None) -> DataFrame:
+        """Item rows (optionally of one return flag, pushed to the scan) with their candidate table."""
         li = self.raw("lineitem")
+        if flag is not None:
+            li = li.where(F.col("l_returnflag") == flag)
         p = self.raw("part").select("p_partkey", "p_name")
         j = li.join(p, li.l_partkey == p.p_partkey, "inner")
-        table = F.coalesce(*[F.when(F.col("l_returnflag") == flag, F.lit(t))
-                             for t, flag in ITEM_SPLIT.items()])
+        table = F.coalesce(*[F.when(F.col("l_returnflag") == f, F.lit(t))
+                             for t, f in ITEM_SPLIT.items()])
         return j.select(
             table.alias("source_table"),
             F.col("l_orderkey").alias("prescription_id"),
@@ -174,8 +220,7 @@ class Catalog:
 
     def item_tables(self) -> dict[str, DataFrame]:
         """The candidate item tables that exist, by physical name (absent ones are missing)."""
-        items = self.medicine_items()
-        return {t: items.where(F.col("source_table") == t).drop("source_table") for t in ITEM_SPLIT}
+        return {t: self.medicine_items(flag).drop("source_table") for t, flag in ITEM_SPLIT.items()}
 
     def holidays(self) -> DataFrame:
         """doctor_holidays: one row per (doctor, day) derived from returned lines."""
@@ -199,10 +244,10 @@ class Catalog:
         e = self.raw("events")
         return e.select("event_id", F.col("user_id").alias("key"), "ts")
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {"patients": self.patients(), "doctors": self.doctors(),
-                "appointments": self.appointments(), "prescriptions": self.prescriptions(),
-                "doctorHolidays": self.holidays()}
+    def tables(self) -> Mapping[str, DataFrame]:
+        return LazyTables({"patients": self.patients, "doctors": self.doctors,
+                           "appointments": self.appointments, "prescriptions": self.prescriptions,
+                           "doctorHolidays": self.holidays})
 
 
 # Logical mappings for the driver binding (alias → physical column of the Catalog frames).
