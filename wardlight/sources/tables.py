@@ -164,7 +164,11 @@ class Catalog:
         )
 
     def appointments(self) -> DataFrame:
-        o = self.raw("orders")
+        return self.bind_appointments(self.raw("orders"))
+
+    @staticmethod
+    def bind_appointments(o: DataFrame) -> DataFrame:
+        """The appointments projection over an orders frame (batch or stream)."""
         return o.select(
             F.col("o_orderkey").alias("id"),
             _tenant(F.col("o_custkey")).alias("tenant_id"),
@@ -231,7 +235,10 @@ class Catalog:
                         F.to_date("l_shipdate").alias("date")))
 
     def messages(self) -> DataFrame:
-        c = self.raw("conversations")
+        return self.bind_messages(self.raw("conversations"))
+
+    @staticmethod
+    def bind_messages(c: DataFrame) -> DataFrame:
         return c.select(F.col("conv_id").cast("string").alias("session_id"),
                         F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
 
@@ -241,7 +248,10 @@ class Catalog:
                         "embedding")
 
     def requests(self) -> DataFrame:
-        e = self.raw("events")
+        return self.bind_requests(self.raw("events"))
+
+    @staticmethod
+    def bind_requests(e: DataFrame) -> DataFrame:
         return e.select("event_id", F.col("user_id").alias("key"), "ts")
 
     def tables(self) -> Mapping[str, DataFrame]:
