@@ -105,3 +105,12 @@ def test_bookings_on_driver_tables_match_contains_scan(spark):
             want[r["request_id"]] = (p, d)
     assert got == want
     assert acc.count() + rej.count() == req.count()
+
+
+def test_collection_info_json_round_trip(spark, tmpdir_path):
+    from wardlight.operators.vectors import write_collection_info
+    stats = collection_stats(Catalog(spark, SF).vectors())
+    write_collection_info(stats, tmpdir_path + "/info")
+    back = spark.read.json(tmpdir_path + "/info")
+    assert sorted(map(tuple, back.select("tenant_id", "points", "dim_min", "distance").collect())) == \
+        sorted(map(tuple, stats.select("tenant_id", "points", "dim_min", "distance").collect()))

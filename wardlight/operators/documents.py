@@ -156,6 +156,16 @@ def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, d
         F.col("l.sub").alias("sub"), F.col("l.line").alias("line"))
 
 
+def documents_for_selection(selected: DataFrame, prescriptions: DataFrame, patients: DataFrame,
+                            doctors: DataFrame, items: DataFrame, id_col: str = "id", **kw) -> DataFrame:
+    """P1 for every prescription a query selected (F9 in batch form: a semi join on the selected
+    ids instead of one point lookup per id; the reference exported only the first row)."""
+    ids = selected.select(F.col(id_col).alias("_sel")).distinct()
+    rx = prescriptions.join(ids, F.col("id") == F.col("_sel"), "left_semi")
+    it = items.join(ids, F.col("prescription_id") == F.col("_sel"), "left_semi")
+    return prescription_document_lines(rx, patients, doctors, it, **kw)
+
+
 def document_bodies(lines: DataFrame) -> DataFrame:
     """One text per document (lines joined by newline, in layout order)."""
     agg = lines.groupBy("tenant_id", "prescription_id", "doc_path").agg(

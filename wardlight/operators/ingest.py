@@ -24,7 +24,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,21 +165,35 @@ def _embed_batches(embedders: list[Embedder]) -> Callable[[Iterator[pd.DataFrame
     return run
 
 
-def embed_passages(passages: DataFrame, embedders: Embedder | list[Embedder]
-                   ) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(points, quarantine)``: points = passages + embedding; quarantine = failed rows."""
+def embed_all(passages: DataFrame, embedders: Embedder | list[Embedder]) -> DataFrame:
+    """Passages + ``embedding`` + ``error`` (null when embedded). Each distinct text is sent to
+    the embedder once; repeated texts share the vector through a join on md5(text)."""
     embs = embedders if isinstance(embedders, list) else [embedders]
     keyed = passages.withColumn("text_key", F.md5(F.col("text")))
     distinct = keyed.select("text_key", "text").dropDuplicates(["text_key"])
     vectors = distinct.mapInPandas(_embed_batches(embs), EMBED_SCHEMA)
-    joined = keyed.join(vectors, "text_key", "inner")
-    points = joined.where(F.col("error").isNull() & F.col("embedding").isNotNull()) \
-        .drop("text_key", "error")
-    quarantine = joined.where(F.col("error").isNotNull() | F.col("embedding").isNull()) \
+    return keyed.join(vectors, "text_key", "inner").drop("text_key") \
+        .withColumn("error", F.when(F.col("embedding").isNull(), F.coalesce(F.col("error"), F.lit("no vector")))
+                    .otherwise(F.col("error")))
+
+
+def split_embedded(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(points, quarantine)`` of an ``embed_all`` frame."""
+    points = embedded.where(F.col("error").isNull()).drop("error")
+    quarantine = embedded.where(F.col("error").isNotNull()) \
         .select(*[c for c in PASSAGE_SCHEMA.fieldNames()], "error")
     return points, quarantine
 
 
+def embed_passages(passages: DataFrame, embedders: Embedder | list[Embedder]
+                   ) -> tuple[DataFrame, DataFrame]:
+    """Returns ``(points, quarantine)``: points = passages + embedding; quarantine = failed rows.
+
+    Both derive from one embedding plan: cut it (``checkpoint``) before using both, or the
+    embedder runs twice."""
+    return split_embedded(embed_all(passages, embedders))
+
+
 # ---------------------------------------------------------------------------------------------
 # The batch job
 # ---------------------------------------------------------------------------------------------
@@ -212,8 +226,11 @@ def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFra
     """Batch ingest over all (or the chosen) mapped tables; returns counters.
 
     Data version is written first, state second: a crash between them replays the batch next
-    run, which the stable ids make harmless.
+    run, which the stable ids make harmless. Rows quarantined by the previous run are replayed
+    (their newer versions, if any, win), so a failure is never skipped by a later high-water mark.
     """
+    from wardlight.session import checkpoint_root
+    checkpoint_root(spark)
     state_path = latest_version(spark, state_root)
     state = spark.read.parquet(state_path) if state_path else None
     batches = []
@@ -222,14 +239,26 @@ def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFra
             continue
         ch = changed_rows(df, mapping.table, state, tenant=tenant, resync=resync, overlap=overlap)
         batches.append(build_passages(ch, mapping, tenant))
+    q_root = f"{store_root.rstrip('/')}/quarantine"
+    q_prev = latest_version(spark, q_root)
+    if q_prev:
+        batches.append(spark.read.parquet(q_prev).drop("error"))
     if not batches:
         return {"processed": 0, "failed": 0}
     incoming = batches[0]
     for b in batches[1:]:
         incoming = incoming.unionByName(b)
-    points, quarantine = embed_passages(incoming, embedders)
-    # cut lineage once: the embedded batch feeds the store, the quarantine and the state
-    points = points.checkpoint(eager=True)
+    incoming = newest_per_id(incoming)
+    # A4: counters observed on the one pass that embeds (no second pass to count)
+    obs = Observation("ingest")
+    embedded = embed_all(incoming, embedders).observe(
+        obs, F.count(F.lit(1)).alias("rows"),
+        F.sum(F.when(F.col("error").isNull(), 1).otherwise(0)).alias("processed"))
+    # cut lineage once: the embedded batch feeds the store, the quarantine and the state, and
+    # the (expensive, external) embedder must run exactly once
+    embedded = embedded.checkpoint(eager=True)
+    counters = obs.get
+    points, quarantine = split_embedded(embedded)
     store_path = latest_version(spark, store_root)
     new_store_path = _next_version(store_path, store_root)
     if store_path:
@@ -238,10 +267,9 @@ def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFra
     else:
         merged = newest_per_id(points)
     merged.write.mode("errorifexists").parquet(new_store_path)
-    q_path = f"{store_root.rstrip('/')}/quarantine/{new_store_path.rsplit('/', 1)[1]}"
+    q_path = f"{q_root}/{new_store_path.rsplit('/', 1)[1]}"
     quarantine.write.mode("overwrite").parquet(q_path)
     new_state = high_water(points, state)
     new_state.write.mode("errorifexists").parquet(_next_version(state_path, state_root))
-    obs = points.agg(F.count(F.lit(1)).alias("n")).first()
-    failed = spark.read.parquet(q_path).count()
-    return {"processed": int(obs["n"]), "failed": int(failed), "store": new_store_path}
+    rows, processed = int(counters.get("rows") or 0), int(counters.get("processed") or 0)
+    return {"processed": processed, "failed": rows - processed, "store": new_store_path}

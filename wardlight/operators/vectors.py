@@ -163,6 +163,11 @@ def collection_stats(points: DataFrame, emb_col: str = "embedding") -> DataFrame
             .withColumn("distance", F.lit(DISTANCE)))
 
 
+def write_collection_info(stats: DataFrame, path: str) -> None:
+    """Collection statistics (one row per tenant, so a single small file) as JSON lines."""
+    stats.coalesce(1).write.mode("overwrite").json(path)
+
+
 def sample_points(points: DataFrame, n: int = 5, id_col: str = "id", emb_col: str = "embedding") -> DataFrame:
     """The first n points by id, payload only."""
     return points.drop(emb_col).orderBy(id_col).limit(n)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from wardlight.operators.documents import first_source, prescription_document_lines
+from wardlight.operators.documents import documents_for_selection, first_source, prescription_document_lines
+from wardlight.operators.entity_query import entity_query
+from wardlight.plans.intent import Intent
+from wardlight.plans.registry import AS_OF
+from wardlight.sources.tables import DRIVER_MAPPINGS
 from wardlight.plans.oracle_views import with_views
 from wardlight.plans.registry import register
 from wardlight.sources.tables import HEADER_CANDIDATES, ITEM_CANDIDATES, Catalog
@@ -32,13 +36,15 @@ def q_first_source_items(spark, sf_dir):
 
 
 _DOC_SQL = with_views("patients", "doctors", "prescriptions", "items") + ", " + _FIRST_ITEMS_SQL + """,
+sel AS (SELECT id FROM prescriptions),
 hdr AS (SELECT r.id, r.tenant_id, coalesce(nullif(r.problem, ''), '') AS problem,
                coalesce(nullif(r.test, ''), '') AS tests, coalesce(nullif(r.advice, ''), '') AS advice,
                r.created_at, p.first_name AS pf, p.last_name AS pl,
                coalesce(nullif(p.gender, ''), 'N/A') AS gender, coalesce(nullif(p.dob, ''), 'N/A') AS dob,
                d.first_name AS df, d.last_name AS dl,
                coalesce(nullif(d.specialist, ''), 'General Physician') AS spec
-        FROM prescriptions r JOIN patients p ON p.id = r.patient_id JOIN doctors d ON d.id = r.doctor_id),
+        FROM prescriptions r JOIN patients p ON p.id = r.patient_id JOIN doctors d ON d.id = r.doctor_id
+        WHERE r.id IN (SELECT id FROM sel)),
 it AS (SELECT f.*, h.tenant_id AS htenant,
               row_number() OVER (PARTITION BY f.prescription_id ORDER BY f.line_no, f.part_id, f.supplier_id, f.price) AS n
        FROM first_items f JOIN hdr h ON h.id = f.prescription_id),
@@ -76,3 +82,20 @@ def q_prescription_documents(spark, sf_dir):
                             for t in HEADER_CANDIDATES], "id")
     return prescription_document_lines(headers, cat.patients(), cat.doctors(), _first_items(cat, "window"),
                                        order_cols=("line_no", "part_id", "supplier_id", "price"))
+
+
+_EXPORT_SEL = """sel AS (SELECT r.id FROM prescriptions r JOIN patients p ON p.id = r.patient_id
+        WHERE r.tenant_id = '0' AND contains(lower(p.first_name || ' ' || p.last_name), 'customer 00000010')
+        ORDER BY r.id LIMIT 100),"""
+
+
+@register("export_documents", _DOC_SQL.replace("sel AS (SELECT id FROM prescriptions),", _EXPORT_SEL))
+def q_export_documents(spark, sf_dir):
+    """Export flow: the PDF words force export_pdf on prescriptions; Q1 selects the patient's
+    prescriptions; documents are built for every selected prescription."""
+    cat = Catalog(spark, sf_dir)
+    intent = Intent.of("export_pdf", ["prescriptions", "patients"], patientName="customer 00000010", limit=100)
+    selected = entity_query(cat.tables(), DRIVER_MAPPINGS, intent, "0", AS_OF)
+    return documents_for_selection(selected, cat.prescriptions(), cat.patients(), cat.doctors(),
+                                   _first_items(cat, "window"),
+                                   order_cols=("line_no", "part_id", "supplier_id", "price"))
