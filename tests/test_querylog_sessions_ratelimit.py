@@ -10,7 +10,7 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from wardlight.operators.querylog import label_queries, normalise_requests, parse_structured, route_actions
-from wardlight.operators.ratelimit import rate_limit, requests_in_window
+from wardlight.operators.ratelimit import epoch_micros, rate_limit, requests_in_window
 from wardlight.operators.sessions import clear_sessions, session_history
 from wardlight.session import scratch_path
 from wardlight.sources.tables import Catalog
@@ -128,7 +128,7 @@ def test_rate_limit_edges_and_brute_force(spark):
     got = {r["event_id"]: r["accepted"] for r in rate_limit(df, W, 3).collect()}
     assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True}
     req = Catalog(spark, SF).requests()
-    pdf = req.select("event_id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect()
+    pdf = req.select("event_id", "key", epoch_micros("ts").alias("us")).collect()
     want = _limiter([(r[0], r[1], r[2]) for r in pdf], 86_400_000_000, 3)
     got = {r["event_id"]: r["accepted"] for r in rate_limit(req, 86_400_000_000, 3, num_partitions=3).collect()}
     assert got == want
@@ -145,7 +145,7 @@ def test_requests_in_window_halo_equals_plain_window(spark):
     req = Catalog(spark, SF).requests()
     W = 3_600_000_000
     a = {r["event_id"]: r["n_in_window"] for r in requests_in_window(req, W, bucket_us=W).collect()}
-    rows = req.select("event_id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect()
+    rows = req.select("event_id", "key", epoch_micros("ts").alias("us")).collect()
     by = {}
     for e, k, u in rows:
         by.setdefault(k, []).append(u)

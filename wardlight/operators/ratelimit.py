@@ -27,8 +27,16 @@ DEFAULT_WINDOW_US = 60_000 * 1000  # 60 s
 DEFAULT_MAX = 100
 
 
+def epoch_micros(name: str):
+    """Microseconds since 1970-01-01 of the wall-clock time in column ``name``, independent of
+    the session time zone (a cast to a zoned timestamp would bend differences across
+    daylight-saving changes)."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                  f"CAST(`{name}` AS TIMESTAMP_NTZ))")
+
+
 def _micros(ts: str):
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    return epoch_micros(ts)
 
 
 def requests_in_window(events: DataFrame, window_us: int, key: str = "key", ts: str = "ts",

@@ -25,8 +25,10 @@ _FIRST_ITEMS_SQL = """first_items AS (
 
 
 def _first_items(cat: Catalog, method: str = "aggregate"):
+    """Winning candidate rows per prescription, then the medicine name (one dimension join)."""
     tables = cat.item_tables()
-    return first_source([(t, tables.get(t)) for t in ITEM_CANDIDATES], "prescription_id", method)
+    won = first_source([(t, tables.get(t)) for t in ITEM_CANDIDATES], "prescription_id", method)
+    return cat.with_medicine_names(won)
 
 
 @register("first_source_items", with_views("items") + ", " + _FIRST_ITEMS_SQL +

@@ -199,32 +199,31 @@ class Catalog:
             F.col("o_orderdate").alias("updated_at"),
         )
 
-    def medicine_items(self, flag: str | None = None) -> DataFrame:
-        """Item rows (optionally of one return flag, pushed to the scan) with their candidate table."""
-        li = self.raw("lineitem")
-        if flag is not None:
-            li = li.where(F.col("l_returnflag") == flag)
-        p = self.raw("part").select("p_partkey", "p_name")
-        j = li.join(p, li.l_partkey == p.p_partkey, "inner")
-        table = F.coalesce(*[F.when(F.col("l_returnflag") == f, F.lit(t))
-                             for t, f in ITEM_SPLIT.items()])
-        return j.select(
-            table.alias("source_table"),
+    def item_rows(self, flag: str) -> DataFrame:
+        """One candidate item table: lineitem rows of one return flag (the filter reaches the scan)."""
+        li = self.raw("lineitem").where(F.col("l_returnflag") == flag)
+        return li.select(
             F.col("l_orderkey").alias("prescription_id"),
             F.col("l_linenumber").alias("line_no"),
             F.col("l_partkey").alias("part_id"),
             F.col("l_suppkey").alias("supplier_id"),
             F.col("l_extendedprice").alias("price"),
-            F.col("p_name").alias("medicine_name"),
             F.col("l_quantity").cast("string").alias("dosage"),
             F.concat(F.col("l_linenumber").cast("string"), F.lit(" days")).alias("duration"),
             F.when(F.col("l_linestatus") == "O", F.lit("morning")).otherwise(F.lit("night")).alias("time"),
             F.when(F.col("l_discount") >= 0.05, F.lit("after food")).otherwise(F.lit("")).alias("comment"),
-        ).where(F.col("source_table").isNotNull())
+        )
 
     def item_tables(self) -> dict[str, DataFrame]:
         """The candidate item tables that exist, by physical name (absent ones are missing)."""
-        return {t: self.medicine_items(flag).drop("source_table") for t, flag in ITEM_SPLIT.items()}
+        return {t: self.item_rows(flag) for t, flag in ITEM_SPLIT.items()}
+
+    def medicine_names(self) -> DataFrame:
+        return self.raw("part").select(F.col("p_partkey").alias("part_id"), F.col("p_name").alias("medicine_name"))
+
+    def with_medicine_names(self, items: DataFrame) -> DataFrame:
+        """Item rows + medicine name (inner join on the part, like the item tables' own join)."""
+        return items.join(self.medicine_names(), "part_id", "inner")
 
     def holidays(self) -> DataFrame:
         """doctor_holidays: one row per (doctor, day) derived from returned lines."""

@@ -26,6 +26,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from wardlight.operators.ingest import Embedder, embed_passages, latest_version, newest_per_id, upsert
 from wardlight.operators.passages import build_passages
+from wardlight.operators.ratelimit import epoch_micros
 from wardlight.operators.sessions import OTHER_LABEL, USER_LABEL
 from wardlight.sources.mapping import EntityMapping
 
@@ -113,7 +114,7 @@ def rate_limit_stream(requests: DataFrame, window_us: int, max_requests: int,
     df = (requests.select(F.col("event_id").cast("bigint"), F.col("key").cast("bigint"),
                           F.col("ts").cast("timestamp_ntz").alias("ts"),
                           F.col("ts").cast("timestamp").alias("_ts"))
-          .withColumn("_us", F.unix_micros("_ts"))
+          .withColumn("_us", epoch_micros("ts"))
           .withWatermark("_ts", wm))
     return (df.groupBy("key")
             .applyInPandasWithState(_rl_state_fn(window_us, max_requests), RL_OUT, RL_STATE,
