@@ -54,3 +54,16 @@ def test_documents_candidates_and_missing_items(spark):
     b2 = bodies[2].split("\n")
     assert "No medications listed." in b2 and "Tests: CBC" in b2 and "Advice: Rest" in b2
     assert "DIAGNOSIS / CHIEF COMPLAINT" not in b2 and "Gender: male | Date of Birth: N/A" in b2
+
+
+def test_numbering_range_form_equals_window_form_on_a_hot_key(spark):
+    from pyspark.sql import functions as F
+    from wardlight.functions.numbering import number_within, number_within_range, number_within_window
+    # one key holds most rows (the skew case), the rest are small groups
+    df = spark.range(0, 5000).select(F.when(F.col("id") < 4000, F.lit(7)).otherwise(F.col("id") % 50).alias("k"),
+                                     (F.col("id") * 7919 % 100003).alias("o"))
+    want = {(r["k"], r["o"]): r["n"] for r in number_within_window(df, "k", ["o"]).collect()}
+    got = {(r["k"], r["o"]): r["n"] for r in number_within_range(df, "k", ["o"], num_partitions=13).collect()}
+    assert got == want
+    adaptive = number_within(df, "k", ["o"], hot_group_rows=100)
+    assert {(r["k"], r["o"]): r["n"] for r in adaptive.collect()} == want

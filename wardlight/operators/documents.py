@@ -3,9 +3,10 @@ tables (S14), a 3-way header join (J3), a left item join (J4), display fallbacks
 numbering (X16), written per tenant (S15).
 
 A document is emitted as *lines* ``(tenant_id, prescription_id, doc_path, section, item_no, sub,
-line)``: nothing collects a prescription's items into one row, so a prescription with a huge item
-list cannot blow up a task; ``document_bodies`` joins lines into one text per document for callers
-that want whole texts.
+line)``: nothing collects a prescription's items into one row, and item numbering is range-based
+(``functions.numbering``), so a prescription holding a third of all items is still spread over
+many tasks. ``document_bodies`` joins lines into one text per document for callers that want
+whole texts (bounded by the document's own size).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlight.functions.numbering import HOT_GROUP_ROWS, number_within
 from wardlight.functions.text import truthy_or
 
 # Section labels and fallbacks of the document layout.
@@ -89,9 +91,11 @@ def _line(section: int, item_no, sub: int, text: Column, when: Column | None = N
 
 def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, doctors: DataFrame,
                                 items: DataFrame, *, heading: str = DEFAULT_HEADING,
-                                footer: str = DEFAULT_FOOTER, order_cols: tuple[str, ...] = ("line_no",)
-                                ) -> DataFrame:
-    """P1 as lines. ``items`` already holds the winning candidate rows (see ``first_source``)."""
+                                footer: str = DEFAULT_FOOTER, order_cols: tuple[str, ...] = ("line_no",),
+                                hot_group_rows: int | None = HOT_GROUP_ROWS,
+                                materialize: bool = True) -> DataFrame:
+    """P1 as lines. ``items`` already holds the winning candidate rows (see ``first_source``);
+    ``order_cols`` must order a prescription's items uniquely."""
     p = patients.select(F.col("id").alias("_pid"), F.col("first_name").alias("patient_first_name"),
                         F.col("last_name").alias("patient_last_name"), F.col("gender").alias("patient_gender"),
                         F.col("dob").alias("patient_dob"))
@@ -125,30 +129,45 @@ def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, d
         _line(6, 0, 2, F.concat(F.lit("Advice: "), advice), has_advice),
         _line(7, 0, 0, F.lit(footer)),
     ]
-    # one pass: every header row meets its items (or a null item), numbered per prescription
-    ic = items.select(F.col("prescription_id").alias("_ipid"), *[c for c in items.columns if c != "prescription_id"])
-    j = h.join(ic, F.col("id") == F.col("_ipid"), "left")
-    w = Window.partitionBy("id").orderBy(*[F.col(c) for c in order_cols])
-    j = j.withColumn("_n", F.when(F.col("_ipid").isNotNull(), F.row_number().over(w)))
-    has_item = F.col("_ipid").isNotNull()
-    first_row = ~has_item | (F.col("_n") == 1)
-    name = _pick(ic, MED_NAME_COLUMNS, MEDICINE_DEFAULT)
-    dosage = _pick(ic, DOSAGE_COLUMNS, DOSAGE_DEFAULT)
-    duration = _pick(ic, ("duration",), NOT_AVAILABLE)
-    tme = _pick(ic, TIME_COLUMNS, NOT_AVAILABLE)
-    note = _pick(ic, NOTE_COLUMNS, "")
+    # per-prescription item counts: one partial aggregate, used for the hot-group check and for
+    # the "no items" line; folded into the headers so they are read, never re-joined
+    from wardlight.session import checkpoint_root
+    if materialize:
+        checkpoint_root(h.sparkSession)
+        items = items.checkpoint(eager=True)
+    counts = items.groupBy("prescription_id").agg(F.count(F.lit(1)).alias("_n_items"))
+    h = h.join(counts.select(F.col("prescription_id").alias("_cid"), "_n_items"),
+               F.col("id") == F.col("_cid"), "left")
+    if materialize:
+        h = h.checkpoint(eager=True)
+    no_items = F.col("_n_items").isNull()
+    header_lines.append(_line(5, 0, 0, F.lit(NO_ITEMS), no_items))
+    keys = h.select(F.col("id").alias("prescription_id"), "tenant_id",
+                    F.filter(F.array(*header_lines), lambda x: x.isNotNull()).alias("_lines"))
+    head = keys.select("prescription_id", "tenant_id", F.explode("_lines").alias("l"))
+
+    # item lines: items are the left (streamed, AQE-splittable) side of the join, and numbering
+    # never puts a whole prescription into one task when one is hot
+    biggest = h.agg(F.max("_n_items")).first()[0] or 0
+    numbered = number_within(items, "prescription_id", list(order_cols), "_n", hot_group_rows, biggest)
+    hk = h.where(~no_items).select(F.col("id").alias("_hid"), F.col("tenant_id").alias("_htenant"))
+    it = numbered.join(hk, F.col("prescription_id") == F.col("_hid"), "inner")
+    name = _pick(it, MED_NAME_COLUMNS, MEDICINE_DEFAULT)
+    dosage = _pick(it, DOSAGE_COLUMNS, DOSAGE_DEFAULT)
+    duration = _pick(it, ("duration",), NOT_AVAILABLE)
+    tme = _pick(it, TIME_COLUMNS, NOT_AVAILABLE)
+    note = _pick(it, NOTE_COLUMNS, "")
     n = F.col("_n")
-    lines = F.array(
-        *[F.when(first_row, x) for x in header_lines],
-        _line(5, n, 0, F.concat(n.cast("string"), F.lit(". "), name), has_item),
+    item_lines = F.array(
+        _line(5, n, 0, F.concat(n.cast("string"), F.lit(". "), name)),
         _line(5, n, 1, F.concat(F.lit("   Dosage: "), dosage, F.lit(" | Duration: "), duration,
-                                F.lit(" | Time: "), tme), has_item),
-        _line(5, n, 2, F.concat(F.lit("   Note: "), note), has_item & (note != "")),
-        _line(5, 0, 0, F.lit(NO_ITEMS), ~has_item),
+                                F.lit(" | Time: "), tme)),
+        _line(5, n, 2, F.concat(F.lit("   Note: "), note), note != ""),
     )
-    out = j.select(F.col("id").alias("prescription_id"), "tenant_id",
-                   F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("l"))
-    return out.select(
+    body = it.select("prescription_id", F.col("_htenant").alias("tenant_id"),
+                     F.explode(F.filter(item_lines, lambda x: x.isNotNull())).alias("l"))
+    lines = head.unionByName(body)
+    return lines.select(
         "tenant_id", "prescription_id",
         F.concat(F.lit("prescriptions/"), F.col("tenant_id"), F.lit("/"),
                  F.col("prescription_id").cast("string")).alias("doc_path"),

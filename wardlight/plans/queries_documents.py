@@ -82,7 +82,7 @@ def q_prescription_documents(spark, sf_dir):
     cat = Catalog(spark, sf_dir)
     headers = first_source([(t, cat.prescriptions() if t == "prescriptions" else None)
                             for t in HEADER_CANDIDATES], "id")
-    return prescription_document_lines(headers, cat.patients(), cat.doctors(), _first_items(cat, "window"),
+    return prescription_document_lines(headers, cat.patients(), cat.doctors(), _first_items(cat),
                                        order_cols=("line_no", "part_id", "supplier_id", "price"))
 
 
@@ -99,5 +99,5 @@ def q_export_documents(spark, sf_dir):
     intent = Intent.of("export_pdf", ["prescriptions", "patients"], patientName="customer 00000010", limit=100)
     selected = entity_query(cat.tables(), DRIVER_MAPPINGS, intent, "0", AS_OF)
     return documents_for_selection(selected, cat.prescriptions(), cat.patients(), cat.doctors(),
-                                   _first_items(cat, "window"),
+                                   _first_items(cat),
                                    order_cols=("line_no", "part_id", "supplier_id", "price"))
