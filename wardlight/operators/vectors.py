@@ -158,8 +158,8 @@ def vector_topk_batch(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
 def collection_stats(points: DataFrame, emb_col: str = "embedding") -> DataFrame:
     """Per tenant point count, vector size range and the distance (partial aggregates)."""
     return (points.groupBy("tenant_id")
-            .agg(F.count(F.lit(1)).alias("points"), F.min(F.size(emb_col)).alias("dim_min"),
-                 F.max(F.size(emb_col)).alias("dim_max"))
+            .agg(F.count(F.lit(1)).alias("points"), F.min(F.size(emb_col)).cast("bigint").alias("dim_min"),
+                 F.max(F.size(emb_col)).cast("bigint").alias("dim_max"))
             .withColumn("distance", F.lit(DISTANCE)))
 
 
