@@ -95,20 +95,19 @@ def _local_topk(k: int, exclude_self: bool, chunk: int = 1024):
             if exclude_self:
                 S[qidb[:, None] == cid[None, :]] = -np.inf
             kk = min(k, S.shape[1])
-            for i in range(S.shape[0]):
-                row = S[i]
-                # candidates: everything >= the kk-th best score, then exact (score desc, id asc)
-                if kk < len(row):
-                    thr = np.partition(row, len(row) - kk)[len(row) - kk]
-                    cand = np.nonzero(row >= thr)[0]
-                else:
-                    cand = np.arange(len(row))
-                cand = cand[np.isfinite(row[cand])]
-                order = np.lexsort((cid[cand], -row[cand]))[:kk]
-                sel = cand[order]
-                out_q.append(np.full(len(sel), qidb[i], dtype=np.int64))
-                out_c.append(cid[sel])
-                out_s.append(row[sel])
+            # k-th best score per row; every entry at or above it is a candidate (ties kept), so
+            # the exact (score desc, id asc) order is decided below, vectorised over the block
+            thr = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
+            rows, cols = np.nonzero((S >= thr[:, None]) & np.isfinite(S))
+            sc = S[rows, cols]
+            order = np.lexsort((cid[cols], -sc, rows))
+            rows, cols, sc = rows[order], cols[order], sc[order]
+            first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+            rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+            keep = rank < kk
+            out_q.append(qidb[rows[keep]])
+            out_c.append(cid[cols[keep]])
+            out_s.append(sc[keep])
         if not out_q:
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
                                  "id": pd.Series([], dtype="int64"),
