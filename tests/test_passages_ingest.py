@@ -131,3 +131,22 @@ def test_ingest_job_end_to_end_with_quarantine(spark):
     assert out4["processed"] == 1
     st = spark.read.parquet(out4["store"])
     assert st.count() == 6 and st.where("record_id = '3'").first()["text"].endswith("fixed")
+
+
+def test_ingest_stream_with_embedder_equals_batch_passages(spark):
+    from wardlight.operators.ingest import latest_version
+    from wardlight.sources.tables import DRIVER_MAPPINGS, Catalog
+    from wardlight.streaming.jobs import ingest_stream, table_stream
+    sf = "/root/testdata/sf0.001"
+    cat = Catalog(spark, sf)
+    root = scratch_path(spark, "t-ingest-stream")
+    src = table_stream(spark, sf, "orders", cat.raw("orders").schema)
+    q = ingest_stream(Catalog.bind_appointments(src), DRIVER_MAPPINGS["appointments"], root + "/store",
+                      root + "/ck", embedders=[hashing_embedder(8)])
+    q.awaitTermination(300)
+    assert q.exception() is None
+    store = spark.read.parquet(latest_version(spark, root + "/store"))
+    batch = build_passages(cat.appointments(), DRIVER_MAPPINGS["appointments"])
+    assert store.count() == batch.count()
+    assert store.where(F.size("embedding") != 8).count() == 0
+    assert store.select("id", "text").subtract(batch.select("id", "text")).count() == 0

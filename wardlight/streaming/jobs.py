@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from wardlight.operators.ingest import Embedder, embed_passages, latest_version, newest_per_id, upsert
+from wardlight.operators.ingest import Embedder, embed_all, latest_version, newest_per_id, split_embedded, \
+    upsert
 from wardlight.operators.passages import build_passages
 from wardlight.operators.ratelimit import epoch_micros
 from wardlight.operators.sessions import OTHER_LABEL, USER_LABEL
+from wardlight.session import checkpoint_root
 from wardlight.sources.mapping import EntityMapping
 
 
@@ -58,7 +60,10 @@ def ingest_stream(rows: DataFrame, mapping: EntityMapping, store_root: str, chec
         spark = batch.sparkSession
         pts = batch
         if embedders is not None:
-            pts, quarantine = embed_passages(batch, embedders)
+            # embed once: points and quarantine both read the materialised result
+            checkpoint_root(spark)
+            embedded = embed_all(batch, embedders).checkpoint(eager=True)
+            pts, quarantine = split_embedded(embedded)
             quarantine.write.mode("overwrite").parquet(f"{store_root.rstrip('/')}/quarantine/epoch={epoch}")
         current = latest_version(spark, store_root)
         target = f"{store_root.rstrip('/')}/version={epoch + 1}"
