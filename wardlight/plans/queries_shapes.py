@@ -77,7 +77,7 @@ SELECT id, keyword, CAST(d0 AS TIMESTAMP) AS range_start,
 
 @register("date_keywords", _DATE_KW_SQL)
 def q_date_keywords(spark, sf_dir):
-    o = Catalog(spark, sf_dir).raw("orders")
+    o = Catalog(spark, sf_dir, spread=True).raw("orders")
     kw = o.select(F.col("o_orderkey").alias("id"), F.expr(_KW_SPARK).alias("keyword"), "o_orderdate")
     start, end = resolve_date_columns(F.col("keyword"), F.col("o_orderdate"))
     return kw.select("id", "keyword", start.alias("range_start"), end.alias("range_end"))
