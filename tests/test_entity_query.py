@@ -143,3 +143,10 @@ def test_driver_binding_tenant_filter_pushes_and_prunes(spark):
     assert df.count() <= 5
     assert all(r["tenant_id"] == "1" for r in df.collect())
     assert F.col("id") is not None
+
+
+def test_doctor_name_has_no_prefix_form(tables):
+    q = entity_query(tables, MAPPINGS, Intent.of("list", ["doctors"], doctorName="starts with ra"), "t1", AS_OF)
+    assert ids(q) == []                       # contains "starts with ra" → nobody
+    q = entity_query(tables, MAPPINGS, Intent.of("list", ["doctors"], doctorName="AJU B"), "t1", AS_OF)
+    assert ids(q) == [10]

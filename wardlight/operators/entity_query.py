@@ -88,7 +88,8 @@ def build_entity_query(tables: dict[str, DataFrame], mappings: dict[str, EntityM
     # doctor name: on doctors directly, otherwise EXISTS on doctors by doctor_id
     if f.doctorName:
         if target == "doctors":
-            conds.append(_name_predicate(full_name(F.col(first), F.col(last)), f.doctorName, wildcards))
+            # only the patient-name filter knows the "starts with" form; doctor names always match by contains
+            conds.append(name_contains(full_name(F.col(first), F.col(last)), f.doctorName, wildcards))
         elif m.physical("doctor") and "doctors" in tables:
             dm = mappings["doctors"]
             d = tables["doctors"]
