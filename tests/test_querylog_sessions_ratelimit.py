@@ -171,3 +171,38 @@ def test_streams_equal_batch(spark):
         got[r["session_id"]] = r["history"]
     want = {r["session_id"]: r["history"] for r in session_history(cat.messages(), 3).collect()}
     assert got == want
+
+
+def test_streams_carry_state_across_micro_batches(spark):
+    """Input split into ordered files, one file per trigger: state must carry between batches."""
+    import time as _time
+    cat = Catalog(spark, SF)
+    ev = cat.raw("events")
+    folder = scratch_path(spark, "t-multi")
+    # the events cover one month: four chunks of days, written in time order
+    for i, (lo, hi) in enumerate([(1, 8), (8, 15), (15, 22), (22, 32)]):
+        part = ev.where((F.dayofmonth("ts") >= lo) & (F.dayofmonth("ts") < hi))
+        part.coalesce(1).write.parquet(f"{folder}/src/chunk{i}")
+        _time.sleep(1.1)   # file streams pick files in modification order
+    from wardlight.streaming.jobs import table_stream
+    src = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(f"{folder}/src"))
+    run_to_table(rate_limit_stream(Catalog.bind_requests(src), 86_400_000_000, 3), folder + "/rl", folder + "/ck")
+    s = {r["event_id"]: r["accepted"] for r in spark.read.parquet(folder + "/rl").collect()}
+    b = {r["event_id"]: r["accepted"] for r in rate_limit(cat.requests(), 86_400_000_000, 3).collect()}
+    assert s == b
+    assert table_stream is not None
+
+    conv = cat.raw("conversations")
+    for t in range(0, 8, 2):
+        conv.where((F.col("turn") >= t) & (F.col("turn") < t + 2)).coalesce(1).write.parquet(f"{folder}/conv/t{t}")
+        _time.sleep(1.1)
+    csrc = (spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").parquet(f"{folder}/conv"))
+    run_to_table(session_history_stream(Catalog.bind_messages(csrc), 3), folder + "/h", folder + "/ckh",
+                 output_mode="update")
+    got = {}
+    for r in spark.read.parquet(folder + "/h").orderBy("_epoch").collect():
+        got[r["session_id"]] = r["history"]
+    want = {r["session_id"]: r["history"] for r in session_history(cat.messages(), 3).collect()}
+    assert got == want
