@@ -118,3 +118,22 @@ def q_appointments_by_patient(spark, sf_dir):
                          AND contains(lower(d.first_name || ' ' || d.last_name), 'supplier 000000003'))""")
 def q_appointments_by_doctor(spark, sf_dir):
     return _eq(spark, sf_dir, Intent.of("aggregate", ["appointments"], doctorName="Supplier 000000003"), "3")
+
+
+@register("results_count", with_views("appointments") +
+          """SELECT 'list' AS operation, count(*) AS results_count FROM (
+               SELECT * FROM appointments WHERE tenant_id = '4' AND status = 0 ORDER BY id LIMIT 7)
+             UNION ALL
+             SELECT 'aggregate', count(*) FROM appointments WHERE tenant_id = '4' AND status = 0""")
+def q_results_count(spark, sf_dir):
+    """A2: the reported result count — rows returned (after the limit) for a list, the value of
+    ``count`` for an aggregate — for the same filters."""
+    from wardlight.operators.entity_query import build_entity_query, result_count
+    cat = Catalog(spark, sf_dir)
+    out = None
+    for op in ("list", "aggregate"):
+        q = build_entity_query(cat.tables(), DRIVER_MAPPINGS,
+                               Intent.of(op, ["appointments"], status="pending", limit=7), "4", AS_OF)
+        part = result_count(q).select(F.lit(op).alias("operation"), "results_count")
+        out = part if out is None else out.unionByName(part)
+    return out
