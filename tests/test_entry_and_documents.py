@@ -67,3 +67,28 @@ def test_numbering_range_form_equals_window_form_on_a_hot_key(spark):
     assert got == want
     adaptive = number_within(df, "k", ["o"], hot_group_rows=100)
     assert {(r["k"], r["o"]): r["n"] for r in adaptive.collect()} == want
+
+
+def test_checkpoint_root_when_the_session_names_no_folder():
+    from wardlight.session import checkpoint_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Ctx:
+        def __init__(self):
+            self.dir = None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Sess:
+        conf, sparkContext = Conf(), Ctx()
+
+    s = Sess()
+    root = checkpoint_root(s)
+    assert root and s.sparkContext.dir == root and checkpoint_root(s) == root   # stable, no conf.set

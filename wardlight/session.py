@@ -37,19 +37,23 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL_ROOTS: dict[int, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` from the session; sets a scratch folder only where it is unset.
+    Uses ``spark.checkpoint.dir`` from the session (the cluster's shared folder). Only where it is
+    unset (local tests) a scratch folder is created and registered with ``setCheckpointDir`` —
+    the core config itself cannot be changed on a running session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOTS.get(id(sc))
     if not root:
         root = tempfile.mkdtemp(prefix="wardlight-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        _LOCAL_ROOTS[id(sc)] = root
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
