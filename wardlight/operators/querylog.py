@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardlight.functions.text import truthy_or
 from wardlight.plans.intent import DEFAULT_LIMIT, DEFAULT_TARGET, OPERATIONS

@@ -15,7 +15,6 @@ session history (ST3).
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
