@@ -64,16 +64,17 @@ _RL_SCHEMA = T.StructType([
 
 def _limiter(window_us: int, max_requests: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key = None
+        cur = None
         ring: deque = deque()
         for b in batches:
             keys = b["key"].to_numpy()
+            segs = b["_seg"].to_numpy()
             us = b["_us"].to_numpy(dtype=np.int64)
             acc = np.zeros(len(b), dtype=bool)
             for i in range(len(b)):
-                k = keys[i]
-                if k != cur_key:
-                    cur_key, ring = k, deque()
+                k = (keys[i], segs[i])
+                if k != cur:          # a new key, or a new independent segment of the same key
+                    cur, ring = k, deque()
                 t = us[i]
                 while ring and ring[0] <= t - window_us:
                     ring.popleft()
@@ -85,12 +86,44 @@ def _limiter(window_us: int, max_requests: int):
     return run
 
 
+HOT_KEY_ROWS = 2_000_000
+
+
+def idle_split_segments(df: DataFrame, window_us: int) -> DataFrame:
+    """Adds ``_seg``: independent segments of each key's stream.
+
+    A key with no request during a whole window-sized bucket has let every accepted stamp expire,
+    so the limiter state is empty after it: the stream can be cut there without changing any
+    decision. Segments are runs of consecutive non-empty buckets, found on the small distinct
+    (key, bucket) table (a partial aggregate); a hot key is thereby spread over its segments.
+    """
+    b = F.floor(F.col("_us") / F.lit(window_us)).cast("bigint")
+    ev = df.withColumn("_b", b)
+    kb = ev.select("key", "_b").distinct()
+    follows = kb.select("key", (F.col("_b") + 1).alias("_b"))
+    starts = kb.join(follows, ["key", "_b"], "left_anti").withColumn("_start", F.col("_b"))
+    w = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seg = (kb.join(starts, ["key", "_b"], "left")
+           .withColumn("_seg", F.max("_start").over(w)).select("key", "_b", "_seg"))
+    return ev.join(seg, ["key", "_b"], "inner").drop("_b")
+
+
 def rate_limit(events: DataFrame, window_us: int = DEFAULT_WINDOW_US, max_requests: int = DEFAULT_MAX,
                key: str = "key", ts: str = "ts", id_col: str = "event_id",
-               num_partitions: int | None = None) -> DataFrame:
-    """L1 in batch: ``(event_id, key, ts, accepted)`` for every request (ties ordered by id)."""
+               num_partitions: int | None = None, hot_key_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
+    """L1 in batch: ``(event_id, key, ts, accepted)`` for every request (ties ordered by id).
+
+    Skew-adaptive: when the busiest key exceeds ``hot_key_rows`` (one partial aggregate decides;
+    ``None`` forces it), keys are first cut into independent idle-split segments so one hot key is
+    processed by many tasks; a key with no idle window left stays one sequential segment.
+    """
     df = events.select(F.col(id_col).alias("event_id"), F.col(key).cast("bigint").alias("key"),
                        F.col(ts).cast("timestamp_ntz").alias("ts"), _micros(ts).alias("_us"))
+    split = hot_key_rows is None
+    if not split:
+        biggest = df.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+        split = biggest > hot_key_rows
+    df = idle_split_segments(df, window_us) if split else df.withColumn("_seg", F.lit(0).cast("bigint"))
     parts = [num_partitions] if num_partitions else []
-    df = df.repartition(*parts, "key").sortWithinPartitions("key", "_us", "event_id")
+    df = df.repartition(*parts, "key", "_seg").sortWithinPartitions("key", "_seg", "_us", "event_id")
     return df.mapInPandas(_limiter(window_us, max_requests), _RL_SCHEMA)
