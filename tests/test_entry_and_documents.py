@@ -92,3 +92,19 @@ def test_checkpoint_root_when_the_session_names_no_folder():
     s = Sess()
     root = checkpoint_root(s)
     assert root and s.sparkContext.dir == root and checkpoint_root(s) == root   # stable, no conf.set
+
+
+def test_document_sink_per_tenant_and_table_listing(spark, tmpdir_path):
+    import os
+    from wardlight.operators.documents import write_documents
+    from wardlight.sources.discovery import list_tables, register_views
+    from wardlight.sources.tables import Catalog
+    from wardlight.plans.queries_documents import q_prescription_documents
+    lines = q_prescription_documents(spark, "/root/testdata/sf0.001")
+    write_documents(lines, tmpdir_path + "/docs")
+    tenants = sorted(d for d in os.listdir(tmpdir_path + "/docs") if d.startswith("tenant_id="))
+    assert tenants == [f"tenant_id={t}" for t in "01234"]
+    back = spark.read.parquet(tmpdir_path + "/docs")
+    assert back.count() == lines.count()
+    register_views({"wl_patients": Catalog(spark, "/root/testdata/sf0.001").patients()})
+    assert "wl_patients" in {r["table_name"] for r in list_tables(spark).collect()}
