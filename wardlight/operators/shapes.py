@@ -55,14 +55,15 @@ def last_n(df: DataFrame, ts: str, n: int, id_col: str = "id") -> DataFrame:
 def with_event_in_range(parents: DataFrame, events: DataFrame, parent_key: str, event_key: str,
                         ts: str, keyword: str, as_of: dt.datetime) -> DataFrame:
     """Parents having at least one event in the keyword range (left semi join)."""
-    ev = events.where(_between(ts, keyword, as_of)).select(F.col(event_key).alias("_k"))
+    # distinct keys: a partial aggregate collapses a busy key map-side before the shuffle
+    ev = events.where(_between(ts, keyword, as_of)).select(F.col(event_key).alias("_k")).distinct()
     return parents.join(ev, F.col(parent_key) == F.col("_k"), "left_semi")
 
 
 def without_event_in_range(parents: DataFrame, events: DataFrame, parent_key: str, event_key: str,
                            ts: str, keyword: str, as_of: dt.datetime) -> DataFrame:
     """D8 complement: parents with no event in the range (left anti join)."""
-    ev = events.where(_between(ts, keyword, as_of)).select(F.col(event_key).alias("_k"))
+    ev = events.where(_between(ts, keyword, as_of)).select(F.col(event_key).alias("_k")).distinct()
     return parents.join(ev, F.col(parent_key) == F.col("_k"), "left_anti")
 
 
@@ -74,7 +75,7 @@ def distinct_per_key(df: DataFrame, key: str, value: str, out: str) -> DataFrame
 def flagged(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str,
             flag: str) -> DataFrame:
     """Parents with a child row whose flag is set (semi join on the filtered child side)."""
-    ch = children.where(F.col(flag) == 1).select(F.col(child_key).alias("_k"))
+    ch = children.where(F.col(flag) == 1).select(F.col(child_key).alias("_k")).distinct()
     return parents.join(ch, F.col(parent_key) == F.col("_k"), "left_semi")
 
 
