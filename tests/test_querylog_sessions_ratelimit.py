@@ -150,6 +150,8 @@ def test_requests_in_window_halo_equals_plain_window(spark):
     req = Catalog(spark, SF).requests()
     W = 3_600_000_000
     a = {r["event_id"]: r["n_in_window"] for r in requests_in_window(req, W, bucket_us=W).collect()}
+    p = {r["event_id"]: r["n_in_window"] for r in requests_in_window(req, W, hot_window_rows=None).collect()}
+    assert p == a                                  # prefix-count (hot-key) form == halo form
     rows = req.select("event_id", "key", epoch_micros("ts").alias("us")).collect()
     by = {}
     for e, k, u in rows:
@@ -227,3 +229,17 @@ def test_idle_split_spreads_a_bursty_hot_key(spark):
     ref = _limiter([(r[0], r[1], r[2]) for r in df.select("event_id", "key", "_us").collect()], W, 7)
     got = {r["event_id"]: r["accepted"] for r in rate_limit(df.drop("_us"), W, 7, hot_key_rows=None).collect()}
     assert got == ref
+
+
+def test_window_counts_dense_hot_key_with_ties(spark):
+    base = dt.datetime(2024, 1, 1)
+    # one key, 3000 requests in 5 minutes, many sharing the same millisecond; a second quiet key
+    rows = [(i, 1, base + dt.timedelta(milliseconds=100 * (i // 3))) for i in range(3000)]
+    rows += [(10_000 + i, 2, base + dt.timedelta(seconds=90 * i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "event_id long, key long, ts timestamp_ntz")
+    W = 30_000_000
+    us = {r[0]: (r[1], int((r[2] - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)) for r in rows}
+    want = {e: sum(1 for k2, u2 in us.values() if k2 == k and u - W < u2 <= u) for e, (k, u) in us.items()}
+    for hot in (None, 10 ** 9):
+        got = {r["event_id"]: r["n_in_window"] for r in requests_in_window(df, W, hot_window_rows=hot).collect()}
+        assert got == want, hot

@@ -39,19 +39,64 @@ def _micros(ts: str):
     return epoch_micros(ts)
 
 
+HOT_WINDOW_ROWS = 2_000_000
+
+
 def requests_in_window(events: DataFrame, window_us: int, key: str = "key", ts: str = "ts",
-                       id_col: str = "event_id", bucket_us: int | None = None) -> DataFrame:
-    """``(id, key, ts, n_in_window)`` with n = rows of the key whose time is in (ts - w, ts]."""
+                       id_col: str = "event_id", bucket_us: int | None = None,
+                       hot_window_rows: int | None = HOT_WINDOW_ROWS) -> DataFrame:
+    """``(id, key, ts, n_in_window)`` with n = rows of the key whose time is in (ts - w, ts].
+
+    Skew-adaptive: one partial aggregate finds the busiest (key, window-bucket); below
+    ``hot_window_rows`` the halo-bucket window runs, above it (or with ``None``) the prefix-count
+    form, which never puts one key's window into one task.
+    """
+    base = events.select(F.col(id_col).alias("_id"), F.col(key).alias("_key"), F.col(ts).alias("_ts"),
+                         _micros(ts).alias("_us"))
+    prefix = hot_window_rows is None
+    if not prefix:
+        busiest = (base.groupBy("_key", F.floor(F.col("_us") / F.lit(window_us)).alias("_b"))
+                   .agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0)
+        prefix = busiest > hot_window_rows
+    out = _window_counts_prefix(base, window_us) if prefix else _window_counts_halo(base, window_us, bucket_us)
+    return out.select(F.col("_id").alias(id_col), F.col("_key").alias(key), F.col("_ts").alias(ts),
+                      "n_in_window")
+
+
+def _window_counts_halo(base: DataFrame, window_us: int, bucket_us: int | None) -> DataFrame:
     b = max(bucket_us or window_us, window_us)
-    base = events.select(F.col(id_col), F.col(key), F.col(ts), _micros(ts).alias("_us"))
     base = base.withColumn("_bucket", F.floor(F.col("_us") / F.lit(b)).cast("bigint"))
     own = base.withColumn("_own", F.lit(True))
     halo = base.withColumn("_bucket", F.col("_bucket") + 1).withColumn("_own", F.lit(False))
     both = own.unionByName(halo)
-    w = (Window.partitionBy(key, "_bucket").orderBy("_us")
+    w = (Window.partitionBy("_key", "_bucket").orderBy("_us")
          .rangeBetween(-(window_us - 1), Window.currentRow))
     counted = both.withColumn("n_in_window", F.count(F.lit(1)).over(w))
-    return counted.where(F.col("_own")).select(id_col, key, ts, "n_in_window")
+    return counted.where(F.col("_own")).select("_id", "_key", "_ts", "n_in_window")
+
+
+def _window_counts_prefix(base: DataFrame, window_us: int) -> DataFrame:
+    """n = C(t) - C(t - w), C = the key's running count of requests at or before a time.
+
+    Every request contributes 1 at its time; two zero-weight probes per request sit at t and t - w,
+    ordered after the requests of the same instant, so the running sum at a probe is C at that
+    time. The running sum is the skew-proof ``running_sum_within``; probes are paired back by a
+    partial aggregate on the request id.
+    """
+    from wardlight.functions.numbering import running_sum_within
+    reals = base.select("_key", F.col("_us").alias("_t"), F.lit(0).alias("_kind"), "_id",
+                        F.lit("").alias("_role"), F.lit(1).alias("_v"))
+    upper = base.select("_key", F.col("_us").alias("_t"), F.lit(1).alias("_kind"), "_id",
+                        F.lit("u").alias("_role"), F.lit(0).alias("_v"))
+    lower = base.select("_key", (F.col("_us") - F.lit(window_us)).alias("_t"), F.lit(1).alias("_kind"), "_id",
+                        F.lit("l").alias("_role"), F.lit(0).alias("_v"))
+    c = running_sum_within(reals.unionByName(upper).unionByName(lower), "_key",
+                           ["_t", "_kind", "_id", "_role"], "_v", "_c")
+    probes = (c.where(F.col("_kind") == 1).groupBy("_id")
+              .agg((F.max(F.when(F.col("_role") == "u", F.col("_c")))
+                    - F.max(F.when(F.col("_role") == "l", F.col("_c")))).alias("n_in_window")))
+    return base.join(probes, "_id", "inner").select("_id", "_key", "_ts",
+                                                    F.col("n_in_window").cast("bigint").alias("n_in_window"))
 
 
 _RL_SCHEMA = T.StructType([
