@@ -150,3 +150,16 @@ def test_doctor_name_has_no_prefix_form(tables):
     assert ids(q) == []                       # contains "starts with ra" → nobody
     q = entity_query(tables, MAPPINGS, Intent.of("list", ["doctors"], doctorName="AJU B"), "t1", AS_OF)
     assert ids(q) == [10]
+
+
+def test_tenant_layout_turns_the_tenant_filter_into_partition_pruning(spark, tmpdir_path):
+    from wardlight.sources.tables import read_by_tenant, write_by_tenant
+    cat = Catalog(spark, "/root/testdata/sf0.001")
+    write_by_tenant(cat.appointments(), tmpdir_path + "/appointments")
+    laid_out = read_by_tenant(spark, tmpdir_path + "/appointments")
+    tables = {"appointments": laid_out}
+    q = entity_query(tables, DRIVER_MAPPINGS, Intent.of("aggregate", ["appointments"]), "1", AS_OF)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan and "(tenant_id" in plan and "= 1)" in plan
+    direct = entity_query(cat.tables(), DRIVER_MAPPINGS, Intent.of("aggregate", ["appointments"]), "1", AS_OF)
+    assert q.first()["count"] == direct.first()["count"]

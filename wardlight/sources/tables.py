@@ -106,6 +106,24 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: st
     return reader.load()
 
 
+def write_by_tenant(df: DataFrame, path: str, tenant_col: str = "tenant_id",
+                    mode: str = "overwrite") -> None:
+    """Lay a logical table out as ``<path>/tenant_id=<t>/`` so the mandatory tenant filter (F1)
+    becomes partition pruning. No repartition by tenant first: every task writes its own rows of
+    every tenant it holds, so a tenant with a third of all rows is still written by many tasks."""
+    df.write.mode(mode).partitionBy(tenant_col).parquet(path)
+
+
+def read_by_tenant(spark: SparkSession, path: str, tenant_col: str = "tenant_id") -> DataFrame:
+    """Read a tenant-partitioned table with the partition column declared as a string (the
+    library-wide tenant type), so ``tenant_id = 't'`` prunes folders without any cast."""
+    from pyspark.sql import types as T
+    inferred = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType(), True) if f.name == tenant_col else f
+              for f in inferred.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def _tenant(key: Column) -> Column:
     return F.pmod(key, F.lit(N_TENANTS)).cast("string")
 
