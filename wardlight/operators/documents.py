@@ -111,7 +111,9 @@ def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, d
     tests = _pick(h, TEST_COLUMNS, "")
     gender = _pick(h, ("patient_gender",), NOT_AVAILABLE)
     dob = _pick(h, ("patient_dob",), NOT_AVAILABLE)
-    date_s = F.date_format(F.col("created_at"), "yyyy-MM-dd")
+    # a header without a creation time shows the day the document is built
+    date_s = F.date_format(F.coalesce(F.col("created_at").cast("timestamp_ntz"),
+                                      F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd")
     has_problem, has_tests, has_advice = problem != "", tests != "", advice != ""
     header_lines = [
         _line(0, 0, 0, F.lit(heading)),
@@ -194,7 +196,9 @@ def document_bodies(lines: DataFrame) -> DataFrame:
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
-    """One folder per tenant; rows sorted by (document, layout) inside each file."""
-    (lines.repartition("tenant_id", "prescription_id")
-     .sortWithinPartitions("prescription_id", "section", "item_no", "sub")
+    """One folder per tenant, rows sorted by (document, layout) inside each file.
+
+    No shuffle: every task writes the lines it holds (a huge document may span files; readers
+    order by ``prescription_id, section, item_no, sub``)."""
+    (lines.sortWithinPartitions("tenant_id", "prescription_id", "section", "item_no", "sub")
      .write.mode("overwrite").partitionBy("tenant_id").parquet(path))
