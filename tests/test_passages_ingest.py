@@ -150,3 +150,17 @@ def test_ingest_stream_with_embedder_equals_batch_passages(spark):
     assert store.count() == batch.count()
     assert store.where(F.size("embedding") != 8).count() == 0
     assert store.select("id", "text").subtract(batch.select("id", "text")).count() == 0
+
+
+def test_ingest_recovers_from_a_crashed_uncommitted_version(spark):
+    root = scratch_path(spark, "ingest-crash")
+    m = EntityMapping("a", "appts", {"id": "id", "tenant": "tenant_id", "status": "status"})
+    v1 = spark.createDataFrame([(i, "t", "ok", T0 + dt.timedelta(hours=i)) for i in range(4)],
+                               "id long, tenant_id string, status string, updated_at timestamp_ntz")
+    # a crashed earlier attempt left version=0 without its _SUCCESS marker
+    spark.createDataFrame([(1,)], "x int").write.parquet(root + "/store/version=0")
+    import os
+    os.remove(root.replace("file:", "") + "/store/version=0/_SUCCESS")
+    out = run_incremental_ingest(spark, {"a": (v1, m)}, root + "/store", root + "/state", [hashing_embedder(4)])
+    assert out["processed"] == 4 and out["store"].endswith("version=0")
+    assert spark.read.parquet(out["store"]).count() == 4

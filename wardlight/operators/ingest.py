@@ -266,10 +266,11 @@ def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFra
         merged = upsert(store, points)
     else:
         merged = newest_per_id(points)
-    merged.write.mode("errorifexists").parquet(new_store_path)
+    # the target version has no _SUCCESS yet: any folder there is a crashed attempt, so overwrite
+    merged.write.mode("overwrite").parquet(new_store_path)
     q_path = f"{q_root}/{new_store_path.rsplit('/', 1)[1]}"
     quarantine.write.mode("overwrite").parquet(q_path)
     new_state = high_water(points, state)
-    new_state.write.mode("errorifexists").parquet(_next_version(state_path, state_root))
+    new_state.write.mode("overwrite").parquet(_next_version(state_path, state_root))
     rows, processed = int(counters.get("rows") or 0), int(counters.get("processed") or 0)
     return {"processed": processed, "failed": rows - processed, "store": new_store_path}
