@@ -64,3 +64,27 @@ def test_column_form_matches_driver_form(spark):
         except InvalidDate:
             want = (None, None)
         assert (r["s"], r["e"]) == want, (r["kw"], r["now"])
+
+
+def test_column_form_matches_driver_form_on_random_cases(spark):
+    import random
+    rnd = random.Random(7)
+    words = ["today", "Yesterday", "LAST WEEK", "last month", "tomorrow", "this month", "next year", ""]
+    rows = []
+    for _ in range(600):
+        now = dt.datetime(1995, 1, 1) + dt.timedelta(days=rnd.randrange(0, 365 * 30))
+        if rnd.random() < 0.5:
+            kw = rnd.choice(words)
+        else:
+            y, m, d = rnd.randrange(1990, 2031), rnd.randrange(0, 14), rnd.randrange(0, 33)
+            iso = f"{y:04d}-{m:02d}-{d:02d}"
+            kw = iso if rnd.random() < 0.8 else f"on {iso}"
+        rows.append((kw, now.strftime("%Y-%m-%d 00:00:00")))
+    df = spark.createDataFrame(rows, "kw string, now string").withColumn("now", F.col("now").cast("timestamp_ntz"))
+    s, e = resolve_date_columns(F.col("kw"), F.col("now"))
+    for r in df.select("kw", "now", s.alias("s"), e.alias("e")).collect():
+        try:
+            want = resolve_date_range(r["kw"], r["now"])
+        except InvalidDate:
+            want = (None, None)
+        assert (r["s"], r["e"]) == want, (r["kw"], r["now"])
