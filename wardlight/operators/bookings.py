@@ -9,7 +9,8 @@ needles (the list of distinct lengths is tiny: at most the longest name), the su
 semi-joined against the distinct needles right after generation (so only matching substrings are
 shuffled), and ``min(id)`` per (tenant, substring) is a partial aggregate. Requests then equi-join
 that index on (tenant, needle): no pairs, no nested loop, and a hot needle shared by many
-requests is just a skewed equi-join key that AQE splits.
+requests is just a skewed equi-join key that AQE splits. A fixed-size hash prefilter (a broadcast
+of at most ``PREFILTER_BUCKETS`` bucket ids) drops non-matching substrings before the shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from wardlight.functions.dates import ts_literal
 from wardlight.functions.text import js_trim
 
+# Size of the needle-hash prefilter: the broadcast bucket set has at most this many rows, a bound
+# fixed by the parameter and independent of the data.
+PREFILTER_BUCKETS = 1 << 20
+
 REASON_PATIENT = "patient_not_found"
 REASON_DOCTOR = "doctor_not_found"
 REASON_BOTH = "patient_and_doctor_not_found"
@@ -54,6 +59,12 @@ def substring_index(names: DataFrame, needles: DataFrame, name_cols: list[str],
     arrays = [grams(F.lower(F.col(c)), n) for c in name_cols for n in sorted(lengths)]
     subs = names.select(F.col(tenant_col).cast("string").alias("_st"), F.col(id_col).alias("_id"),
                         F.explode(F.array_distinct(F.flatten(F.array(*arrays)))).alias("_sub"))
+    # map-side prefilter: substrings whose (tenant, text) hash bucket holds no needle are dropped
+    # before any shuffle; the bucket set is bounded by PREFILTER_BUCKETS rows, so broadcasting it
+    # is safe at any scale (one-hash Bloom filter; the exact join below removes false positives)
+    buckets = nd.select(F.pmod(F.xxhash64("_nt", "_nn"), F.lit(PREFILTER_BUCKETS)).alias("_h")).distinct()
+    subs = (subs.withColumn("_h", F.pmod(F.xxhash64("_st", "_sub"), F.lit(PREFILTER_BUCKETS)))
+            .join(F.broadcast(buckets), "_h", "left_semi").drop("_h"))
     hits = subs.join(nd, (F.col("_st") == F.col("_nt")) & (F.col("_sub") == F.col("_nn")), "left_semi")
     return (hits.groupBy("_st", "_sub").agg(F.min("_id").alias("match_id"))
             .select(F.col("_st").alias(tenant_col), F.col("_sub").alias("needle"), "match_id"))
