@@ -114,3 +114,13 @@ def test_collection_info_json_round_trip(spark, tmpdir_path):
     back = spark.read.json(tmpdir_path + "/info")
     assert sorted(map(tuple, back.select("tenant_id", "points", "dim_min", "distance").collect())) == \
         sorted(map(tuple, stats.select("tenant_id", "points", "dim_min", "distance").collect()))
+
+
+def test_arrow_and_sql_scoring_agree(spark):
+    rows = [(1, "a", [1.0, 0.0, 2.0]), (2, "a", [0.0, 0.0, 0.0]), (3, "a", None), (4, "a", [1.0, 1.0]),
+            (5, "a", [3.0, -1.0, 0.5])]
+    c = spark.createDataFrame(rows, "id long, tenant_id string, embedding array<float>")
+    q = [0.5, 0.25, 1.0]
+    a = {r["id"]: r["score"] for r in vector_search(c, q, "a", k=10).collect()}
+    s = {r["id"]: r["score"] for r in vector_search(c, q, "a", k=10, method="sql").collect()}
+    assert a == s and set(a) == {1, 5}        # zero, null and wrong-size vectors score null
