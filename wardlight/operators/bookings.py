@@ -5,7 +5,7 @@ first *or* last name contains the fragment (case-insensitive) within the request
 
 A ``contains`` join condition would plan as a nested-loop join. Instead we build an exact
 *substring index*: every name emits its substrings of exactly the lengths that occur among the
-needles (the list of distinct lengths is tiny: at most the longest name), the substrings are
+needles (the list of distinct lengths is tiny: at most the longest needle), the substrings are
 semi-joined against the distinct needles right after generation (so only matching substrings are
 shuffled), and ``min(id)`` per (tenant, substring) is a partial aggregate. Requests then equi-join
 that index on (tenant, needle): no pairs, no nested loop, and a hot needle shared by many
@@ -38,16 +38,23 @@ def _norm_needle(c: Column) -> Column:
 
 
 def substring_index(names: DataFrame, needles: DataFrame, name_cols: list[str],
-                    id_col: str = "id", tenant_col: str = "tenant_id") -> DataFrame:
+                    id_col: str = "id", tenant_col: str = "tenant_id",
+                    lengths: list[int] | None = None) -> DataFrame:
     """``(tenant_id, needle, match_id)``: smallest id whose any ``name_col`` contains ``needle``.
 
-    ``needles`` has ``(tenant_id, needle)`` with lower-cased needles.
+    ``needles`` has ``(tenant_id, needle)`` with lower-cased needles. ``lengths`` (the distinct
+    needle lengths, at most the longest needle) is computed with one small aggregate when absent.
     """
     nd = needles.select(F.col(tenant_col).alias("_nt"), F.col("needle").alias("_nn")).distinct()
-    max_name = names.select(F.greatest(*[F.length(F.col(c)) for c in name_cols]).alias("m")) \
-        .agg(F.max("m")).first()[0] or 0
-    lengths = [r[0] for r in nd.select(F.length("_nn")).distinct().collect()
-               if r[0] is not None and 0 < r[0] <= max_name]
+    if lengths is None:
+        lengths = [r[0] for r in nd.select(F.length("_nn")).distinct().collect()]
+    lengths = sorted({int(n) for n in lengths if n is not None and n > 0})
+    if len(lengths) > 32:
+        # many distinct needle lengths: keep only those a name can contain (one small aggregate),
+        # so the projection stays small
+        longest = names.select(F.greatest(*[F.length(F.col(c)) for c in name_cols]).alias("m")) \
+            .agg(F.max("m")).first()[0] or 0
+        lengths = [n for n in lengths if n <= longest]
     if not lengths:
         return nd.select(F.col("_nt").alias(tenant_col), F.col("_nn").alias("needle"),
                          F.lit(None).cast("bigint").alias("match_id")).where(F.lit(False))
@@ -56,7 +63,7 @@ def substring_index(names: DataFrame, needles: DataFrame, name_cols: list[str],
                       F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda p: low.substr(p, F.lit(n)))
                       ).otherwise(F.array().cast("array<string>"))
 
-    arrays = [grams(F.lower(F.col(c)), n) for c in name_cols for n in sorted(lengths)]
+    arrays = [grams(F.lower(F.col(c)), n) for c in name_cols for n in lengths]
     subs = names.select(F.col(tenant_col).cast("string").alias("_st"), F.col(id_col).alias("_id"),
                         F.explode(F.array_distinct(F.flatten(F.array(*arrays)))).alias("_sub"))
     # map-side prefilter: substrings whose (tenant, text) hash bucket holds no needle are dropped
@@ -85,10 +92,12 @@ def resolve_bookings(requests: DataFrame, patients: DataFrame, doctors: DataFram
                         _norm_needle(F.col("patient_name")).alias("pn"),
                         _norm_needle(F.col("doctor_name")).alias("dn"),
                         js_trim(F.col("date")).alias("date"))
+    # both needle-length sets in one small aggregate (each bounded by the longest needle)
+    lens = r.agg(F.collect_set(F.length("pn")).alias("p"), F.collect_set(F.length("dn")).alias("d")).first()
     pidx = substring_index(patients, r.select("tenant_id", F.col("pn").alias("needle")).where("needle IS NOT NULL"),
-                           ["first_name", "last_name"])
+                           ["first_name", "last_name"], lengths=list(lens["p"]))
     didx = substring_index(doctors, r.select("tenant_id", F.col("dn").alias("needle")).where("needle IS NOT NULL"),
-                           ["first_name", "last_name"])
+                           ["first_name", "last_name"], lengths=list(lens["d"]))
     j = (r.join(pidx.select(F.col("tenant_id").alias("_pt"), F.col("needle").alias("_pn"),
                             F.col("match_id").alias("patient_id")),
                 (F.col("tenant_id") == F.col("_pt")) & (F.col("pn") == F.col("_pn")), "left")
