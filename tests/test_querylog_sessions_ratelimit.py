@@ -181,7 +181,16 @@ def test_streams_equal_batch(spark):
 
 
 def test_streams_carry_state_across_micro_batches(spark):
-    """Input split into ordered files, one file per trigger: state must carry between batches."""
+    """Input split into ordered files, one file per trigger: state must carry between batches
+    (run under a non-UTC session zone: watermark and state timeout must share one clock)."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        _carry_state_check(spark)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _carry_state_check(spark):
     import time as _time
     cat = Catalog(spark, SF)
     ev = cat.raw("events")

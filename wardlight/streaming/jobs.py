@@ -103,9 +103,14 @@ def _rl_state_fn(window_us: int, max_requests: int):
                 acc.append(True)
             else:
                 acc.append(False)
-        state.update((ring,))
         if ring:
-            state.setTimeoutTimestamp(int(max(ring) // 1000 + window_us // 1000))
+            state.update((ring,))
+            # the timeout lives on the watermark's clock (the zoned event time): once the watermark
+            # passes the key's last event plus one window, every stamp has expired
+            last_ms = int(batch["_evt_ms"].max())
+            state.setTimeoutTimestamp(max(last_ms + window_us // 1000, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
         yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "key": batch["key"].to_numpy(),
                             "ts": batch["ts"].to_numpy(), "accepted": acc})
     return fn
@@ -119,6 +124,7 @@ def rate_limit_stream(requests: DataFrame, window_us: int, max_requests: int,
                           F.col("ts").cast("timestamp_ntz").alias("ts"),
                           F.col("ts").cast("timestamp").alias("_ts"))
           .withColumn("_us", epoch_micros("ts"))
+          .withColumn("_evt_ms", F.unix_millis("_ts"))
           .withWatermark("_ts", wm))
     return (df.groupBy("key")
             .applyInPandasWithState(_rl_state_fn(window_us, max_requests), RL_OUT, RL_STATE,
