@@ -190,3 +190,17 @@ def test_upsert_matches_a_python_model_on_random_batches(spark):
     got = {r["id"]: tuple(r) for r in once.collect()}
     assert got == model
     assert {r["id"]: tuple(r) for r in upsert(once, i_df).collect()} == model   # replay-safe
+
+
+def test_zoned_timestamps_render_in_utc(spark):
+    from pyspark.sql import types as T
+    from wardlight.functions.text import js_string
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT TIMESTAMP '2024-03-10 01:30:00' AS z, TIMESTAMP_NTZ '2024-03-10 01:30:00' AS n")
+        r = df.select(js_string(F.col("z"), T.TimestampType()).alias("z"),
+                      js_string(F.col("n"), T.TimestampNTZType()).alias("n")).first()
+        assert r["z"] == "2024-03-10T06:30:00.000Z"     # 01:30 New York (EST) is 06:30 UTC
+        assert r["n"] == "2024-03-10T01:30:00.000Z"     # wall-clock values keep their digits
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -49,8 +49,12 @@ def js_string(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         d = c.cast("double")
         return F.when(d == F.floor(d), F.floor(d).cast("bigint").cast("string")).otherwise(d.cast("string"))
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, T.TimestampNTZType):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    if isinstance(dtype, T.TimestampType):
+        # an instant: render its UTC wall clock, as ``toISOString`` does, whatever the session zone
+        utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+        return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     if isinstance(dtype, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(dtype, T.BooleanType):
