@@ -108,3 +108,14 @@ def test_document_sink_per_tenant_and_table_listing(spark, tmpdir_path):
     assert back.count() == lines.count()
     register_views({"wl_patients": Catalog(spark, "/root/testdata/sf0.001").patients()})
     assert "wl_patients" in {r["table_name"] for r in list_tables(spark).collect()}
+
+
+def test_first_source_third_candidate_and_ties(spark):
+    schema = "prescription_id long, line_no int, medicine_name string"
+    a = spark.createDataFrame([(1, 1, "A1")], schema)
+    b = spark.createDataFrame([(1, 1, "B1"), (2, 1, "B2")], schema)
+    c = spark.createDataFrame([(1, 1, "C1"), (2, 1, "C2"), (3, 1, "C3"), (3, 2, "C3b")], schema)
+    for method in ("aggregate", "window"):
+        got = sorted((r["prescription_id"], r["medicine_name"], r["source_table"]) for r in
+                     first_source([("t1", a), ("t2", b), ("t3", c), ("t4", None)], "prescription_id", method).collect())
+        assert got == [(1, "A1", "t1"), (2, "B2", "t2"), (3, "C3", "t3"), (3, "C3b", "t3")], method
