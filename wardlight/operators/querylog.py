@@ -116,6 +116,7 @@ def route_actions(spark: SparkSession, labelled: DataFrame, key_cols: list[str])
 # Model reply → intent (greedy braces, parse, validate, repair)
 # ---------------------------------------------------------------------------------------------
 
+# Error text and defaults of the reply parser.
 NO_JSON = "No valid JSON object found in LLM response"
 PARSE_ERROR = "JSON Parse error"
 DEFAULT_JUSTIFICATION = "Automatically inferred intent"
@@ -219,6 +220,7 @@ def parse_structured(df: DataFrame, text_col: str = "reply") -> DataFrame:
 # Request normalisation
 # ---------------------------------------------------------------------------------------------
 
+# Fixed value: the error of a request without a query.
 QUERY_REQUIRED = "Query is required. Please provide 'query' or 'user_query' in the request body."
 
 
