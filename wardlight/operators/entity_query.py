@@ -23,6 +23,7 @@ from wardlight.plans.intent import Intent
 from wardlight.sources.mapping import EntityMapping
 from wardlight.sources.tables import STATUS_CODES
 
+# Fixed value: the prefix form of a patient-name filter.
 STARTS_WITH = "starts with "
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from wardlight.functions.text import clean_value, falsy_to_null, js_string, stable_id
 from wardlight.sources.mapping import EntityMapping
 
+# Passage length cap, title fallback length, tenant of rows without one.
 MAX_TEXT_CHARS = 2000
 TITLE_FALLBACK_CHARS = 100
 DEFAULT_TENANT = "default"

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Default limiter window (60 s) and request budget per window.
 DEFAULT_WINDOW_US = 60_000 * 1000  # 60 s
 DEFAULT_MAX = 100
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: messages kept per session.
 HISTORY_LENGTH = 10
 # Role labels in the rendered history.
 USER_LABEL, OTHER_LABEL = "User", "Assistant"
