@@ -8,6 +8,7 @@ cluster); only when that is unset (local tests) do we fall back to a fresh scrat
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,23 +40,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-_LOCAL_ROOTS: dict[int, str] = {}
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` from the session (the cluster's shared folder). Only where it is
-    unset (local tests) a scratch folder is created and registered with ``setCheckpointDir`` —
-    the core config itself cannot be changed on a running session.
+    In order: ``spark.checkpoint.dir``, the folder already given to ``setCheckpointDir``, and on a
+    local master only a new scratch folder. Elsewhere an unset folder is an error: a folder of one
+    machine would lose its files with that machine.
     """
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOTS.get(id(sc))
-    if not root:
-        root = tempfile.mkdtemp(prefix="wardlight-ckpt-")
-        _LOCAL_ROOTS[id(sc)] = root
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(root)
+        return root
+    root = sc.getCheckpointDir()
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wardlight-ckpt-"))
+        root = sc.getCheckpointDir()
     return root
 
 
