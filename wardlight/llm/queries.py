@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from wardlight.llm import token_files
+from wardlight.llm import kd_shards, token_files
 from wardlight.llm.common import read_table
 
 QUERIES: dict = {}
@@ -24,3 +25,11 @@ def register(name: str, sql: str | None = None):
 def op1_token_files(spark, sf_dir):
     return token_files.token_file_digest(read_table(spark, sf_dir, "documents"),
                                          public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op2_kd_shards")
+def op2_kd_shards(spark, sf_dir):
+    rows = kd_shards.kd_shards(read_table(spark, sf_dir, "documents"),
+                               ["doc_id", "size", "lang", "source"], shards=24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
