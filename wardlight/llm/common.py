@@ -147,6 +147,43 @@ def window_starts(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(n.sum())) - np.repeat(head, n) + np.repeat(first, n), row
 
 
+class Memo(dict):
+    """Values of ``compute`` by key, in two generations: when the young one is full it becomes the
+    old one, and what is asked for again moves up. Holds at most twice ``size`` keys."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+# The letters, digits and white space of the first 256 code points.
+LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+LATIN_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_SPACE = "\t-\r \x85\xa0"
+
+
+def is_latin(text: str) -> bool:
+    """Whether all characters are of the first 256 code points."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import kd_shards, token_files
+from wardlight.llm import bpe_fst, kd_shards, token_files
 from wardlight.llm.common import read_table
 
 QUERIES: dict = {}
@@ -33,3 +33,15 @@ def op2_kd_shards(spark, sf_dir):
                                ["doc_id", "size", "lang", "source"], shards=24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op4_bpe_fst")
+def op4_bpe_fst(spark, sf_dir):
+    return bpe_digest(read_table(spark, sf_dir, "documents"))
+
+
+def bpe_digest(docs):
+    rows = bpe_fst.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
