@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fst, kd_shards, token_files
+from wardlight.llm import bpe_fst, kd_shards, substring_dedup, token_files
 from wardlight.llm.common import read_table
 
 QUERIES: dict = {}
@@ -45,3 +45,10 @@ def bpe_digest(docs):
     return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op5_substring_dedup")
+def op5_substring_dedup(spark, sf_dir):
+    rows = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed",
+                       F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
