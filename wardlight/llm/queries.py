@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fst, kd_shards, substring_dedup, token_files
+from wardlight.llm import bpe_fst, kd_shards, ngram_join, substring_dedup, token_files
 from wardlight.llm.common import read_table
 
 QUERIES: dict = {}
@@ -52,3 +52,8 @@ def op5_substring_dedup(spark, sf_dir):
     rows = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed",
                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op3_ngram_join")
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
