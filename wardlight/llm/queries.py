@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fst, kd_shards, ngram_join, substring_dedup, token_files
+from wardlight.llm import bpe_fst, kd_shards, ngram_join, substring_dedup, token_files, top_k, url_templates
 from wardlight.llm.common import read_table
 
 QUERIES: dict = {}
@@ -57,3 +57,27 @@ def op5_substring_dedup(spark, sf_dir):
 @register("op3_ngram_join")
 def op3_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+# The rules of the query's contract.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+             ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@register("op6_url_templates")
+def op6_url_templates(spark, sf_dir):
+    return url_templates.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register("op10_exact_top_k", """
+    WITH used AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM used q JOIN used c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 20""")
+def op10_exact_top_k(spark, sf_dir):
+    return top_k.top_k(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
