@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fst, kd_shards, ngram_join, substring_dedup, token_files, top_k, url_templates
+from wardlight.llm import bpe_fst, byte_cnn, kd_shards, ngram_join, substring_dedup, token_files, top_k, url_templates
 from wardlight.llm.common import read_table
 
 QUERIES: dict = {}
@@ -81,3 +81,8 @@ def op6_url_templates(spark, sf_dir):
     FROM scored QUALIFY rank <= 20""")
 def op10_exact_top_k(spark, sf_dir):
     return top_k.top_k(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
+@register("op7_byte_cnn")
+def op7_byte_cnn(spark, sf_dir):
+    return byte_cnn.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
