@@ -64,13 +64,14 @@ def slices(offs: np.ndarray, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int
         i = j
 
 
-def split_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the number of words of each row."""
+def split_words(buf: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the number of words of each row; ``apart`` marks the 256
+    byte values that stand between words."""
     n = len(buf)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs) - 1, np.int64)
-    word = ~_SPACE[buf]
+    word = ~apart[buf]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()

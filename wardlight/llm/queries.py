@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fst, byte_cnn, kd_shards, ngram_join, substring_dedup, token_files, top_k, url_templates
+from wardlight.llm import bpe_fst, byte_cnn, kd_shards, language_crf, ngram_join, substring_dedup, token_files, top_k, url_templates
 from wardlight.llm.common import read_table
 
 QUERIES: dict = {}
@@ -86,3 +86,8 @@ def op10_exact_top_k(spark, sf_dir):
 @register("op7_byte_cnn")
 def op7_byte_cnn(spark, sf_dir):
     return byte_cnn.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register("op8_language_crf")
+def op8_language_crf(spark, sf_dir):
+    return language_crf.identify(read_table(spark, sf_dir, "documents"))
