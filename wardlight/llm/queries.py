@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fst, byte_cnn, kd_shards, language_crf, ngram_join, substring_dedup, token_files, top_k, url_templates
+from wardlight.llm import bpe_fst, byte_cnn, decontaminate, kd_shards, language_crf, ngram_join, substring_dedup, token_files, top_k, url_templates
 from wardlight.llm.common import read_table
 
 QUERIES: dict = {}
@@ -91,3 +91,8 @@ def op7_byte_cnn(spark, sf_dir):
 @register("op8_language_crf")
 def op8_language_crf(spark, sf_dir):
     return language_crf.identify(read_table(spark, sf_dir, "documents"))
+
+
+@register("op9_decontaminate")
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
