@@ -238,9 +238,10 @@ def train(docs: DataFrame) -> LanguageCrf:
     return LanguageCrf(languages).fit(texts, np.array([languages.index(x) for x in labels], np.int64))
 
 
-def label_documents(docs: DataFrame, model: LanguageCrf, id_column: str = "doc_id") -> DataFrame:
-    """``id_column``, lang_pred, score, and words: the number of words per language label."""
-    schema = docs.select(F.col(id_column).alias("id"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),
+def label_documents(docs: DataFrame, model: LanguageCrf, carried: list[str]) -> DataFrame:
+    """The ``carried`` columns as one struct, lang_pred, score, and words: the number of words per
+    language label."""
+    schema = docs.select(F.struct(*carried).alias("carried"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),
                          F.array(F.struct(F.lit("").alias("lang"), F.lit(0).cast("long").alias("n"))).alias("words")).schema
     names = np.array([*model.languages, UNKNOWN])
     n = len(model.languages)
@@ -268,15 +269,15 @@ def label_documents(docs: DataFrame, model: LanguageCrf, id_column: str = "doc_i
                 words += [[{"lang": x, "n": k} for x, k in zip(model.languages, r) if k] for r in label.tolist()]
             z = np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(names[np.concatenate([z.astype(int), *best])].tolist(), pa.string()),
+                [batch["carried"], pa.array(names[np.concatenate([z.astype(int), *best])].tolist(), pa.string()),
                  pa.array(np.concatenate([z, *score]), pa.float64()),
                  pa.array(words, pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))],
-                ["id", "lang_pred", "score", "words"])
+                ["carried", "lang_pred", "score", "words"])
 
-    return docs.select(F.col(id_column).alias("id"), "text").mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return docs.select(F.struct(*carried).alias("carried"), "text").mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, words, learned from the documents that are not held out."""
-    found = label_documents(docs, train(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "words")
+    found = label_documents(docs, train(docs), ["doc_id"])
+    return found.select("carried.doc_id", held_out(F.col("carried.doc_id")).alias("held_out"), "lang_pred", "score", "words")

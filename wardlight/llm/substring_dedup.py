@@ -17,6 +17,7 @@ result; other columns are carried where asked for and never clash.
 from __future__ import annotations
 
 import functools
+import re
 from itertools import compress
 
 import numpy as np
@@ -30,6 +31,7 @@ from wardlight.llm.window_counts import Layout, estimated_orders, merged_orders,
 WINDOW = 13
 BUCKET_BYTES = 32 << 20    # text volume per bucket of the exact grouping
 _FIRST, _SECOND = 11, 12   # seeds
+_WITH_SPACE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
 
 @functools.lru_cache(maxsize=4)
@@ -119,7 +121,7 @@ def _repeats(suspects: DataFrame) -> DataFrame:
     return suspects.groupBy("bucket").applyInArrow(run, "block int, gone binary")
 
 
-def _kept(blocks: DataFrame, repeats: DataFrame, width: int) -> DataFrame:
+def _kept(blocks: DataFrame, repeats: DataFrame, width: int, layout: bool) -> DataFrame:
     schema = blocks.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
                            F.lit("").alias("kept"), "carried").schema
 
@@ -147,8 +149,11 @@ def _kept(blocks: DataFrame, repeats: DataFrame, width: int) -> DataFrame:
         for text, n, end in zip(table["text"].cast(pa.large_binary()).to_pylist(), counts.tolist(), ends.tolist()):
             out = lost[end - n:end]
             removed.append(int(out.sum()))
-            words = text.split() if text else []
-            texts.append(b" ".join(compress(words, (~out).tolist()) if removed[-1] else words))
+            if layout:
+                texts.append(b"".join(compress(_WITH_SPACE.findall(text), (~out).tolist())) if removed[-1] else text)
+            else:
+                words = text.split() if text else []
+                texts.append(b" ".join(compress(words, (~out).tolist()) if removed[-1] else words))
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(counts, pa.int64()),
                          "n_removed": pa.array(removed, pa.int64()),
                          "kept": pa.array(texts, pa.binary()).cast(pa.string()), "carried": table["carried"]})
@@ -156,13 +161,15 @@ def _kept(blocks: DataFrame, repeats: DataFrame, width: int) -> DataFrame:
     return blocks.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW, carried: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WINDOW, carried: list[str] | None = None,
+                   layout: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) and the struct
-    ``carried`` of the named columns.
+    ``carried`` of the named columns. With ``layout``, the words that stay keep the white space
+    before them, and a text that loses none is returned as it is.
 
     One job: the exchange of the texts by block is made once and read by all three passes.
     """
-    blocks, layout = text_blocks(docs, carried or [])
-    marks = merged_orders(partial_sketches(blocks, layout, lambda t: _windows(t, width, (_FIRST,))[0][0]))
-    buckets = max(1, layout.blocks * 8 // (BUCKET_BYTES >> 20))
-    return _kept(blocks, _repeats(_suspects(blocks, marks, layout, width, buckets)), width)
+    blocks, plan = text_blocks(docs, carried or [])
+    marks = merged_orders(partial_sketches(blocks, plan, lambda t: _windows(t, width, (_FIRST,))[0][0]))
+    buckets = max(1, plan.blocks * 8 // (BUCKET_BYTES >> 20))
+    return _kept(blocks, _repeats(_suspects(blocks, marks, plan, width, buckets)), width, layout)
