@@ -13,6 +13,9 @@ rows are kept as they are; an empty table makes no segment; other columns are ig
 
 from __future__ import annotations
 
+import functools
+import json
+import os
 import re
 import struct
 import zlib
@@ -24,57 +27,77 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import spread_partitions
+from wardlight.llm.common import LATIN_DIGITS, LATIN_LETTERS, LATIN_SPACE, Memo, is_latin, spread_partitions
 from wardlight.session import scratch_path
 
 END_ID = 1
-CACHE_WORDS = 300_000
-SEGMENT_TOKENS = 2_000_000
+CACHE_PIECES = 400_000
+SEGMENT_TOKENS = 1_000_000
 _MAGIC = b"DAC1"
 _BLOCK = 64                # bytes of bitmap per rank entry
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint32)
-# Characters that some definition of white space holds and str.split or the tokenizer's \s does not
-# share; a text with one of them, or with a special token's text, is given to the tokenizer whole.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\\|")
 
 
-class WordEncoder:
-    """Ids of whole texts from a tokenizer whose pre-tokens never span white space.
+class PretokenIds(Memo):
+    """Pre-token -> little-endian 32-bit ids, by the tokenizer's own merges."""
 
-    Then a text's ids are those of its words in turn, and each word of a batch is encoded once.
-    The cache is emptied when it is full.
+    def __init__(self, model, size: int):
+        super().__init__(size)
+        self.model = model
+        # Byte-level pre-tokenizers write every byte as one printable character: printable Latin
+        # bytes as themselves, the others from code point 256 on, in order.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        sign = [chr(b if b in plain else next(others)) for b in range(256)]
+        self.signs = {c: "".join(sign[b] for b in chr(c).encode()) for c in range(256)}
+
+    def compute(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.translate(self.signs))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class TextEncoder:
+    """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
+
+    A text of the first 256 code points without the start of a special token is lower-cased and cut
+    into pre-tokens here (its normal form is itself, and pre-tokens are encoded one by one), so each
+    pre-token goes through the tokenizer's merges about once in a worker. Any other text, and all
+    texts of a tokenizer with other steps than these, go through the tokenizer whole.
     """
 
+    # Fixed value: the pre-token pattern the quick path stands for.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without special tokens."""
-        split = [None if t is None or _ODD.search(t) else t.split() for t in texts]
-        need = {w for words in split if words for w in words}.difference(self.known)
-        if len(self.known) + len(need) > CACHE_WORDS:
-            self.known.clear()
-            need = {w for words in split if words for w in words}
-        todo = list(need)
-        for at in range(0, len(todo), 20_000):
-            some = todo[at:at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = e.ids
-                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        out = []
-        for text, words in zip(texts, split):
-            if words is not None:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            elif text is None:
-                out.append(b"")
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        normal = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])]
+        cuts = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.quick = (normal == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2
+                      and cuts[0].get("pattern", {}).get("Regex") == self.PATTERN and cuts[0].get("invert")
+                      and cuts[1].get("type") == "ByteLevel" and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"])
+        self.special = [t["content"] for t in steps["added_tokens"]]
+        self.ids = PretokenIds(self.tokenizer.model, CACHE_PIECES)
+        self.cut = re.compile(
+            f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_DIGITS}]|[^{LATIN_SPACE}{LATIN_LETTERS}{LATIN_DIGITS}]+")
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if not text:
+            return b""
+        if self.quick and is_latin(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.ids.__getitem__, self.cut.findall(text.lower())))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@functools.lru_cache(maxsize=2)
+def shared_encoder(path: str) -> TextEncoder:
+    """One per Python worker: what a task has learnt serves the worker's next task."""
+    return TextEncoder(path)
 
 
 def pack_codes(ids: np.ndarray) -> bytes:
@@ -129,6 +152,19 @@ class Codes:
             at = self._rank(bits, ranks, at[more])
         return out
 
+    def all(self) -> np.ndarray:
+        """All ids in order: every level's chunks are added at the places that the bitmaps mark."""
+        out = np.zeros(self.n, np.uint32)
+        owner = None
+        for k, (chunks, bits, _) in enumerate(self.levels):
+            if owner is None:
+                out += chunks
+            else:
+                out[owner] += chunks.astype(np.uint32) << np.uint32(8 * k)
+            more = np.flatnonzero(np.unpackbits(bits, count=len(chunks), bitorder="little"))
+            owner = more if owner is None else owner[more]
+        return out
+
     def _rank(self, bits: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ones before each place: the directory's count plus those since its block's start."""
         byte = at >> 3
@@ -170,7 +206,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     schema = "part int, seq int, first long, n_tokens long, blob binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(tokenizer_path), TaskContext.get().partitionId()
         seq = first = held = 0
         doc_ids: list[int | None] = []
         found: list[bytes] = []
@@ -186,7 +222,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                for d, ids in zip(some["doc_id"].to_pylist(), encoder.encode(some["text"].to_pylist())):
+                for d, text in zip(some["doc_id"].to_pylist(), some["text"].to_pylist()):
+                    ids = encoder.encode(text)
                     doc_ids.append(d)
                     found.append(ids + end)
                     held += len(ids) // 4 + 1
@@ -219,7 +256,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 doc_ids, offs, codes = open_segment(row["blob"])
-                ids = codes.get(np.arange(codes.n)).astype("<u4")
+                ids = codes.all().astype("<u4", copy=False)
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": pa.array(doc_ids, pa.int64()), "start": offs[:-1] + row["base"] + row["first"],
