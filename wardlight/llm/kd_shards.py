@@ -132,7 +132,7 @@ def kd_assign(meta: DataFrame, shards: int) -> DataFrame:
         moves = F.broadcast(spark.createDataFrame(table, "node int, dim int, cut long, l int, r int"))
         rows = rows.join(moves, "node").withColumn(
             "node", F.when(_pick(rows, F.col("dim")) <= F.col("cut"), F.col("l")).otherwise(F.col("r"))) \
-            .drop("dim", "cut", "l", "r")
+            .drop("dim", "cut", "l", "r").checkpoint()
         span = fresh
     leaves = F.broadcast(spark.createDataFrame([(n, f) for n, (f, _) in span.items()], "node int, shard int"))
     return rows.join(leaves, "node").drop("node", *keys)
