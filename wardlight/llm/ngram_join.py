@@ -7,10 +7,13 @@ their sets is at least the threshold. The steps, each of which loses no link:
 2. Sharded count-min sketches (window_counts) estimate shingle counts, never too low. A shingle of
    one document can't be shared, so a document that hasn't enough other shingles has no partner, and
    the global order is (estimated count, hash): rare shingles first.
+   The counts are then taken again over the classes alone: of a near copy, the shingles that its
+   edits made are its own, and r, the number of the others, bounds its overlap with any set.
 3. Two linked sets share a shingle among their first n - ceil(threshold * n) + 1. Those shingles
    give candidate pairs. In a group that shares one, only the smallest document is paired with the
-   others; after its links are known, the rest of the group is taken up again as far as it lies in
-   different components. So a group of many near copies costs about one pair a copy.
+   others. With its links and overlaps known, the rest of the group is taken up again as far as it
+   lies in different components and its overlaps with the first document allow links across them.
+   So a group of many near copies costs little more than one pair a copy.
 4. Sets are cut into fragments at fixed places of the hash order. Per candidate pair and fragment the
    overlap is counted separately; the sum per pair decides.
 5. Components of the links.
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import Hasher, mix64, slices, split_words, text_bytes
@@ -40,7 +43,7 @@ from wardlight.session import checkpoint_root, scratch_path
 WIDTH = 5
 PERCENT = 80
 FRAGMENTS = 8
-PAIR_FACTOR = 2            # the rest is paired in full once that makes at most so many pairs a row
+PAIRS_PER_SHINGLE = 32     # what is left is compared at once when it has no more pairs per prefix shingle
 _SEED = 21
 
 
@@ -74,37 +77,63 @@ def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _ordered(tokens: np.ndarray, orders: np.ndarray, n: int, percent: int) -> tuple[bytes | None, int]:
+    """The shingles estimated to be shared, rare ones first, and the length of their prefix; None if
+    they are too few for any partner."""
+    some, need = np.flatnonzero(orders), _need(n, percent)
+    if not n or len(some) < need:
+        return None, 0
+    some = some[np.lexsort((tokens[some], orders[some]))]
+    return tokens[some].tobytes(), len(some) - need + 1
+
+
 def _described(blocks: DataFrame, marks: DataFrame, layout: Layout, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, set size, signature, and for rows that may have a partner their shared
-    shingles in global order, of which the first k are the prefix."""
+    """Per row: doc_id, set size, signature, and the shared shingles of rows that may have a partner."""
 
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
         sets = _sets(table, width)
-        sizes = [len(s) for s in sets]
-        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        orders = estimated_orders(every, layout, got)
-        sigs, ks, shared, at = [], [], [], 0
-        for s, n in zip(sets, sizes):
-            order, at = orders[at:at + n], at + n
+        orders = estimated_orders(np.concatenate(sets) if sets else np.zeros(0, np.uint64), layout, got)
+        sigs, shared, at = [], [], 0
+        for s in sets:
             sig = np.array([np.sum(mix64(s ^ np.uint64(1))), np.sum(mix64(s + np.uint64(7)) ^ s)], np.uint64)
-            sigs.append(sig.tobytes() if n else None)
-            some, need = np.flatnonzero(order), _need(n, percent)
-            if n and len(some) >= need:
-                some = some[np.lexsort((s[some], order[some]))]
-                shared.append(s[some].tobytes())
-                ks.append(len(some) - need + 1)
-            else:
-                shared.append(None)
-                ks.append(0)
-        return pa.table({"doc_id": table["doc_id"], "n": pa.array(sizes, pa.int64()), "sig": pa.array(sigs, pa.binary()),
-                         "k": pa.array(ks, pa.int32()), "shared": pa.array(shared, pa.binary())})
+            sigs.append(sig.tobytes() if len(s) else None)
+            shared.append(_ordered(s, orders[at:at + len(s)], len(s), percent)[0])
+            at += len(s)
+        return pa.table({"doc_id": table["doc_id"], "n": pa.array([len(s) for s in sets], pa.int64()),
+                         "sig": pa.array(sigs, pa.binary()), "shared": pa.array(shared, pa.binary())})
 
     return (blocks.groupBy("block").cogroup(marks.groupBy("block"))
-            .applyInArrow(run, "doc_id long, n long, sig binary, k int, shared binary"))
+            .applyInArrow(run, "doc_id long, n long, sig binary, shared binary"))
+
+
+def _recounted(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` (doc, n, shared; one per class) with counts over the classes that are left: without
+    the sets that are now too small, and with k, the length of the prefix."""
+    tokens = sets.agg(F.sum(F.octet_length("shared") / 8)).first()[0] or 0
+    layout = Layout(int(tokens) * 6)
+    blocks = sets.select("doc", "n", "shared", F.pmod(F.xxhash64("doc"), F.lit(layout.blocks)).cast("int").alias("block"))
+
+    def every(table: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(table["shared"].to_pylist()), np.uint64)
+
+    def run(table: pa.Table, got: pa.Table) -> pa.Table:
+        orders, at, out = estimated_orders(every(table), layout, got), 0, []
+        for doc, n, raw in zip(*(table[c].to_pylist() for c in ("doc", "n", "shared"))):
+            t = np.frombuffer(raw, np.uint64)
+            shared, k = _ordered(t, orders[at:at + len(t)], n, percent)
+            at += len(t)
+            if shared is not None:
+                out.append((doc, n, k, shared))
+        return pa.table({c: pa.array([o[i] for o in out], t) for i, (c, t) in enumerate(
+            (("doc", pa.int64()), ("n", pa.int64()), ("k", pa.int32()), ("shared", pa.binary())))})
+
+    marks = merged_orders(partial_sketches(blocks, layout, every))
+    return (blocks.groupBy("block").cogroup(marks.groupBy("block"))
+            .applyInArrow(run, "doc long, n long, k int, shared binary"))
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """doc, n, token: one row per prefix shingle."""
+    """doc, n, r (the number of shared shingles), token: one row per prefix shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +141,10 @@ def _prefixes(sets: DataFrame) -> DataFrame:
                 doc, n, k, shared = (batch.slice(i, 512)[c].to_pylist() for c in ("doc", "n", "k", "shared"))
                 yield pa.RecordBatch.from_pydict({
                     "doc": pa.array(np.repeat(doc, k), pa.int64()), "n": pa.array(np.repeat(n, k), pa.int64()),
+                    "r": pa.array(np.repeat([len(s) // 8 for s in shared], k), pa.int64()),
                     "token": np.concatenate([np.frombuffer(s, np.int64, m) for s, m in zip(shared, k)])})
 
-    return sets.mapInArrow(run, "doc long, n long, token long")
+    return sets.select("doc", "n", "k", "shared").mapInArrow(run, "doc long, n long, r long, token long")
 
 
 def _fragments(sets: DataFrame, fragments: int) -> DataFrame:
@@ -152,55 +182,122 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "part_a", "part_b").mapInArrow(run, "a long, b long, na long, nb long, both long")
 
 
-def links_of(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRAGMENTS) -> DataFrame:
-    """The candidate pairs (a, b) whose sets are similar enough: partial overlaps per fragment, summed."""
+def overlaps_of(pairs: DataFrame, sets: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+    """a, b, na, nb, both of the pairs (a, b): partial overlaps per fragment, summed per pair."""
     cut = _fragments(sets, fragments)
     left = cut.select(F.col("doc").alias("a"), F.col("n").alias("na"), "fragment", F.col("part").alias("part_a"))
     right = cut.select(F.col("doc").alias("b"), F.col("n").alias("nb"), "fragment", F.col("part").alias("part_b"))
     partial = _overlaps(pairs.join(right, "b").join(left, ["a", "fragment"]))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
-    return total.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
+    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
+
+
+def _similar(overlaps: DataFrame, percent: int) -> DataFrame:
+    return overlaps.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
+
+
+def _can_link(na: Column, ra: Column, nb: Column, rb: Column, percent: int) -> Column:
+    """Whether sets of na and nb shingles, of which ra and rb are shared with any set, can be similar:
+    the sizes fit, and the overlap that is needed is not more than either can have."""
+    return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+            & (F.least(ra, rb) * (100 + percent) >= (na + nb) * percent))
+
+
+def _one_per_member_set(rows: DataFrame) -> DataFrame:
+    """Of the tokens that the very same documents share (near copies share long runs), one; of
+    tokens that one document has, none."""
+    groups = rows.groupBy("token").agg(F.count("*").alias("members"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("s1"),
+                                       F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("s2")).where("members > 1")
+    return rows.join(groups.groupBy("members", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "token")
+
+
+def _shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """doc, n, r, token of the prefix shingles that several documents have, without documents that
+    can't link with the smallest set there."""
+    rows = _prefixes(sets)
+    least = rows.groupBy("token").agg(F.min("n").alias("least"), F.count("*").alias("members")).where("members > 1")
+    other = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    rows = rows.join(least, "token").where(F.col("r") * (100 + percent) >= (F.col("n") + other) * percent).drop("least", "members")
+    return _one_per_member_set(rows)
+
+
+def _seen_from_lead(live: DataFrame, overlaps: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """The rows (doc, n, r, i, token) of ``live`` that can still link across components.
+
+    i is the overlap with the group's lead p (null: not tested). Sets x and y have at most
+    min(i_x, i_y) shingles of p in common, and at most min(r_x - i_x, r_y - i_y) others. A document
+    of the lead's component can only link with one outside of it, so it is held against the greatest
+    values outside; the others against the greatest of all.
+    """
+    rows = live.where(F.col("doc") != F.col("lead.doc")).select("doc", "n", "r", "token", F.col("lead.doc").alias("p"))
+    rows = rows.join(overlaps.select(F.col("a").alias("p"), F.col("b").alias("doc"), F.col("both").alias("i")), ["p", "doc"], "left")
+    rows = rows.join(comp, "doc", "left").join(comp.select(F.col("doc").alias("p"), F.col("comp").alias("pc")), "p", "left")
+    out = F.coalesce("comp", "doc") != F.coalesce("pc", "p")
+    rows = rows.withColumn("out", out).withColumn("in_p", F.coalesce("i", "r")).withColumn("off_p", F.coalesce(F.col("r") - F.col("i"), F.col("r")))
+    most = rows.groupBy("token").agg(
+        F.max("in_p").alias("in_all"), F.max("off_p").alias("off_all"), F.max(F.when(F.col("out"), F.col("in_p"))).alias("in_out"),
+        F.max(F.when(F.col("out"), F.col("off_p"))).alias("off_out"), F.min("n").alias("least")).where("in_out is not null")
+    reach = F.when(F.col("out"), F.least("in_p", "in_all") + F.least("off_p", "off_all")) \
+        .otherwise(F.least("in_p", "in_out") + F.least("off_p", "off_out"))
+    other = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    can = F.col("i").isNull() | (reach * (100 + percent) >= (F.col("n") + other) * percent)
+    return _one_per_member_set(rows.join(most, "token").where(can).select("doc", "n", "r", "i", "token"))
 
 
 def similar_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Enough links (a < b) between ``sets`` (doc, n, k, shared) to connect every similar pair."""
-    checkpoint_root(sets.sparkSession)
-    rest = _prefixes(sets).checkpoint()
-    links, tested, comp = None, None, None
+    """Enough links (a < b) between ``sets`` (doc, n, k, shared) to connect every similar pair.
+
+    A round pairs the smallest document of each token's group with the members that lie in other
+    components, takes it out, and drops the groups that then lie in one component. Once the pairs
+    across components are in proportion to the prefix shingles, those whose bounds allow a link are
+    all tested at once.
+    """
+    spark = sets.sparkSession
+    checkpoint_root(spark)
+    path = scratch_path(spark, "prefixes")
+    _shared_prefixes(sets, percent).write.parquet(path)
+    rest = spark.read.parquet(path).withColumn("i", F.lit(None).cast("long"))
+    most = sets.agg(F.sum("k")).first()[0] or 0
+    links = tested = None
+    comp = sets.select("doc", F.col("doc").alias("comp")).limit(0)
     while True:
-        groups = rest.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("members"))
-        if comp is not None:
-            named = rest.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-            groups = named.groupBy("token").agg(
-                F.min(F.struct("doc", "n", "comp")).alias("lead"), F.count("*").alias("members"),
-                F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").drop("c0", "c1")
-            rest = named
-        groups = groups.where("members > 1")
-        live = rest.join(groups, "token").checkpoint()
-        size = live.agg(F.count("*").alias("rows"), F.sum((F.col("members") - 1) / 2).alias("pairs")).first()
-        if not size["rows"]:
+        named = rest.select("doc", "n", "r", "i", "token").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        parts = named.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min(F.struct("doc", "n", "r", "i")).alias("lead"))
+        groups = parts.groupBy("token").agg(
+            F.min(F.struct("lead.doc", "lead.n", "lead.r", "lead.i", "comp")).alias("lead"), F.count("*").alias("comps"),
+            ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("across"))
+        groups = groups.where("comps > 1").checkpoint()
+        size = groups.agg(F.count("*").alias("groups"), F.sum("across").alias("across")).first()
+        if not size["groups"]:
             break
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        full = comp is not None and size["pairs"] <= PAIR_FACTOR * size["rows"]
+        live = named.join(groups.drop("comps", "across"), "token")
+        full = links is not None and size["across"] <= PAIRS_PER_SHINGLE * most
+
+        def side(of: str, name: str) -> list[Column]:
+            return [F.col(of + c).alias(alias) for c, alias in (("doc", name), ("n", "n" + name), ("r", "r" + name), ("i", "i" + name), ("comp", "c" + name))]
+
+        na, ra, ia, nb, rb, ib = (F.col(c) for c in ("na", "ra", "ia", "nb", "rb", "ib"))
+        reach = F.least(ia, ib) + F.least(ra - ia, rb - ib)
+        can = ((F.col("ca") != F.col("cb")) & _can_link(na, ra, nb, rb, percent)
+               & (ia.isNull() | ib.isNull() | (reach * (100 + percent) >= (na + nb) * percent)))
         if full:
-            one = live.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            two = live.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            cand = one.join(two, "token").where("a < b and ca != cb")
+            one, two = live.select("token", *side("", "a")), live.select("token", *side("", "b"))
+            cand = one.join(two, (one["token"] == two["token"]) & (F.col("a") < F.col("b")) & can)
         else:
-            cand = live.select(F.col("lead.doc").alias("a"), F.col("lead.n").alias("na"), F.col("doc").alias("b"), F.col("n").alias("nb"),
-                               *([F.col("lead.comp").alias("ca"), F.col("comp").alias("cb")] if comp is not None else []))
-            cand = cand.where("a < b" + (" and ca != cb" if comp is not None else ""))
-        cand = cand.where(fits).select("a", "b").distinct()
+            cand = live.select(*side("lead.", "a"), *side("", "b")).where(can)
+        cand = cand.select("a", "b").distinct()
         if tested is not None:
             cand = cand.join(tested, ["a", "b"], "left_anti")
         cand = cand.checkpoint()
-        found = links_of(cand, sets, percent).checkpoint()
-        links = found if links is None else links.unionByName(found)
+        overlaps = overlaps_of(cand, sets).checkpoint()
+        found = _similar(overlaps, percent)
+        first = links is None
+        links = found if first else links.unionByName(found)
         if full:
             break
-        tested = cand if tested is None else tested.unionByName(cand)
+        tested = cand if first else tested.unionByName(cand)
         comp = components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-        rest = live.where(F.col("doc") != F.col("lead.doc")).select("doc", "n", "token")
+        rest = _seen_from_lead(live, overlaps, comp, percent) if first else live.where(F.col("doc") != F.col("lead.doc"))
+        rest = rest.select("doc", "n", "r", "i", "token").checkpoint()
     return links if links is not None else sets.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
 
 
@@ -215,9 +312,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     rows = spark.read.parquet(path)
     classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     chosen = classes.groupBy("rep").agg(F.min("sig").alias("sig"))       # one row for a repeated doc_id
-    sets = (rows.where("shared is not null").join(chosen, (rows["doc_id"] == chosen["rep"]) & (rows["sig"] == chosen["sig"]), "left_semi")
-            .select(F.col("doc_id").alias("doc"), "n", "k", "shared").dropDuplicates(["doc"]))
-    comp = components(similar_links(sets, percent)).select(F.col("node").alias("rep"), "component")
+    path, counted = scratch_path(spark, "sets"), scratch_path(spark, "counted")
+    (rows.where("shared is not null").join(chosen, (rows["doc_id"] == chosen["rep"]) & (rows["sig"] == chosen["sig"]), "left_semi")
+            .select(F.col("doc_id").alias("doc"), "n", "shared").dropDuplicates(["doc"]).write.parquet(path))
+    _recounted(spark.read.parquet(path), percent).write.parquet(counted)
+    comp = components(similar_links(spark.read.parquet(counted), percent)).select(F.col("node").alias("rep"), "component")
     return (rows.select("doc_id", "n", "sig").join(classes, "sig", "left").join(comp, "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
