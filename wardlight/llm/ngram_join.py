@@ -42,7 +42,7 @@ from wardlight.session import checkpoint_root, scratch_path
 
 WIDTH = 5
 PERCENT = 80
-FRAGMENTS = 8
+FRAGMENTS = 4
 PAIRS_PER_SHINGLE = 32     # what is left is compared at once when it has no more pairs per prefix shingle
 _SEED = 21
 
