@@ -12,7 +12,8 @@ their sets is at least the threshold. The steps, each of which loses no link:
 3. Two linked sets share a shingle among their first n - ceil(threshold * n) + 1. Those shingles
    give candidate pairs. In a group that shares one, only the smallest document is paired with the
    others. With its links and overlaps known, the rest of the group is taken up again as far as it
-   lies in different components and its overlaps with the first document allow links across them.
+   lies in different components and its overlaps with the first document allow links across them;
+   near copies of the first document that only link through shingles it lacks are grouped by those.
    So a group of many near copies costs little more than one pair a copy.
 4. Sets are cut into fragments at fixed places of the hash order. Per candidate pair and fragment the
    overlap is counted separately; the sum per pair decides.
@@ -220,27 +221,60 @@ def _shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return _one_per_member_set(rows)
 
 
-def _seen_from_lead(live: DataFrame, overlaps: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """The rows (doc, n, r, i, token) of ``live`` that can still link across components.
+def _off_lead(pairs: DataFrame, sets: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+    """p, doc, token: for the pairs (p, doc), the shared shingles of doc that p doesn't have."""
 
-    i is the overlap with the group's lead p (null: not tested). Sets x and y have at most
-    min(i_x, i_y) shingles of p in common, and at most min(r_x - i_x, r_y - i_y) others. A document
-    of the lead's component can only link with one outside of it, so it is held against the greatest
-    values outside; the others against the greatest of all.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, tokens = [], [np.zeros(0, np.uint64)]
+            for x, y in zip(batch["part_p"].to_pylist(), batch["part"].to_pylist()):
+                tokens.append(np.setdiff1d(np.frombuffer(y, np.uint64), np.frombuffer(x or b"", np.uint64), True))
+                docs.append(len(tokens[-1]))
+            at = np.repeat(np.arange(batch.num_rows), docs)
+            yield pa.RecordBatch.from_arrays([batch["p"].take(pa.array(at)), batch["doc"].take(pa.array(at)),
+                                              pa.array(np.concatenate(tokens).view(np.int64))], ["p", "doc", "token"])
+
+    cut = _fragments(sets, fragments).drop("n")
+    left = cut.select(F.col("doc").alias("p"), "fragment", F.col("part").alias("part_p"))
+    return (pairs.join(cut, "doc").join(left, ["p", "fragment"], "left").select("p", "doc", "part_p", "part")
+            .mapInArrow(run, "p long, doc long, token long"))
+
+
+def _seen_from_lead(live: DataFrame, overlaps: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows (doc, n, r, i, token, off) of ``live`` that can still link across components, given
+    every document's overlap i with its group's lead p.
+
+    Sets x and y have at most min(i_x, i_y) shingles of p in common, and at most min(r_x - i_x,
+    r_y - i_y) others. A document of the lead's component can only link with one outside of it, so it
+    is held against the greatest values outside; the others against the greatest of all. Where the
+    shingles of p are not enough for a link, the two must share one that p lacks: near copies that
+    lie too far from p are then grouped by those (``off``), which few documents have. A document with
+    more of them than twice its prefix is no near copy of p: it stays in its group, with i null.
     """
     rows = live.where(F.col("doc") != F.col("lead.doc")).select("doc", "n", "r", "token", F.col("lead.doc").alias("p"))
     rows = rows.join(overlaps.select(F.col("a").alias("p"), F.col("b").alias("doc"), F.col("both").alias("i")), ["p", "doc"], "left")
     rows = rows.join(comp, "doc", "left").join(comp.select(F.col("doc").alias("p"), F.col("comp").alias("pc")), "p", "left")
-    out = F.coalesce("comp", "doc") != F.coalesce("pc", "p")
-    rows = rows.withColumn("out", out).withColumn("in_p", F.coalesce("i", "r")).withColumn("off_p", F.coalesce(F.col("r") - F.col("i"), F.col("r")))
+    weak = F.col("i").isNull() | (F.col("r") - F.col("i") > 2 * (F.col("r") - F.ceil(F.col("n") * percent / 100) + 1))
+    rows = rows.withColumn("out", F.coalesce("comp", "doc") != F.coalesce("pc", "p")).withColumn("weak", weak) \
+        .withColumn("in_p", F.when(weak, F.col("r")).otherwise(F.col("i"))) \
+        .withColumn("off_p", F.when(weak, F.col("r")).otherwise(F.col("r") - F.col("i")))
     most = rows.groupBy("token").agg(
-        F.max("in_p").alias("in_all"), F.max("off_p").alias("off_all"), F.max(F.when(F.col("out"), F.col("in_p"))).alias("in_out"),
-        F.max(F.when(F.col("out"), F.col("off_p"))).alias("off_out"), F.min("n").alias("least")).where("in_out is not null")
-    reach = F.when(F.col("out"), F.least("in_p", "in_all") + F.least("off_p", "off_all")) \
-        .otherwise(F.least("in_p", "in_out") + F.least("off_p", "off_out"))
-    other = F.greatest("least", F.ceil(F.col("n") * percent / 100))
-    can = F.col("i").isNull() | (reach * (100 + percent) >= (F.col("n") + other) * percent)
-    return _one_per_member_set(rows.join(most, "token").where(can).select("doc", "n", "r", "i", "token"))
+        F.min("n").alias("least"), *[f(c).alias(f"{c}_all") for c, f in (("in_p", F.max), ("off_p", F.max), ("weak", F.bool_or))],
+        *[f(F.when(F.col("out"), F.col(c))).alias(f"{c}_out") for c, f in (("in_p", F.max), ("off_p", F.max), ("weak", F.bool_or))])
+    rows = rows.join(most.where("in_p_out is not null"), "token")
+
+    def partner(c: str) -> Column:
+        return F.when(F.col("out"), F.col(c + "_all")).otherwise(F.col(c + "_out"))
+
+    enough = (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent
+    on_p = F.least("in_p", partner("in_p"))
+    rows = rows.where(F.col("weak") | ((on_p + F.least("off_p", partner("off_p"))) * (100 + percent) >= enough))
+    rows = rows.withColumn("stays", F.col("weak") | partner("weak") | (on_p * (100 + percent) >= enough)).checkpoint()
+    near = rows.where("not weak").select("p", "doc", "n", "r", "i").distinct()
+    off = _off_lead(near.select("p", "doc"), sets).join(near, ["p", "doc"]) \
+        .select("doc", "n", "r", "i", F.xxhash64("p", "token").alias("token"), F.lit(True).alias("off"))
+    stay = rows.where("stays").select("doc", "n", "r", F.when(~F.col("weak"), F.col("i")).alias("i"), "token", F.lit(False).alias("off"))
+    return _one_per_member_set(stay).unionByName(_one_per_member_set(off))
 
 
 def similar_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -255,12 +289,12 @@ def similar_links(sets: DataFrame, percent: int) -> DataFrame:
     checkpoint_root(spark)
     path = scratch_path(spark, "prefixes")
     _shared_prefixes(sets, percent).write.parquet(path)
-    rest = spark.read.parquet(path).withColumn("i", F.lit(None).cast("long"))
+    rest = spark.read.parquet(path).withColumns({"i": F.lit(None).cast("long"), "off": F.lit(True)})
     most = sets.agg(F.sum("k")).first()[0] or 0
     links = tested = None
     comp = sets.select("doc", F.col("doc").alias("comp")).limit(0)
     while True:
-        named = rest.select("doc", "n", "r", "i", "token").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        named = rest.select("doc", "n", "r", "i", "token", "off").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         parts = named.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min(F.struct("doc", "n", "r", "i")).alias("lead"))
         groups = parts.groupBy("token").agg(
             F.min(F.struct("lead.doc", "lead.n", "lead.r", "lead.i", "comp")).alias("lead"), F.count("*").alias("comps"),
@@ -276,14 +310,17 @@ def similar_links(sets: DataFrame, percent: int) -> DataFrame:
             return [F.col(of + c).alias(alias) for c, alias in (("doc", name), ("n", "n" + name), ("r", "r" + name), ("i", "i" + name), ("comp", "c" + name))]
 
         na, ra, ia, nb, rb, ib = (F.col(c) for c in ("na", "ra", "ia", "nb", "rb", "ib"))
-        reach = F.least(ia, ib) + F.least(ra - ia, rb - ib)
+        on_p = F.least(ia, ib)
+        reach = on_p + F.when(F.col("off"), F.least(ra - ia, rb - ib)).otherwise(0)
         can = ((F.col("ca") != F.col("cb")) & _can_link(na, ra, nb, rb, percent)
                & (ia.isNull() | ib.isNull() | (reach * (100 + percent) >= (na + nb) * percent)))
+        if links is None:
+            can = F.col("a") < F.col("b")             # the lead's overlaps with all serve the next round
         if full:
-            one, two = live.select("token", *side("", "a")), live.select("token", *side("", "b"))
+            one, two = live.select("token", "off", *side("", "a")), live.select("token", *side("", "b"))
             cand = one.join(two, (one["token"] == two["token"]) & (F.col("a") < F.col("b")) & can)
         else:
-            cand = live.select(*side("lead.", "a"), *side("", "b")).where(can)
+            cand = live.select("off", *side("lead.", "a"), *side("", "b")).where(can)
         cand = cand.select("a", "b").distinct()
         if tested is not None:
             cand = cand.join(tested, ["a", "b"], "left_anti")
@@ -296,8 +333,8 @@ def similar_links(sets: DataFrame, percent: int) -> DataFrame:
             break
         tested = cand if first else tested.unionByName(cand)
         comp = components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-        rest = _seen_from_lead(live, overlaps, comp, percent) if first else live.where(F.col("doc") != F.col("lead.doc"))
-        rest = rest.select("doc", "n", "r", "i", "token").checkpoint()
+        rest = _seen_from_lead(live, overlaps, comp, sets, percent) if first else live.where(F.col("doc") != F.col("lead.doc"))
+        rest = rest.select("doc", "n", "r", "i", "token", "off").checkpoint()
     return links if links is not None else sets.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
 
 
