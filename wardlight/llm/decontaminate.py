@@ -148,8 +148,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", ite
     """``id_column``, item_id, distance, end_word (words of the document up to the match's end),
     item_words: one row per document row and item that it holds."""
     rows = docs.select(F.col(id_column).alias("id"), "text")
-    schema = docs.select(F.col(id_column).alias("id")).schema.add("item_id", "long").add("distance", "int") \
-        .add("end_word", "long").add("item_words", "int")
+    schema = docs.select(F.col(id_column).alias("id")).schema.add("item_id", "long").add("distance", "integer") \
+        .add("end_word", "long").add("item_words", "integer")
     out = None
     for listed in _item_parts(items, item_column):
 
