@@ -123,7 +123,7 @@ def _repeats(suspects: DataFrame) -> DataFrame:
 
 def _kept(blocks: DataFrame, repeats: DataFrame, width: int, layout: bool) -> DataFrame:
     schema = blocks.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
-                           F.lit("").alias("kept"), "carried").schema
+                           F.lit(None).cast("string").alias("kept"), "carried").schema
 
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
         (a,), first, row, counts = _windows(table, width, (_FIRST,))
