@@ -13,7 +13,7 @@ from wardlight.plans.oracle_views import with_views
 from wardlight.plans.registry import ORACLE, register
 from wardlight.session import scratch_path
 from wardlight.sources.tables import DRIVER_MAPPINGS, Catalog
-from wardlight.streaming.jobs import ingest_stream, rate_limit_stream, run_to_table, \
+from wardlight.streaming.jobs import drain, ingest_stream, rate_limit_stream, run_to_table, \
     session_history_stream, table_stream
 
 
@@ -48,7 +48,5 @@ def q_ingest_stream(spark, sf_dir):
     out = scratch_path(spark, "ingest-stream")
     q = ingest_stream(Catalog.bind_appointments(src), DRIVER_MAPPINGS["appointments"], out + "/store",
                       out + "/_checkpoint")
-    q.awaitTermination(600)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    drain(q)
     return spark.read.parquet(latest_version(spark, out + "/store"))

@@ -7,14 +7,16 @@ session history (ST3).
 * ST2: ``applyInPandasWithState`` keyed by request key. State = the accepted stamps still inside
   the window (at most ``max_requests`` longs), so state size never grows with a key's history.
   Within a micro-batch a key's rows are sorted by (time, id); across micro-batches the result
-  equals the batch limiter when each key's requests arrive in time order. An event-time timeout
-  drops a key's state once its newest stamp has left the window.
+  equals the batch limiter when each key's requests arrive in time order. A request that arrives
+  late is judged by the accepted stamps in its own window and still gets its one output row. State
+  of keys that were silent for ``idle_ms`` of processing time can be dropped.
 * ST3: ``applyInPandasWithState`` keyed by session; state = the last ``n`` messages; each
   micro-batch emits the updated history of the sessions it touched.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from wardlight.operators.ingest import Embedder, embed_all, latest_version, newest_per_id, split_embedded, \
-    upsert
+from wardlight.operators.ingest import Embedder, embed_all, latest_version, newest_per_id, next_version, \
+    split_embedded, upsert
 from wardlight.operators.passages import build_passages
 from wardlight.operators.ratelimit import epoch_micros
 from wardlight.operators.sessions import OTHER_LABEL, USER_LABEL
@@ -55,21 +57,32 @@ def ingest_stream(rows: DataFrame, mapping: EntityMapping, store_root: str, chec
     """
     passages = build_passages(rows, mapping, tenant_arg)
 
+    root = store_root.rstrip("/")
+    stream_id = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
     def write_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        # A marker per (stream, epoch) tells a replay; the version itself comes from the store, so
+        # batch and stream runs, and streams with a new checkpoint, never overwrite each other.
+        done = f"{root}/epochs/stream={stream_id}/epoch={epoch}"
+        if latest_version(spark, done):
+            return
         pts = batch
+        current = latest_version(spark, root)
+        target = next_version(current, root)
+        version = target.rsplit("/", 1)[1]
         if embedders is not None:
             # embed once: points and quarantine both read the materialised result
             checkpoint_root(spark)
             embedded = embed_all(batch, embedders).checkpoint(eager=True)
             pts, quarantine = split_embedded(embedded)
-            quarantine.write.mode("overwrite").parquet(f"{store_root.rstrip('/')}/quarantine/epoch={epoch}")
-        current = latest_version(spark, store_root)
-        target = f"{store_root.rstrip('/')}/version={epoch + 1}"
-        if current == target:  # replay of an epoch whose data already landed
-            return
+            old = latest_version(spark, f"{root}/quarantine")
+            if old:                               # what earlier runs failed on stays to be retried
+                quarantine = spark.read.parquet(old).unionByName(quarantine)
+            quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/{version}")
         merged = upsert(spark.read.parquet(current), pts) if current else newest_per_id(pts)
         merged.write.mode("overwrite").parquet(target)
+        spark.range(1).write.mode("overwrite").parquet(f"{done}/{version}")
 
     w = passages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -80,55 +93,48 @@ def ingest_stream(rows: DataFrame, mapping: EntityMapping, store_root: str, chec
 # ST2
 # ---------------------------------------------------------------------------------------------
 
-RL_OUT = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("key", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()), T.StructField("accepted", T.BooleanType()),
-])
 RL_STATE = T.StructType([T.StructField("ring", T.ArrayType(T.LongType()))])
 
 
-def _rl_state_fn(window_us: int, max_requests: int):
+def _rl_state_fn(window_us: int, max_requests: int, idle_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:
             state.remove()
             return
         ring = list(state.get[0]) if state.exists else []
+        newest = max(ring, default=None)
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "event_id"], kind="stable")
         acc = []
         for t in batch["_us"].to_numpy():
             t = int(t)
-            ring = [s for s in ring if s > t - window_us]
-            if len(ring) < max_requests:
+            newest = t if newest is None else max(newest, t)
+            ring = [s for s in ring if s > newest - window_us]
+            if sum(t - window_us < s <= t for s in ring) < max_requests:
                 ring.append(t)
                 acc.append(True)
             else:
                 acc.append(False)
-        if ring:
-            state.update((ring,))
-            # the timeout lives on the watermark's clock (the zoned event time): once the watermark
-            # passes the key's last event plus one window, every stamp has expired
-            last_ms = int(batch["_evt_ms"].max())
-            state.setTimeoutTimestamp(max(last_ms + window_us // 1000, state.getCurrentWatermarkMs() + 1))
-        else:
-            state.remove()
+        state.update((ring,))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "key": batch["key"].to_numpy(),
                             "ts": batch["ts"].to_numpy(), "accepted": acc})
     return fn
 
 
 def rate_limit_stream(requests: DataFrame, window_us: int, max_requests: int,
-                      watermark: str | None = None) -> DataFrame:
-    """Streaming L1 over ``(event_id, key, ts)``; output ``(event_id, key, ts, accepted)``."""
-    wm = watermark or f"{max(window_us // 1_000_000, 1)} seconds"
-    df = (requests.select(F.col("event_id").cast("bigint"), F.col("key").cast("bigint"),
-                          F.col("ts").cast("timestamp_ntz").alias("ts"),
-                          F.col("ts").cast("timestamp").alias("_ts"))
-          .withColumn("_us", epoch_micros("ts"))
-          .withColumn("_evt_ms", F.unix_millis("_ts"))
-          .withWatermark("_ts", wm))
+                      idle_ms: int | None = None) -> DataFrame:
+    """Streaming L1 over ``(event_id, key, ts)``; output ``(event_id, key, ts, accepted)``, one row
+    per request however late it is. Ids and keys keep their types. State is at most ``max_requests``
+    stamps a key; with ``idle_ms``, a key that was silent for so much processing time is forgotten
+    (for streams that go on: with it, a run over what is available does not end by itself)."""
+    df = (requests.select("event_id", "key", F.col("ts").cast("timestamp_ntz").alias("ts"))
+          .withColumn("_us", epoch_micros("ts")))
+    out = T.StructType([df.schema["event_id"], df.schema["key"], T.StructField("ts", T.TimestampNTZType()),
+                        T.StructField("accepted", T.BooleanType())])
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return (df.groupBy("key")
-            .applyInPandasWithState(_rl_state_fn(window_us, max_requests), RL_OUT, RL_STATE,
-                                    "append", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(_rl_state_fn(window_us, max_requests, idle_ms), out, RL_STATE, "append", timeout))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -142,8 +148,11 @@ HIST_STATE = T.StructType([T.StructField("seq", T.ArrayType(T.LongType())),
                            T.StructField("line", T.ArrayType(T.StringType()))])
 
 
-def _history_fn(n: int):
+def _history_fn(n: int, idle_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         seqs, lines = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
         for pdf in pdfs:
             label = pdf["role"].map(lambda r: USER_LABEL if r == "user" else OTHER_LABEL)
@@ -154,20 +163,35 @@ def _history_fn(n: int):
             order = sorted(range(len(seqs)), key=lambda i: seqs[i])[-n:]
             seqs, lines = [seqs[i] for i in order], [lines[i] for i in order]
         state.update((seqs, lines))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         hist = "\n".join(x for x in lines if x is not None)
         yield pd.DataFrame({"session_id": [key[0]], "history": [hist], "n_messages": [len(seqs)]})
     return fn
 
 
-def session_history_stream(messages: DataFrame, n: int = 10) -> DataFrame:
-    """Streaming H1 over ``(session_id, seq, role, content)``; emits updated histories."""
+def session_history_stream(messages: DataFrame, n: int = 10, idle_ms: int | None = None) -> DataFrame:
+    """Streaming H1 over ``(session_id, seq, role, content)``; emits updated histories. With
+    ``idle_ms``, a session that was silent for so much processing time is forgotten."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return (messages.groupBy("session_id")
-            .applyInPandasWithState(_history_fn(n), HIST_OUT, HIST_STATE, "update",
-                                    GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(_history_fn(n, idle_ms), HIST_OUT, HIST_STATE, "update", timeout))
+
+
+def drain(query, timeout_s: float | None = None) -> None:
+    """Wait until a stream ends. With ``timeout_s``, one that hasn't ended then is stopped and an
+    error raised: a half-written sink is never taken for the whole."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream did not end within {timeout_s} s")
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, output_mode: str = "append",
-                 timeout_s: int = 600) -> None:
+                 timeout_s: float | None = None) -> None:
     """Drain a stream with ``availableNow`` into parquet (append) or per-epoch folders (update)."""
     if output_mode == "append":
         q = (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
@@ -177,6 +201,4 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, output_mode: str
             batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
         q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    drain(q, timeout_s)
