@@ -51,7 +51,7 @@ def number_within_range(df: DataFrame, key: str, order_cols: list[str], out: str
     w = Window.partitionBy(key).orderBy("_np").rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("_nb", F.coalesce(F.sum("_nc").over(w), F.lit(0)))
     g = g.select(F.col(key).alias("_nk"), F.col("_np").alias("_np2"), "_nm0", "_nb")
-    j = r.join(g, (F.col(key) == F.col("_nk")) & (F.col("_np") == F.col("_np2")), "inner")
+    j = r.join(g, F.col(key).eqNullSafe(F.col("_nk")) & (F.col("_np") == F.col("_np2")), "inner")
     return j.withColumn(out, (F.col("_nb") + F.col("_nm") - F.col("_nm0") + 1).cast("int")) \
         .drop("_np", "_nm", "_nk", "_np2", "_nm0", "_nb")
 
@@ -85,5 +85,5 @@ def running_sum_within(df: DataFrame, key: str, order_cols: list[str], value_col
     w = Window.partitionBy(key).orderBy("_np").rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("_off", F.coalesce(F.sum("_ps").over(w), F.lit(0)))
     g = g.select(F.col(key).alias("_rk"), F.col("_np").alias("_rp"), "_off")
-    j = r.join(g, (F.col(key) == F.col("_rk")) & (F.col("_np") == F.col("_rp")), "inner")
+    j = r.join(g, F.col(key).eqNullSafe(F.col("_rk")) & (F.col("_np") == F.col("_rp")), "inner")
     return j.withColumn(out, F.col("_off") + F.col("_loc")).drop("_np", "_nm", "_loc", "_rk", "_rp", "_off")

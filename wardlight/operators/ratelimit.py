@@ -59,7 +59,10 @@ def requests_in_window(events: DataFrame, window_us: int, key: str = "key", ts:
         busiest = (base.groupBy("_key", F.floor(F.col("_us") / F.lit(window_us)).alias("_b"))
                    .agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0)
         prefix = busiest > hot_window_rows
-    out = _window_counts_prefix(base, window_us) if prefix else _window_counts_halo(base, window_us, bucket_us)
+    timed, untimed = base.where("_us is not null"), base.where("_us is null")
+    out = _window_counts_prefix(timed, window_us) if prefix else _window_counts_halo(timed, window_us, bucket_us)
+    # a request without a time is in no window
+    out = out.unionByName(untimed.select("_id", "_key", "_ts", F.lit(None).cast("bigint").alias("n_in_window")))
     return out.select(F.col("_id").alias(id_col), F.col("_key").alias(key), F.col("_ts").alias(ts),
                       "n_in_window")
 
@@ -85,40 +88,37 @@ def _window_counts_prefix(base: DataFrame, window_us: int) -> DataFrame:
     partial aggregate on the request id.
     """
     from wardlight.functions.numbering import running_sum_within
-    reals = base.select("_key", F.col("_us").alias("_t"), F.lit(0).alias("_kind"), "_id",
+    from wardlight.session import checkpoint_root
+    checkpoint_root(base.sparkSession)
+    # rows are told apart by a number of their own: request ids may repeat or be null
+    base = base.withColumn("_rid", F.monotonically_increasing_id()).checkpoint()
+    reals = base.select("_key", F.col("_us").alias("_t"), F.lit(0).alias("_kind"), "_rid",
                         F.lit("").alias("_role"), F.lit(1).alias("_v"))
-    upper = base.select("_key", F.col("_us").alias("_t"), F.lit(1).alias("_kind"), "_id",
+    upper = base.select("_key", F.col("_us").alias("_t"), F.lit(1).alias("_kind"), "_rid",
                         F.lit("u").alias("_role"), F.lit(0).alias("_v"))
-    lower = base.select("_key", (F.col("_us") - F.lit(window_us)).alias("_t"), F.lit(1).alias("_kind"), "_id",
+    lower = base.select("_key", (F.col("_us") - F.lit(window_us)).alias("_t"), F.lit(1).alias("_kind"), "_rid",
                         F.lit("l").alias("_role"), F.lit(0).alias("_v"))
     c = running_sum_within(reals.unionByName(upper).unionByName(lower), "_key",
-                           ["_t", "_kind", "_id", "_role"], "_v", "_c")
-    probes = (c.where(F.col("_kind") == 1).groupBy("_id")
+                           ["_t", "_kind", "_rid", "_role"], "_v", "_c")
+    probes = (c.where(F.col("_kind") == 1).groupBy("_rid")
               .agg((F.max(F.when(F.col("_role") == "u", F.col("_c")))
                     - F.max(F.when(F.col("_role") == "l", F.col("_c")))).alias("n_in_window")))
-    return base.join(probes, "_id", "inner").select("_id", "_key", "_ts",
+    return base.join(probes, "_rid", "inner").select("_id", "_key", "_ts",
                                                     F.col("n_in_window").cast("bigint").alias("n_in_window"))
 
 
-_RL_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()),
-    T.StructField("key", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("accepted", T.BooleanType()),
-])
-
-
 def _limiter(window_us: int, max_requests: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur = None
         ring: deque = deque()
         for b in batches:
-            keys = b["key"].to_numpy()
+            keys = b["key"]
+            codes = b["_k"].to_numpy()
             segs = b["_seg"].to_numpy()
             us = b["_us"].to_numpy(dtype=np.int64)
             acc = np.zeros(len(b), dtype=bool)
             for i in range(len(b)):
-                k = (keys[i], segs[i])
+                k = (codes[i], segs[i])
                 if k != cur:          # a new key, or a new independent segment of the same key
                     cur, ring = k, deque()
                 t = us[i]
@@ -127,7 +127,7 @@ def _limiter(window_us: int, max_requests: int):
                 if len(ring) < max_requests:
                     ring.append(t)
                     acc[i] = True
-            yield pd.DataFrame({"event_id": b["event_id"].to_numpy(), "key": keys, "ts": b["ts"],
+            yield pd.DataFrame({"event_id": b["event_id"], "key": keys, "ts": b["ts"],
                                 "accepted": acc})
     return run
 
@@ -146,12 +146,15 @@ def idle_split_segments(df: DataFrame, window_us: int) -> DataFrame:
     b = F.floor(F.col("_us") / F.lit(window_us)).cast("bigint")
     ev = df.withColumn("_b", b)
     kb = ev.select("key", "_b").distinct()
-    follows = kb.select("key", (F.col("_b") + 1).alias("_b"))
-    starts = kb.join(follows, ["key", "_b"], "left_anti").withColumn("_start", F.col("_b"))
+    follows = kb.select(F.col("key").alias("_fk"), (F.col("_b") + 1).alias("_fb"))
+    starts = kb.join(follows, F.col("key").eqNullSafe(F.col("_fk")) & (F.col("_b") == F.col("_fb")), "left_anti") \
+        .select(F.col("key").alias("_tk"), F.col("_b").alias("_start"))
     w = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seg = (kb.join(starts, ["key", "_b"], "left")
+    seg = (kb.join(starts, F.col("key").eqNullSafe(F.col("_tk")) & (F.col("_b") == F.col("_start")), "left")
            .withColumn("_seg", F.max("_start").over(w)).select("key", "_b", "_seg"))
-    return ev.join(seg, ["key", "_b"], "inner").drop("_b")
+    seg = seg.select(F.col("key").alias("_sk"), F.col("_b").alias("_sb"), "_seg")
+    same = F.col("key").eqNullSafe(F.col("_sk")) & F.col("_b").eqNullSafe(F.col("_sb"))
+    return ev.join(seg, same, "inner").drop("_b", "_sk", "_sb")
 
 
 def rate_limit(events: DataFrame, window_us: int = DEFAULT_WINDOW_US, max_requests: int = DEFAULT_MAX,
@@ -163,7 +166,7 @@ def rate_limit(events: DataFrame, window_us: int = DEFAULT_WINDOW_US, max_reques
     ``None`` forces it), keys are first cut into independent idle-split segments so one hot key is
     processed by many tasks; a key with no idle window left stays one sequential segment.
     """
-    df = events.select(F.col(id_col).alias("event_id"), F.col(key).cast("bigint").alias("key"),
+    df = events.select(F.col(id_col).alias("event_id"), F.col(key).alias("key"),
                        F.col(ts).cast("timestamp_ntz").alias("ts"), _micros(ts).alias("_us"))
     split = hot_key_rows is None
     if not split:
@@ -171,5 +174,10 @@ def rate_limit(events: DataFrame, window_us: int = DEFAULT_WINDOW_US, max_reques
         split = biggest > hot_key_rows
     df = idle_split_segments(df, window_us) if split else df.withColumn("_seg", F.lit(0).cast("bigint"))
     parts = [num_partitions] if num_partitions else []
-    df = df.repartition(*parts, "key", "_seg").sortWithinPartitions("key", "_seg", "_us", "event_id")
-    return df.mapInPandas(_limiter(window_us, max_requests), _RL_SCHEMA)
+    # a request without a time has no window: it is rejected, and recorded nowhere
+    untimed = df.where("_us is null").select("event_id", "key", "ts", F.lit(False).alias("accepted"))
+    df = df.where("_us is not null").repartition(*parts, "key", "_seg").sortWithinPartitions("key", "_seg", "_us", "event_id")
+    df = df.withColumn("_k", F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("")))
+    out = T.StructType([df.schema["event_id"], df.schema["key"], T.StructField("ts", T.TimestampNTZType()),
+                        T.StructField("accepted", T.BooleanType())])
+    return df.mapInPandas(_limiter(window_us, max_requests), out).unionByName(untimed)
