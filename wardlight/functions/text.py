@@ -38,6 +38,19 @@ def truthy_or(*cols: Column, default: Column | str | None = None) -> Column:
     return F.coalesce(*parts) if len(parts) > 1 else parts[0]
 
 
+def js_number(d: Column) -> Column:
+    """A double as JavaScript prints it: plain decimals from 1e-6 to below 1e21, else an exponent
+    with its sign and no superfluous ``.0``."""
+    size, text = F.abs(d), d.cast("string")
+    small = (size >= 1e-6) & (size < 1)
+    plain = F.when(small, F.when(small, d).cast("decimal(38,28)").cast("string")) \
+        .otherwise(F.when((size >= 1) & (size < 1e21), d).cast("decimal(38,16)").cast("string"))
+    short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    exponent = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), "E-", "e-"), r"E(\d)", "e+$1")
+    return (F.when(d.isNull() | F.isnan(d) | (size == float("inf")), text).when(size == 0, F.lit("0"))
+            .when((size < 1e-6) | (size >= 1e21), exponent).otherwise(short))
+
+
 def js_string(c: Column, dtype: T.DataType) -> Column:
     """``String(value)`` for the value types that occur in entity rows.
 
@@ -48,7 +61,7 @@ def js_string(c: Column, dtype: T.DataType) -> Column:
         return c
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         d = c.cast("double")
-        return F.when(d == F.floor(d), F.floor(d).cast("bigint").cast("string")).otherwise(d.cast("string"))
+        return js_number(d)
     if isinstance(dtype, T.TimestampNTZType):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     if isinstance(dtype, T.TimestampType):

@@ -49,12 +49,9 @@ def substring_index(names: DataFrame, needles: DataFrame, name_cols: list[str],
     if lengths is None:
         lengths = [r[0] for r in nd.select(F.length("_nn")).distinct().collect()]
     lengths = sorted({int(n) for n in lengths if n is not None and n > 0})
-    if len(lengths) > 32:
-        # many distinct needle lengths: keep only those a name can contain (one small aggregate),
-        # so the projection stays small
-        longest = names.select(F.greatest(*[F.length(F.col(c)) for c in name_cols]).alias("m")) \
-            .agg(F.max("m")).first()[0] or 0
-        lengths = [n for n in lengths if n <= longest]
+    # only lengths that a lower-cased name can contain (one small aggregate): a short projection
+    longest = names.agg(*[F.max(F.length(F.lower(F.col(c)))).alias(f"m{i}") for i, c in enumerate(name_cols)]).first()
+    lengths = [n for n in lengths if n <= max((x or 0 for x in longest), default=0)]
     if not lengths:
         return nd.select(F.col("_nt").alias(tenant_col), F.col("_nn").alias("needle"),
                          F.lit(None).cast("bigint").alias("match_id")).where(F.lit(False))

@@ -130,7 +130,8 @@ def build_entity_query(tables: dict[str, DataFrame], mappings: dict[str, EntityM
     if f.department:
         dc = m.physical("department")
         if dc:
-            conds.append(F.col(dc) == F.lit(f.department).cast(base.schema[dc].dataType))
+            # a word against a numeric id matches nothing (never an error)
+            conds.append(F.col(dc) == F.lit(f.department).try_cast(base.schema[dc].dataType))
         else:
             ignored.append("department")
 

@@ -174,7 +174,7 @@ def parse_structured(df: DataFrame, text_col: str = "reply") -> DataFrame:
     v = F.col("_v")
     kinds = {"op": "$.operation", "tg": "$.targets", "fl": "$.filters", "ju": "$.justification"}
     kinds.update({f"f_{n}": f"$.filters.{n}" for n in _STRING_FILTERS + _NUMBER_FILTERS
-                  + ("prescriptionFor", "name")})
+                  + ("prescriptionFor", "name", "patient_name", "patient")})
     staged = staged.select("*", *[_kind(v, p).alias(f"_k_{k}") for k, p in kinds.items()],
                            F.schema_of_variant(F.variant_get(v, "$.targets", "variant")).alias("_tg_schema"))
     k = lambda name: F.col(f"_k_{name}")
@@ -202,14 +202,14 @@ def parse_structured(df: DataFrame, text_col: str = "reply") -> DataFrame:
         F.when(good, targets).when(rep, F.when(k("tg") == "array", targets)
                                     .otherwise(F.array().cast("array<string>"))).alias("targets"),
         F.when(good, fs("patientName"))
-         .when(rep, F.coalesce(ft("patientName"), ft("prescriptionFor"), ft("name"))).alias("patient_name"),
+         .when(rep, F.coalesce(ft("patientName"), ft("prescriptionFor"), ft("name"), ft("patient_name"), ft("patient"))).alias("patient_name"),
         F.when(good, fs("doctorName")).when(rep, ft("doctorName")).alias("doctor_name"),
         F.when(good, fs("department")).alias("department"),
         F.when(good, fs("status")).when(rep, ft("status")).alias("status"),
         F.when(good, fs("date")).when(rep, ft("date")).alias("date"),
         F.when(good, F.try_variant_get(v, "$.filters.minExperience", "double")).alias("min_experience"),
         F.when(good, F.coalesce(lim, F.lit(float(DEFAULT_LIMIT))))
-         .when(rep, F.coalesce(ft("limit").cast("double"), F.lit(float(DEFAULT_LIMIT)))).alias("row_limit"),
+         .when(rep, F.coalesce(ft("limit").try_cast("double"), F.lit(float(DEFAULT_LIMIT)))).alias("row_limit"),
         F.when(good, F.try_variant_get(v, "$.justification", "string"))
          .when(rep, F.coalesce(_js_truthy(v, "$.justification", k("ju")), F.lit(DEFAULT_JUSTIFICATION))).alias("justification"),
     )
@@ -227,11 +227,11 @@ QUERY_REQUIRED = "Query is required. Please provide 'query' or 'user_query' in t
 def normalise_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
     """``query || user_query || q``, ``tenantId || tenant_id || "default"``,
     ``sessionId || session_id``; a missing query becomes an error row (never an exception)."""
-    b = F.col(body_col)
-    g = lambda k: F.get_json_object(b, f"$.{k}")
-    query = truthy_or(g("query"), g("user_query"), g("q"))
-    tenant = truthy_or(g("tenantId"), g("tenant_id"), default="default")
-    session = truthy_or(g("sessionId"), g("session_id"))
+    v = F.try_parse_json(F.col(body_col))
+    g = lambda k: _js_truthy(v, f"$.{k}")  # noqa: E731   false, 0 and "" give way to the next name
+    query = F.coalesce(g("query"), g("user_query"), g("q"))
+    tenant = F.coalesce(g("tenantId"), g("tenant_id"), F.lit("default"))
+    session = F.coalesce(g("sessionId"), g("session_id"))
     return df.select("*", query.alias("query"), tenant.alias("tenant_id"), session.alias("session_id"),
                      F.when(query.isNull(), F.lit(QUERY_REQUIRED)).alias("error"))
 
