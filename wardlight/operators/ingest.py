@@ -214,7 +214,7 @@ def latest_version(spark: SparkSession, root: str) -> str | None:
     return None if best is None else f"{root.rstrip('/')}/version={best}"
 
 
-def _next_version(current: str | None, root: str) -> str:
+def next_version(current: str | None, root: str) -> str:
     n = 0 if current is None else int(current.rsplit("=", 1)[1]) + 1
     return f"{root.rstrip('/')}/version={n}"
 
@@ -241,8 +241,16 @@ def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFra
         batches.append(build_passages(ch, mapping, tenant))
     q_root = f"{store_root.rstrip('/')}/quarantine"
     q_prev = latest_version(spark, q_root)
+    held = None
     if q_prev:
-        batches.append(spark.read.parquet(q_prev).drop("error"))
+        # retried within this run's scope; the rest is carried forward as it is
+        failed = spark.read.parquet(q_prev)
+        mine = F.lit(True) if tenant is None else F.col("tenant_id").eqNullSafe(F.lit(str(tenant)))
+        if tables:
+            names = [m.table for e, (_, m) in sources.items() if e in tables or m.table in tables]
+            mine = mine & F.coalesce(F.col("table_name").isin(names), F.lit(False))
+        batches.append(failed.where(mine).drop("error"))
+        held = failed.where(~mine)
     if not batches:
         return {"processed": 0, "failed": 0}
     incoming = batches[0]
@@ -260,7 +268,7 @@ def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFra
     counters = obs.get
     points, quarantine = split_embedded(embedded)
     store_path = latest_version(spark, store_root)
-    new_store_path = _next_version(store_path, store_root)
+    new_store_path = next_version(store_path, store_root)
     if store_path:
         store = spark.read.parquet(store_path)
         merged = upsert(store, points)
@@ -268,9 +276,11 @@ def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFra
         merged = newest_per_id(points)
     # the target version has no _SUCCESS yet: any folder there is a crashed attempt, so overwrite
     merged.write.mode("overwrite").parquet(new_store_path)
+    if held is not None:
+        quarantine = quarantine.unionByName(held)
     q_path = f"{q_root}/{new_store_path.rsplit('/', 1)[1]}"
     quarantine.write.mode("overwrite").parquet(q_path)
     new_state = high_water(points, state)
-    new_state.write.mode("overwrite").parquet(_next_version(state_path, state_root))
+    new_state.write.mode("overwrite").parquet(next_version(state_path, state_root))
     rows, processed = int(counters.get("rows") or 0), int(counters.get("processed") or 0)
     return {"processed": processed, "failed": rows - processed, "store": new_store_path}

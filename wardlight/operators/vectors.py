@@ -51,7 +51,7 @@ def _cosine_arrow(q: list[float], qn: float):
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
         out = np.full(len(s), np.nan)
-        ok = np.array([v is not None and len(v) == len(qa) for v in s], dtype=bool)
+        ok = np.array([v is not None and len(v) == len(qa) and bool(np.isfinite(v).all()) for v in s], dtype=bool)
         if ok.any():
             m = np.stack(s[ok].to_numpy()).astype(np.float64)
             n = np.linalg.norm(m, axis=1)
@@ -91,70 +91,64 @@ def vector_search(corpus: DataFrame, query: Iterable[float], tenant: str | None,
 # V1: batched exact top-k
 # ---------------------------------------------------------------------------------------------
 
-_LOCAL_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("id", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
-
-
 def _local_topk(k: int, exclude_self: bool, chunk: int = 1024):
+    """Top-k of a block of queries against a block of points of the same vector length."""
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
+        found = []
+        for length in sorted(set(map(len, q["q_embedding"])) & set(map(len, c["embedding"]))):
+            found += _block(q[q["q_embedding"].map(len) == length], c[c["embedding"].map(len) == length])
+        if not found:
+            return pd.DataFrame({"query_id": q["query_id"].head(0), "id": c["id"].head(0), "score": pd.Series([], dtype="float64")})
+        return pd.concat(found, ignore_index=True)
+
+    def _block(q: pd.DataFrame, c: pd.DataFrame) -> list[pd.DataFrame]:
+        c = c.sort_values("id", kind="stable")           # a lower place is a smaller id
         C = np.stack(c["embedding"].to_numpy()).astype(np.float64)
         cn = np.linalg.norm(C, axis=1)
-        cid = c["id"].to_numpy(dtype=np.int64)
-        keep = cn > 0
-        C, cn, cid = C[keep], cn[keep], cid[keep]
-        Cn = C / cn[:, None] if len(C) else C
+        C, cid, cn = C[cn > 0], c["id"].to_numpy()[cn > 0], cn[cn > 0]
         Q = np.stack(q["q_embedding"].to_numpy()).astype(np.float64)
         qn = np.linalg.norm(Q, axis=1)
-        qid = q["query_id"].to_numpy(dtype=np.int64)
-        out_q, out_c, out_s = [], [], []
-        for s in range(0, len(Q), chunk):
-            Qb, qnb, qidb = Q[s:s + chunk], qn[s:s + chunk], qid[s:s + chunk]
-            ok = qnb > 0
-            Qb, qnb, qidb = Qb[ok], qnb[ok], qidb[ok]
-            if not len(Qb) or not len(Cn):
-                continue
-            S = (Qb / qnb[:, None]) @ Cn.T
+        Q, qid, qn = Q[qn > 0], q["query_id"].to_numpy()[qn > 0], qn[qn > 0]
+        out = []
+        for s in range(0, len(Q) if len(C) else 0, chunk):
+            ids = qid[s:s + chunk]
+            S = (Q[s:s + chunk] / qn[s:s + chunk, None]) @ (C / cn[:, None]).T
             if exclude_self:
-                S[qidb[:, None] == cid[None, :]] = -np.inf
+                S[ids[:, None] == cid[None, :]] = -np.inf
             kk = min(k, S.shape[1])
             # k-th best score per row; every entry at or above it is a candidate (ties kept), so
             # the exact (score desc, id asc) order is decided below, vectorised over the block
             thr = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
             rows, cols = np.nonzero((S >= thr[:, None]) & np.isfinite(S))
-            sc = S[rows, cols]
-            order = np.lexsort((cid[cols], -sc, rows))
-            rows, cols, sc = rows[order], cols[order], sc[order]
+            order = np.lexsort((cols, -S[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            if not len(rows):
+                continue
             first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-            rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-            keep = rank < kk
-            out_q.append(qidb[rows[keep]])
-            out_c.append(cid[cols[keep]])
-            out_s.append(sc[keep])
-        if not out_q:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "id": np.concatenate(out_c),
-                             "score": np.concatenate(out_s)})
+            best = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)])) < kk
+            rows, cols = rows[best], cols[best]
+            out.append(pd.DataFrame({"query_id": ids[rows], "id": cid[cols], "score": S[rows, cols]}))
+        return out
     return fn
 
 
+def _usable(emb: Column) -> Column:
+    """Vectors that can be scored: not null, not empty, all components finite."""
+    return emb.isNotNull() & (F.size(emb) > 0) & F.forall(emb, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def vector_topk_batch(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
                       exclude_self: bool = False, block_rows: int = 4096) -> DataFrame:
     """V1: for each query row ``(query_id, tenant_id, q_embedding)`` the k nearest corpus points
     ``(id, tenant_id, embedding)`` of the same tenant. Output ``query_id, rank, id, score``."""
     # fresh attribute ids: queries and corpus are often the same table (all-vs-all)
     queries = queries.select(F.col("query_id").alias("query_id"), F.col("tenant_id").cast("string").alias("tenant_id"),
-                             F.col("q_embedding").alias("q_embedding"))
+                             F.col("q_embedding").alias("q_embedding")).where(_usable(F.col("q_embedding")))
     corpus = corpus.select(F.col("id").alias("id"), F.col("tenant_id").cast("string").alias("tenant_id"),
-                           F.col("embedding").alias("embedding"))
+                           F.col("embedding").alias("embedding")).where(_usable(F.col("embedding")))
+    # ids keep the caller's types (stored points have text ids)
+    local_schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                                 T.StructField("id", corpus.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     qcount = queries.groupBy("tenant_id").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)), F.lit(1)).cast("int").alias("qblocks"))
     ccount = corpus.groupBy("tenant_id").agg(
@@ -172,7 +166,7 @@ def vector_topk_batch(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
          .select("tenant_id", "qblock", "cblock", "id", "embedding"))
     local = (q.groupBy("tenant_id", "qblock", "cblock")
              .cogroup(c.groupBy("tenant_id", "qblock", "cblock"))
-             .applyInPandas(_local_topk(k, exclude_self), _LOCAL_SCHEMA))
+             .applyInPandas(_local_topk(k, exclude_self), local_schema))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
     ranked = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id",
