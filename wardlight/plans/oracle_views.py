@@ -20,12 +20,12 @@ VIEWS = {
         CASE WHEN s_acctbal >= 0 THEN 'Specialty ' || CAST(s_nationkey % 7 AS VARCHAR) ELSE '' END AS specialist
         FROM supplier""",
     "appointments": """SELECT o_orderkey AS id, CAST(o_custkey % 5 AS VARCHAR) AS tenant_id,
-        o_custkey AS patient_id, o_orderkey % 10 AS doctor_id, o_orderdate AS opd_date,
+        o_custkey AS patient_id, o_custkey // 15 AS doctor_id, o_orderdate AS opd_date,
         CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 WHEN 'O' THEN 4 END AS status,
         o_orderpriority AS department_id, o_totalprice AS amount,
         o_orderdate AS created_at, o_orderdate AS updated_at FROM orders""",
     "prescriptions": """SELECT o_orderkey AS id, CAST(o_custkey % 5 AS VARCHAR) AS tenant_id,
-        o_custkey AS patient_id, o_orderkey % 10 AS doctor_id, o_orderstatus AS status,
+        o_custkey AS patient_id, o_custkey // 15 AS doctor_id, o_orderstatus AS status,
         o_orderpriority AS problem, CASE WHEN o_orderstatus = 'F' THEN 'CBC' ELSE '' END AS test,
         CASE WHEN o_totalprice > 250000 THEN 'Rest and fluids' END AS advice,
         CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS diabetic,

@@ -62,7 +62,7 @@ def q_vector_sample(spark, sf_dir):
 
 # Query text → vector with the deterministic hashing embedder (stands in for the endpoint).
 _EMBED = hashing_embedder(64)
-KNOWLEDGE_QUESTION = "Explain cardiovascular research"
+KNOWLEDGE_QUESTION = "Which notes mention a patient with a weak heart?"
 HYBRID_QUESTION = "Who is doctor Supplier 000000002?"
 
 
