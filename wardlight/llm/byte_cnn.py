@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wardlight.llm.common import slices, text_bytes
+from wardlight.llm.common import hash_sample, slices, text_bytes
 
 EMBED, WIDTH, STRIDE, BLOCK, FILTERS, HIDDEN = 8, 8, 2, 256, 32, 16
 SAMPLE, SAMPLE_BYTES = 1200, 16_384
@@ -162,9 +161,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     """At most ``per_label`` training rows of each label: those with the smallest id hashes."""
     marks = labels.select(F.col("doc_id").alias("key"), F.col(label).alias("label")).where("label in (0, 1)")
     texts = docs.select(F.col("doc_id").alias("key"), "text").where(~held_out(F.col("key")))
-    chosen = texts.where(F.octet_length("text") <= longest).select("key").join(marks, "key") \
-        .withColumn("h", F.xxhash64("key")).withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("h", "key"))) \
-        .where(F.col("i") <= per_label).select("key", "label", "i")
+    known = texts.where(F.octet_length("text") <= longest).select("key").join(marks, "key")
+    chosen = hash_sample(known, "label", "key", per_label)
     rows = texts.join(F.broadcast(chosen), "key").orderBy("label", "i", "text").collect()     # at most 2 * per_label rows
     return [r["text"].encode() for r in rows], np.array([r["label"] for r in rows], np.float32)
 

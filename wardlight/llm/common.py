@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SLICE_BYTES = 1 << 20      # text handled at once by the vectorised kernels
 
@@ -148,6 +150,17 @@ def window_starts(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(n.sum())) - np.repeat(head, n) + np.repeat(first, n), row
 
 
+def hash_sample(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """``rows`` with their place ``i`` (1 to n): per label at most the n with the smallest hashes of
+    their keys. Counts per label first cut the rows to about 4 n by a threshold of the hash, so a
+    label of a third of all rows is never sorted whole."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_count"))
+    few = rows.join(counts, F.col(label) == F.col("_label")).where(place * F.col("_count") < 4 * n * (1 << 30)).drop("_label", "_count")
+    order = Window.partitionBy(label).orderBy(place, key)
+    return few.withColumn("i", F.row_number().over(order)).where(F.col("i") <= n)
+
+
 class Memo(dict):
     """Values of ``compute`` by key, in two generations: when the young one is full it becomes the
     old one, and what is asked for again moves up. Holds at most twice ``size`` keys."""

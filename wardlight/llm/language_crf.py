@@ -28,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wardlight.llm.byte_cnn import held_out
-from wardlight.llm.common import mix64, slices, split_words, text_bytes
+from wardlight.llm.common import hash_sample, mix64, slices, split_words, text_bytes
 
 BUCKETS = 1 << 17
 SAMPLE, SAMPLE_BYTES = 400, 16_384
@@ -227,8 +226,7 @@ def language_sample(docs: DataFrame, per_language: int = SAMPLE, longest: int =
     """At most ``per_language`` training rows of each language: those with the smallest id hashes."""
     rows = docs.select(F.col("doc_id").alias("key"), F.col("lang").alias("label"), "text").where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") <= longest))
-    first = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key", "text"))
-    rows = rows.withColumn("i", first).where(F.col("i") <= per_language).orderBy("label", "i").collect()
+    rows = hash_sample(rows, "label", "key", per_language).orderBy("label", "i", "text").collect()
     return [r["text"].encode() for r in rows], [r["label"] for r in rows]
 
 
