@@ -27,7 +27,7 @@ from wardlight.llm.common import hash_sample, slices, text_bytes
 
 EMBED, WIDTH, STRIDE, BLOCK, FILTERS, HIDDEN = 8, 8, 2, 256, 32, 16
 SAMPLE, SAMPLE_BYTES = 1200, 16_384
-EPOCHS, BATCH, RATE = 12, 32, 3e-3
+STEPS, BATCH, RATE = 900, 32, 3e-3
 _SPAN = 1 << 16            # filter places computed at once
 
 
@@ -123,26 +123,23 @@ class ByteCnn:
             g["embed"][:, e] = np.bincount(seen.ravel(), back[:, e], 256)
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> ByteCnn:
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 3) -> ByteCnn:
+        """Adam on batches of which half have label 1, so few labels weigh like many."""
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.mean()) if len(labels) else 0.5
             return self
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        step, total = 0, epochs * -(-len(texts) // BATCH)
-        for _ in range(epochs):
-            order = rng.permutation(len(texts))
-            for at in range(0, len(order), BATCH):
-                some = order[at:at + BATCH]
-                step += 1
-                raw = [texts[i] for i in some]
-                offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-                rate = RATE * min(1.0, step / 20) * (1 - 0.9 * step / total)
-                for k, g in self._gradients(np.frombuffer(b"".join(raw), np.uint8), offs, labels[some]).items():
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        for step in range(1, steps + 1):
+            some = np.concatenate([rng.choice(np.flatnonzero(labels == y), BATCH // 2) for y in (0, 1)])
+            raw = [texts[i] for i in some]
+            offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+            rate = RATE * min(1.0, step / 20) * (1 - 0.9 * step / steps)
+            for k, g in self._gradients(np.frombuffer(b"".join(raw), np.uint8), offs, labels[some]).items():
+                m[k] += 0.1 * (g - m[k])
+                v[k] += 0.01 * (g * g - v[k])
+                self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
