@@ -12,6 +12,10 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -47,14 +51,33 @@ def bpe_digest(docs):
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-@register("op5_substring_dedup")
+@register("op5_substring_dedup", f"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS w
+                FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM t WHERE len(ws) >= 13)),
+    firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+    gone AS (SELECT DISTINCT doc_id, i + k AS i FROM windows JOIN firsts USING (w), generate_series(0, 12) AS g(k) WHERE first < doc_id),
+    words AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS word FROM t),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM t LEFT JOIN kept USING (doc_id)""")
 def op5_substring_dedup(spark, sf_dir):
     rows = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed",
                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-@register("op3_ngram_join")
+@register("op3_ngram_join", f"""
+    WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), {_WORD}) AS ws FROM documents),
+    shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+                 FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM t WHERE len(ws) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * same >= 80 * (a.n + b.n - same)),
+    edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+    reach AS (SELECT doc_id AS d, doc_id AS root FROM t UNION SELECT y, root FROM reach JOIN edges ON x = d)
+    SELECT t.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
+    FROM t JOIN reach ON d = t.doc_id LEFT JOIN sizes ON sizes.doc_id = t.doc_id GROUP BY t.doc_id""")
 def op3_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
