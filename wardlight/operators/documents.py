@@ -11,6 +11,8 @@ whole texts (bounded by the document's own size).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,13 +180,21 @@ def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, d
 
 
 def documents_for_selection(selected: DataFrame, prescriptions: DataFrame, patients: DataFrame,
-                            doctors: DataFrame, items: DataFrame, id_col: str = "id", **kw) -> DataFrame:
+                            doctors: DataFrame, candidates: list[tuple[str, DataFrame | None]],
+                            id_col: str = "id", finish: Callable[[DataFrame], DataFrame] = lambda items: items,
+                            **kw) -> DataFrame:
     """P1 for every prescription a query selected (F9 in batch form: a semi join on the selected
-    ids instead of one point lookup per id; the reference exported only the first row)."""
+    ids instead of one point lookup per id; the reference exported only the first row).
+
+    The item ``candidates`` are cut to the selected ids before the first non-empty one is chosen, so
+    no aggregate reads the items of other prescriptions; ``finish`` adds columns to the chosen items.
+    Nothing is materialised."""
     ids = selected.select(F.col(id_col).alias("_sel")).distinct()
     rx = prescriptions.join(ids, F.col("id") == F.col("_sel"), "left_semi")
-    it = items.join(ids, F.col("prescription_id") == F.col("_sel"), "left_semi")
-    return prescription_document_lines(rx, patients, doctors, it, **kw)
+    cut = [(name, None if df is None else df.join(ids, F.col("prescription_id") == F.col("_sel"), "left_semi"))
+           for name, df in candidates]
+    return prescription_document_lines(rx, patients, doctors, finish(first_source(cut, "prescription_id")),
+                                       **{"materialize": False, **kw})
 
 
 def document_bodies(lines: DataFrame) -> DataFrame:

@@ -98,6 +98,7 @@ def q_export_documents(spark, sf_dir):
     cat = Catalog(spark, sf_dir)
     intent = Intent.of("export_pdf", ["prescriptions", "patients"], patientName="customer 00000010", limit=100)
     selected = entity_query(cat.tables(), DRIVER_MAPPINGS, intent, "0", AS_OF)
+    tables = cat.item_tables()
     return documents_for_selection(selected, cat.prescriptions(), cat.patients(), cat.doctors(),
-                                   _first_items(cat),
+                                   [(t, tables.get(t)) for t in ITEM_CANDIDATES], finish=cat.with_medicine_names,
                                    order_cols=("line_no", "part_id", "supplier_id", "price"))
