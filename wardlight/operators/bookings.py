@@ -69,9 +69,11 @@ def substring_index(names: DataFrame, needles: DataFrame, name_cols: list[str],
     buckets = nd.select(F.pmod(F.xxhash64("_nt", "_nn"), F.lit(PREFILTER_BUCKETS)).alias("_h")).distinct()
     subs = (subs.withColumn("_h", F.pmod(F.xxhash64("_st", "_sub"), F.lit(PREFILTER_BUCKETS)))
             .join(F.broadcast(buckets), "_h", "left_semi").drop("_h"))
-    hits = subs.join(nd, (F.col("_st") == F.col("_nt")) & (F.col("_sub") == F.col("_nn")), "left_semi")
-    return (hits.groupBy("_st", "_sub").agg(F.min("_id").alias("match_id"))
-            .select(F.col("_st").alias(tenant_col), F.col("_sub").alias("needle"), "match_id"))
+    # smallest id per substring first (combined map-side, so a substring that all names share is one
+    # row per task), then the exact join with the needles on the same keys
+    least = subs.groupBy("_st", "_sub").agg(F.min("_id").alias("match_id"))
+    hits = least.join(nd, (F.col("_st") == F.col("_nt")) & (F.col("_sub") == F.col("_nn")), "left_semi")
+    return (hits.select(F.col("_st").alias(tenant_col), F.col("_sub").alias("needle"), "match_id"))
 
 
 def resolve_bookings(requests: DataFrame, patients: DataFrame, doctors: DataFrame,
@@ -95,12 +97,15 @@ def resolve_bookings(requests: DataFrame, patients: DataFrame, doctors: DataFram
                            ["first_name", "last_name"], lengths=list(lens["p"]))
     didx = substring_index(doctors, r.select("tenant_id", F.col("dn").alias("needle")).where("needle IS NOT NULL"),
                            ["first_name", "last_name"], lengths=list(lens["d"]))
+    # a missing needle gets a key of its own that no name has, so such requests share no partition
+    own = F.concat(F.lit("\x00"), F.col("request_id").cast("string"))
+    r = r.withColumn("pj", F.coalesce("pn", own)).withColumn("dj", F.coalesce("dn", own))
     j = (r.join(pidx.select(F.col("tenant_id").alias("_pt"), F.col("needle").alias("_pn"),
                             F.col("match_id").alias("patient_id")),
-                (F.col("tenant_id") == F.col("_pt")) & (F.col("pn") == F.col("_pn")), "left")
+                (F.col("tenant_id") == F.col("_pt")) & (F.col("pj") == F.col("_pn")), "left")
          .join(didx.select(F.col("tenant_id").alias("_dt"), F.col("needle").alias("_dn"),
                            F.col("match_id").alias("doctor_id")),
-               (F.col("tenant_id") == F.col("_dt")) & (F.col("dn") == F.col("_dn")), "left"))
+               (F.col("tenant_id") == F.col("_dt")) & (F.col("dj") == F.col("_dn")), "left"))
     p_ok = F.col("patient_id").isNotNull()
     d_ok = F.col("doctor_id").isNotNull()
     if zero_id_is_missing:
