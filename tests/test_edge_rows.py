@@ -16,7 +16,7 @@ from wardlight.operators.entity_query import entity_query
 from wardlight.operators.ingest import hashing_embedder, latest_version, run_incremental_ingest
 from wardlight.operators.querylog import normalise_requests, parse_structured
 from wardlight.operators.ratelimit import rate_limit, requests_in_window
-from wardlight.operators.vectors import vector_search, vector_topk_batch
+from wardlight.operators.vectors import search_store, vector_search, vector_topk_batch
 from wardlight.plans.intent import Intent
 from wardlight.session import checkpoint_root
 from wardlight.sources.mapping import EntityMapping
@@ -172,3 +172,15 @@ def test_batch_then_stream_loses_nothing(spark):
     assert {r["record_id"] for r in store.collect()} == {"0", "1", "2", "9", "11"}
     assert run_incremental_ingest(spark, {"a": (rows, APPTS)}, root + "/store", root + "/state", hashing_embedder(8))["processed"] == 1
     assert spark.read.parquet(latest_version(spark, root + "/store")).count() == 6
+
+
+def test_search_of_what_was_ingested(spark):
+    root = f"{checkpoint_root(spark)}/search-{uuid.uuid4().hex}"
+    rows = spark.createDataFrame([(i, "A" if i % 2 else "B", w, at(i)) for i, w in enumerate(
+        ["sore throat", "broken arm", "broken leg and arm", "flu"])], APPT_SCHEMA)
+    run_incremental_ingest(spark, {"a": (rows, APPTS)}, root + "/store", root + "/state", hashing_embedder(64))
+    got = search_store(spark, root + "/store", "broken arm", hashing_embedder(64), "A").collect()
+    assert [g["record_id"] for g in got] == ["1", "3"] and "broken arm" in got[0]["text"] and got[0]["score"] > got[1]["score"]
+    assert "embedding" not in got[0].asDict() and got[0]["title"]
+    with pytest.raises(ValueError):
+        search_store(spark, root + "/none", "x", hashing_embedder(64), "A")

@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.operators.ingest import changed_rows, high_water, upsert
+from wardlight.operators.ingest import changed_rows, hashing_embedder, high_water, latest_version, \
+    run_incremental_ingest, upsert
 from wardlight.operators.passages import build_passages
+from wardlight.operators.vectors import search_store
 from wardlight.plans.oracle_views import with_views
 from wardlight.plans.registry import register
+from wardlight.session import scratch_path
 from wardlight.sources.mapping import EntityMapping
 from wardlight.sources.tables import DRIVER_MAPPINGS, Catalog
 
@@ -182,3 +185,37 @@ def q_ingest_incremental(spark, sf_dir):
         p = build_passages(ch, m)
         out = p if out is None else out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------------------------------------
+# the ingest job itself, and a search of what it stored
+# ---------------------------------------------------------------------------------------------
+
+STORE_QUESTION = "completed urgent appointment with a large amount"
+
+
+def _ingested(spark, sf_dir) -> str:
+    """Two runs of the job: all appointments, then the changed rows behind each tenant's mark."""
+    cat, root = Catalog(spark, sf_dir), scratch_path(spark, "ingest")
+    m = DRIVER_MAPPINGS["appointments"]
+    for rows in (cat.appointments(), cat.appointments().unionByName(_changed_batch(cat))):
+        run_incremental_ingest(spark, {"appointments": (rows, m)}, root + "/store", root + "/state", hashing_embedder(64))
+    return root
+
+
+@register("ingest_job", with_views("appointments") + ", " + _BATCH_SQL + """,
+marks AS (SELECT tenant_id, max(updated_at) AS hw FROM appointments GROUP BY tenant_id),
+changed AS (SELECT b.* FROM batch b JOIN marks USING (tenant_id) WHERE b.updated_at > hw),
+store AS (""" + passages_sql("appointments", "appointments", DRIVER_MAPPINGS["appointments"]) +
+          "),\nincoming AS (" + passages_sql("changed", "appointments", DRIVER_MAPPINGS["appointments"]) +
+          "),\nnewest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER "
+          "(PARTITION BY id ORDER BY updated_at DESC, text DESC) AS rn FROM incoming) WHERE rn = 1)\n"
+          "SELECT * FROM store WHERE id NOT IN (SELECT id FROM newest) UNION ALL SELECT * FROM newest")
+def q_ingest_job(spark, sf_dir):
+    return spark.read.parquet(latest_version(spark, _ingested(spark, sf_dir) + "/store")).drop("embedding")
+
+
+@register("ingest_then_search")
+def q_ingest_then_search(spark, sf_dir):
+    """No SQL: the vectors come from the embedder (tests compare with a full scoring)."""
+    return search_store(spark, _ingested(spark, sf_dir) + "/store", STORE_QUESTION, hashing_embedder(64), "1")
