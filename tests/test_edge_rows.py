@@ -184,3 +184,28 @@ def test_search_of_what_was_ingested(spark):
     assert "embedding" not in got[0].asDict() and got[0]["title"]
     with pytest.raises(ValueError):
         search_store(spark, root + "/none", "x", hashing_embedder(64), "A")
+
+
+def test_checkpoint_folder_order():
+    class Conf(dict):
+        pass
+
+    class Context:
+        def __init__(self, master, folder=None):
+            self.master, self.folder = master, folder
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master, folder=None, **conf):
+            self.conf, self.sparkContext = Conf(conf), Context(master, folder)
+
+    assert checkpoint_root(Session("spark://host:7077", "hdfs:/b", **{"spark.checkpoint.dir": "hdfs:/a"})) == "hdfs:/a"
+    assert checkpoint_root(Session("spark://host:7077", "hdfs:/b")) == "hdfs:/b"
+    with pytest.raises(ValueError):
+        checkpoint_root(Session("local-cluster[2,1,1024]"))
+    assert os.path.isdir(checkpoint_root(Session("local[4]")))

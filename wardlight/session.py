@@ -55,7 +55,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     root = sc.getCheckpointDir()
     if root is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if not re.fullmatch(r"local(\[.*\])?", getattr(sc, "master", "local")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wardlight-ckpt-"))
         root = sc.getCheckpointDir()
