@@ -24,9 +24,10 @@ MIN_LANGUAGE_SCORE = 0.5   # a document's words are of its language on the avera
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have letters and one language for at least half of their words."""
-    found = language_crf.label_documents(docs, language_crf.train(docs), docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    found = language_crf.label_documents(docs, language_crf.train(docs), others, with_text=True)
     sure = (F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(sure).select("carried.*")
+    return found.where(sure).select(*["text" if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

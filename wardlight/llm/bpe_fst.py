@@ -17,7 +17,6 @@ the same path; repeated rows are encoded each on its own; an empty table gives a
 from __future__ import annotations
 
 import base64
-import functools
 import re
 import struct
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import LATIN_DIGITS, LATIN_LETTERS, LATIN_SPACE, Memo, is_latin
+from wardlight.llm.common import LATIN_DIGITS, LATIN_LETTERS, LATIN_SPACE, Memo, held, is_latin
 
 MAX_STATES = 300_000
 MAX_PIECES = 200_000
@@ -211,12 +210,6 @@ class Pieces(Memo):
         return b"".join(map(self.__getitem__, pieces))
 
 
-@functools.lru_cache(maxsize=2)
-def shared_pieces(ranks_path: str, pattern: str) -> Pieces:
-    """One per Python worker: what a task has learnt serves the worker's next task."""
-    return Pieces(read_ranks(ranks_path), pattern)
-
-
 class Utf8Stream:
     """Text of a byte stream cut anywhere: holds back the bytes of an unfinished character."""
 
@@ -258,7 +251,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
     schema = docs.select(F.col(id_column).alias("id"), F.lit(b"").alias("ids"), F.lit("").alias("decoded")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared_pieces(ranks_path, pattern)
+        pieces = held(("pieces", ranks_path, pattern), lambda: Pieces(read_ranks(ranks_path), pattern))
         bytes_of = pieces.transducer.bytes_of
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

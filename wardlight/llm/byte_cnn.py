@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import hash_sample, slices, text_bytes
+from wardlight.llm.common import hash_sample, release, slices, text_bytes
 
 EMBED, WIDTH, STRIDE, BLOCK, FILTERS, HIDDEN = 8, 8, 2, 256, 32, 16
 SAMPLE, SAMPLE_BYTES = 1200, 16_384
@@ -168,6 +168,7 @@ def score_documents(docs: DataFrame, model: ByteCnn) -> DataFrame:
     """doc_id and score of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             buf, offs = text_bytes(batch["text"])
             found = [model.scores(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]) for i, j in slices(offs)]

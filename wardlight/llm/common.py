@@ -6,7 +6,9 @@ bytes, so splitting UTF-8 bytes equals splitting characters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +163,29 @@ def hash_sample(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
     return few.withColumn("i", F.row_number().over(order)).where(F.col("i") <= n)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """One costly object per Python worker, kept for the worker's next tasks until a task needs
+    another one, or none."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what earlier tasks of this Python worker kept, and hand free memory back."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Memo(dict):
     """Values of ``compute`` by key, in two generations: when the young one is full it becomes the
     old one, and what is asked for again moves up. Holds at most twice ``size`` keys."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Hasher, slices, split_words, text_bytes
+from wardlight.llm.common import Hasher, release, slices, split_words, text_bytes
 
 ERRORS_PER_WORD = 5        # one error allowed for so many words
 MIN_WORDS = 5
@@ -154,6 +154,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", ite
     for listed in _item_parts(items, item_column):
 
         def run(batches: Iterator[pa.RecordBatch], listed: list = listed) -> Iterator[pa.RecordBatch]:
+            release()
             index = ItemIndex(listed)
             for batch in batches:
                 found = _batch_matches(index, batch)
@@ -173,6 +174,7 @@ def without_items(docs: DataFrame, items: DataFrame, item_column: str = "item_id
     for listed in _item_parts(items, item_column):
 
         def run(batches: Iterator[pa.RecordBatch], listed: list = listed) -> Iterator[pa.RecordBatch]:
+            release()
             index = ItemIndex(listed)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)

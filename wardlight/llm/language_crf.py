@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.byte_cnn import held_out
-from wardlight.llm.common import hash_sample, mix64, slices, split_words, text_bytes
+from wardlight.llm.common import hash_sample, mix64, release, slices, split_words, text_bytes
 
 BUCKETS = 1 << 17
 SAMPLE, SAMPLE_BYTES = 400, 16_384
@@ -236,16 +236,18 @@ def train(docs: DataFrame) -> LanguageCrf:
     return LanguageCrf(languages).fit(texts, np.array([languages.index(x) for x in labels], np.int64))
 
 
-def label_documents(docs: DataFrame, model: LanguageCrf, carried: list[str]) -> DataFrame:
+def label_documents(docs: DataFrame, model: LanguageCrf, carried: list[str], with_text: bool = False) -> DataFrame:
     """The ``carried`` columns as one struct, lang_pred, score, and words: the number of words per
-    language label."""
-    schema = docs.select(F.struct(*carried).alias("carried"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),
+    language label; ``with_text``: the text too, which then needn't be carried."""
+    text = ["text"] if with_text else []
+    schema = docs.select(F.struct(*carried).alias("carried"), *text, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),
                          F.array(F.struct(F.lit("").alias("lang"), F.lit(0).cast("long").alias("n"))).alias("words")).schema
     names = np.array([*model.languages, UNKNOWN])
     n = len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        release()
         letter = regex.compile(r"\p{L}")
         for batch in batches:
             buf, offs = text_bytes(batch["text"])
@@ -267,10 +269,10 @@ def label_documents(docs: DataFrame, model: LanguageCrf, carried: list[str]) ->
                 words += [[{"lang": x, "n": k} for x, k in zip(model.languages, r) if k] for r in label.tolist()]
             z = np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch["carried"], pa.array(names[np.concatenate([z.astype(int), *best])].tolist(), pa.string()),
+                [batch["carried"], *(batch[c] for c in text), pa.array(names[np.concatenate([z.astype(int), *best])].tolist(), pa.string()),
                  pa.array(np.concatenate([z, *score]), pa.float64()),
                  pa.array(words, pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))],
-                ["carried", "lang_pred", "score", "words"])
+                ["carried", *text, "lang_pred", "score", "words"])
 
     return docs.select(F.struct(*carried).alias("carried"), "text").mapInArrow(run, schema)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Hasher, mix64, slices, split_words, text_bytes
+from wardlight.llm.common import Hasher, mix64, release, slices, split_words, text_bytes
 from wardlight.llm.components import components
 from wardlight.llm.window_counts import Layout, estimated_orders, merged_orders, partial_sketches, text_blocks
 from wardlight.session import checkpoint_root, scratch_path
@@ -92,6 +92,7 @@ def _described(blocks: DataFrame, marks: DataFrame, layout: Layout, width: int,
     """Per row: doc_id, set size, signature, and the shared shingles of rows that may have a partner."""
 
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         sets = _sets(table, width)
         orders = estimated_orders(np.concatenate(sets) if sets else np.zeros(0, np.uint64), layout, got)
         sigs, shared, at = [], [], 0
@@ -118,6 +119,7 @@ def _recounted(sets: DataFrame, percent: int) -> DataFrame:
         return np.frombuffer(b"".join(table["shared"].to_pylist()), np.uint64)
 
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         orders, at, out = estimated_orders(every(table), layout, got), 0, []
         for doc, n, raw in zip(*(table[c].to_pylist() for c in ("doc", "n", "shared"))):
             t = np.frombuffer(raw, np.uint64)

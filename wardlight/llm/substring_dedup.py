@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Hasher, expand, slices, split_words, squeeze, text_bytes, window_starts
+from wardlight.llm.common import Hasher, expand, release, slices, split_words, squeeze, text_bytes, window_starts
 from wardlight.llm.window_counts import Layout, estimated_orders, merged_orders, partial_sketches, text_blocks
 
 WINDOW = 13
@@ -72,6 +72,7 @@ def _suspects(blocks: DataFrame, marks: DataFrame, layout: Layout, width: int, b
     """Windows estimated to be repeated, once per block: fingerprint and smallest doc_id there."""
 
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         out: dict[str, list] = {"bucket": [], "block": [], "first": [], "second": [], "doc": []}
         if table.num_rows and got.num_rows:
             (a, b), _, row, _ = _windows(table, width, (_FIRST, _SECOND))
@@ -101,6 +102,7 @@ def _repeats(suspects: DataFrame) -> DataFrame:
     """Per block, the windows (first hash, sorted) whose smallest doc_id of all is below the block's."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         firsts = [np.frombuffer(x, np.uint64) for x in table["first"].to_pylist()]
         a = np.concatenate(firsts)
         b = np.concatenate([np.frombuffer(x, np.uint32) for x in table["second"].to_pylist()])
@@ -126,6 +128,7 @@ def _kept(blocks: DataFrame, repeats: DataFrame, width: int, layout: bool) -> Da
                            F.lit(None).cast("string").alias("kept"), "carried").schema
 
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         (a,), first, row, counts = _windows(table, width, (_FIRST,))
         gone = np.zeros(len(a), bool)
         lists = [np.frombuffer(x, np.uint64) for x in got["gone"].to_pylist()]

@@ -13,7 +13,6 @@ rows are kept as they are; an empty table makes no segment; other columns are ig
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import LATIN_DIGITS, LATIN_LETTERS, LATIN_SPACE, Memo, is_latin, spread_partitions
+from wardlight.llm.common import LATIN_DIGITS, LATIN_LETTERS, LATIN_SPACE, Memo, held, is_latin, spread_partitions
 from wardlight.session import scratch_path
 
 END_ID = 1
@@ -94,12 +93,6 @@ class TextEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@functools.lru_cache(maxsize=2)
-def shared_encoder(path: str) -> TextEncoder:
-    """One per Python worker: what a task has learnt serves the worker's next task."""
-    return TextEncoder(path)
-
-
 def pack_codes(ids: np.ndarray) -> bytes:
     """The levels of ``ids``: count, level count, then per level its chunks, bitmap and ranks."""
     parts, rest = [], ids.astype(np.uint32)
@@ -206,7 +199,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     schema = "part int, seq int, first long, n_tokens long, blob binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = shared_encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = held(("words", tokenizer_path), lambda: TextEncoder(tokenizer_path)), TaskContext.get().partitionId()
         seq = first = held = 0
         doc_ids: list[int | None] = []
         found: list[bytes] = []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import expand, mix64, squeeze
+from wardlight.llm.common import expand, mix64, release, squeeze
 
 ROWS = 2
 BLOCK_BYTES = 8 << 20      # text of a block
@@ -57,6 +57,7 @@ def partial_sketches(blocks: DataFrame, layout: Layout, windows_of: Callable[[pa
     """The messages of every block; ``windows_of`` gives a block's window hashes."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         windows, block = windows_of(table), table["block"][0].as_py()
         out: dict[str, list] = {"shard": [], "row": [], "block": [], "cells": [], "counts": []}
         for row in range(ROWS):
@@ -81,6 +82,7 @@ def merged_orders(messages: DataFrame) -> DataFrame:
     """Per message, the order of magnitude (0: one, 1: two or three, ...) of its cells' totals."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         cells = [np.cumsum(expand(c, np.uint32), dtype=np.uint32) for c in table["cells"].to_pylist()]
         counts = [expand(c, np.uint8) for c in table["counts"].to_pylist()]
         every = np.concatenate(cells)
