@@ -99,3 +99,17 @@ def test_encode_decode_documents(spark):
     want = sorted((str(r[0]), np.array(plain.encode_ordinary(r[1] or ""), "<u4").tobytes(), r[1] or "") for r in rows)
     assert sorted((str(g["doc_id"]), bytes(g["ids"]), g["decoded"]) for g in got) == want
     assert bpe_fst.encode_decode(spark.createDataFrame([], SCHEMA), RANKS, P.PATTERN).count() == 0
+
+
+def test_a_worker_keeps_one_costly_object():
+    from wardlight.llm.common import held, release
+    made = []
+
+    def make():
+        made.append([])
+        return made[-1]
+    assert held(("a",), make) is held(("a",), make) and len(made) == 1
+    assert held(("b",), make) is made[1] and held(("a",), make) is made[2]
+    release()
+    assert held(("a",), make) is made[3]
+    release()
