@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from wardlight.llm.common import LATIN_DIGITS, LATIN_LETTERS, LATIN_SPACE, Memo, held, is_latin
 
-MAX_STATES = 200_000
+MAX_STATES = 250_000
 MAX_PIECES = 150_000
-MAX_PAIRS = 250_000
+MAX_PAIRS = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
