@@ -159,6 +159,29 @@ def test_top_k_equals_all_scores(spark, monkeypatch):
     assert top_k.top_k(table.limit(0), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_top_k_of_an_id_on_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(20, [9.0 + x, 9.0, 9.0]) for x in rng.random(1000).round(2).tolist()]
+    rows += [(21 + i % 1500, v) for i, v in enumerate(rng.random((2000, 3)).round(2).tolist())] + [(7, [8.0, 8.0, 8.0])] * 30
+    whole = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    query = min((tuple(v) for i, v in whole if i == 20))
+    want = sorted((-int(np.array(query) @ v), i) for i, v in whole if i != 20)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (20, 40):
+        got = top_k.top_k(table, "vec_id", "embedding", F.col("vec_id") == 20, k).collect()
+        assert sorted(tuple(g) for g in got) == [(20, r + 1, i, -s) for r, (s, i) in enumerate(want[:k])]
+
+
+def test_bounds_leave_out_the_own_id():
+    rng = np.random.default_rng(7)
+    values, ids = rng.integers(-5, 6, (4000, 3)), np.arange(4000)
+    values[:1500], ids[:1500] = 60, 9                      # the query's own rows are the best
+    lists = np.argsort(values, axis=0, kind="stable")
+    some = top_k.aggregate_block(np.array([[1, 2, 3]]), values, lists, 10, asks=np.array([9]), ids=ids)[0]
+    score = np.where(ids == 9, -10**6, values @ np.array([1, 2, 3]))
+    assert set(np.flatnonzero(score > np.sort(score)[-10])) <= set(some.tolist()) and not (ids[some] == 9).any() and len(some) >= 10
+
+
 def test_bounds_close_before_the_lists_end():
     rng = np.random.default_rng(5)
     values = rng.integers(-5, 6, (4000, 3))

@@ -63,11 +63,15 @@ def _number_type(queries: np.ndarray, vectors: np.ndarray) -> type:
 
 
 def aggregate_block(queries: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k: int,
-                    depths: tuple[float, ...] = DEPTHS) -> list[np.ndarray]:
-    """Per query the vectors that can be among its k best."""
+                    depths: tuple[float, ...] = DEPTHS, asks: np.ndarray | None = None,
+                    ids: np.ndarray | None = None) -> list[np.ndarray]:
+    """Per query the vectors that can be among its k best; given the ids of queries and vectors, without
+    the vectors of the query's own id, however many they are."""
+    own = np.zeros((len(queries), len(vectors)), bool) if asks is None else np.equal.outer(asks, ids)
     n, kind = len(vectors), _number_type(queries, vectors)
     if n <= k:
-        return [np.arange(n)] * len(queries)
+        return [np.flatnonzero(~o) for o in own]
+    least = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
     values = vectors.astype(kind)
     up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
     column = np.arange(vectors.shape[1])
@@ -83,8 +87,9 @@ def aggregate_block(queries: np.ndarray, vectors: np.ndarray, lists: np.ndarray,
             lower = p @ np.where(values >= high, values, bottom).T + m @ np.where(values <= low, values, top).T
         else:
             upper = lower = (p + m) @ values.T
-        bar = np.partition(lower, n - k, axis=1)[:, n - k]
-        may = upper >= bar[:, None]
+        mine = own[open_]
+        bar = np.partition(np.where(mine, kind(least), lower), n - k, axis=1)[:, n - k]
+        may = (upper >= bar[:, None]) & ~mine
         done = may.sum(1) <= 8 * k if read < n else np.ones(len(open_), bool)
         for i in np.flatnonzero(done):
             out[open_[i]] = np.flatnonzero(may[i])
@@ -103,10 +108,13 @@ def top_k(rows: DataFrame, id_column: str, vector_column: str, is_query: Column,
     used = used.select(F.col(id_column).cast("long").alias("id"), vector.alias("vector"), is_query.alias("asks"))
     size = used.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     c_blocks, q_blocks = max(1, -(-size["n"] // VECTOR_BLOCK)), max(1, -(-size["q"] // QUERY_BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    cands = _packed(used.select("id", "vector", deal(c_blocks).alias("cb")), "cb")
+    deal = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    # Of equal rows, all with one score, no list of k holds more than k; so no id and no row fills a block.
+    copies = used.groupBy("id", "vector").agg(F.count("*").alias("copies"))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    cands = _packed(copies.select("id", "vector", deal(c_blocks, "id", "vector", "copy").alias("cb")), "cb")
     asked = used.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = _packed(asked.withColumn("qb", deal(q_blocks)), "qb")
+    asked = _packed(asked.withColumn("qb", deal(q_blocks, "id")), "qb")
     # The stated query set against all rows: every query block meets every vector block once.
     left = cands.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     right = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
@@ -118,8 +126,7 @@ def top_k(rows: DataFrame, id_column: str, vector_column: str, is_query: Column,
             width = max(c["width"][0].as_py(), q["width"][0].as_py())
             ids, vectors, lists = _unpack(c, width)
             asks, queries, _ = _unpack(q, width)
-            for ask, query, some in zip(asks, queries, aggregate_block(queries, vectors, lists, k + 1)):
-                some = some[ids[some] != ask]
+            for ask, query, some in zip(asks, queries, aggregate_block(queries, vectors, lists, k, asks=asks, ids=ids)):
                 score = vectors[some] @ query
                 best = np.lexsort((ids[some], -score))[:k]
                 for o, v in zip(out, (np.full(len(best), ask), ids[some][best], score[best])):
