@@ -101,6 +101,30 @@ def test_near_duplicates_odd_rows(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_links_of_ids_with_different_texts(spark):
+    """An id on a third of the rows: every class of equal texts takes part, with all links of the id."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"t{rnd.randrange(500)}" for _ in range(60)) for _ in range(12)]
+    near = [t + " end" for t in texts]
+    rest = [None] * 11
+    rows = [(5, t, *rest) for t in texts[:6]] * 2 + [(7 + i, t, *rest) for i, t in enumerate(texts)]
+    rows += [(40 + i, t, *rest) for i, t in enumerate(near)] + [(5, "", *rest), (3, near[11], *rest), (None, texts[0], *rest)]
+    up = {}
+    for i in range(12):
+        up[7 + i] = up[40 + i] = 5 if i < 6 else 3 if i == 11 else 7 + i
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert all(g["component_id"] == {5: 5, 3: 3, None: None, **up}[g["doc_id"]] for g in got)
+
+
+def test_classes_whose_smallest_id_is_the_same(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    for first, second in ((a, b), (b, a)):                 # one of the two has the greater signature
+        rows = [(5, first), (5, second), (7, second), (9, second + " end"), (11, first + " end"), (13, "x y z")]
+        got = ngram_join.near_duplicates(frame(spark, [(*r, *[None] * 11) for r in rows])).collect()
+        assert sorted((g["doc_id"], g["component_id"]) for g in got) == [(5, 5), (5, 5), (7, 5), (9, 5), (11, 5), (13, 13)]
+
+
 def test_components_of_chains_and_stars(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(5, 5), (300, 7), (7, 300)]

@@ -3,7 +3,8 @@
 A document's set is its distinct 5-word shingles. Two documents link when the Jaccard similarity of
 their sets is at least the threshold. The steps, each of which loses no link:
 
-1. Equal sets (by a 128-bit signature) are one class; its smallest doc_id stands for it.
+1. Equal sets (by a 128-bit signature) are one class with a number of its own; the row of its
+   smallest doc_id stands for it.
 2. Sharded count-min sketches (window_counts) estimate shingle counts, never too low. A shingle of
    one document can't be shared, so a document that hasn't enough other shingles has no partner, and
    the global order is (estimated count, hash): rare shingles first.
@@ -17,13 +18,14 @@ their sets is at least the threshold. The steps, each of which loses no link:
    So a group of many near copies costs little more than one pair a copy.
 4. Sets are cut into fragments at fixed places of the hash order. Per candidate pair and fragment the
    overlap is counted separately; the sum per pair decides.
-5. Components of the links.
+5. Components of the links between classes; those that hold the same doc_id are one. A component is
+   named by its smallest doc_id.
 
 Words are runs of bytes other than space and \\x09-\\x0D, with A-Z lower-cased. Cases: a text of fewer
 than five words has its whole sequence as its one shingle; a null or empty text has the empty set
 and links with nothing; a row with a null doc_id gets a null component; rows that repeat a doc_id
-with the same text are one; with different texts, the doc_id's links are those of the row with the
-smallest signature; other columns are ignored; an empty table gives an empty result.
+with the same text are one; with different texts, the doc_id has the links of all its rows, and they
+all get its component; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -340,6 +342,17 @@ def similar_links(sets: DataFrame, percent: int) -> DataFrame:
     return links if links is not None else sets.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
 
 
+def _components_of_ids(members: DataFrame) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id it reaches) from ``members`` (doc_id, root): the
+    components of the classes that hold a doc_id are one."""
+    members = members.distinct().checkpoint()
+    ids = members.groupBy("doc_id").agg(F.min("root").alias("node"), F.max("root").alias("most"))
+    several = ids.where("node != most").select("doc_id", "node")
+    same = components(members.join(several, "doc_id").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    ids = ids.join(same, "node", "left").select("doc_id", F.coalesce("component", "node").alias("top"))
+    return ids.join(ids.groupBy("top").agg(F.min("doc_id").alias("component_id")), "top").select("doc_id", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
@@ -349,13 +362,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     path = scratch_path(spark, "shingles")
     _described(blocks, marks, layout, width, percent).write.parquet(path)
     rows = spark.read.parquet(path)
-    classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    chosen = classes.groupBy("rep").agg(F.min("sig").alias("sig"))       # one row for a repeated doc_id
-    path, counted = scratch_path(spark, "sets"), scratch_path(spark, "counted")
-    (rows.where("shared is not null").join(chosen, (rows["doc_id"] == chosen["rep"]) & (rows["sig"] == chosen["sig"]), "left_semi")
-            .select(F.col("doc_id").alias("doc"), "n", "shared").dropDuplicates(["doc"]).write.parquet(path))
+    path, counted, numbered = (scratch_path(spark, name) for name in ("sets", "counted", "classes"))
+    (rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+         .withColumn("node", F.monotonically_increasing_id()).write.parquet(numbered))    # written once, so the numbers stay
+    classes = spark.read.parquet(numbered)
+    (rows.where("shared is not null").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig"])
+         .select(F.col("node").alias("doc"), "n", "shared").dropDuplicates(["doc"]).write.parquet(path))
     _recounted(spark.read.parquet(path), percent).write.parquet(counted)
-    comp = components(similar_links(spark.read.parquet(counted), percent)).select(F.col("node").alias("rep"), "component")
-    return (rows.select("doc_id", "n", "sig").join(classes, "sig", "left").join(comp, "rep", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
+    comp = components(similar_links(spark.read.parquet(counted), percent))
+    members = (rows.where("sig is not null and doc_id is not null").select("doc_id", "sig").join(classes, "sig").join(comp, "node", "left")
+               .select("doc_id", F.coalesce("component", "node").alias("root")))
+    return (rows.select("doc_id", F.col("n").alias("n_shingles")).join(_components_of_ids(members), "doc_id", "left")
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
