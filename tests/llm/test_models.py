@@ -110,3 +110,33 @@ def test_language_odd_rows(spark):
     unlabelled = [(*r[:2], None, *r[3:]) for r in rows]
     assert {g["lang_pred"] for g in language_crf.identify(frame(spark, unlabelled)).collect()} == {"und"}
     assert language_crf.identify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def long_documents(n=24):
+    """Texts over SAMPLE_BYTES, in two languages, with characters of several bytes."""
+    vocab = {"fr": "été où garçon maison très forêt", "el": "και είναι θάλασσα μέρα νύχτα"}
+    rng = np.random.default_rng(9)
+    return [(i, " ".join(rng.choice(vocab[lang].split(), 6000 + i)), lang, *[None] * 10) for i, lang in enumerate(["fr", "el"] * (n // 2))]
+
+
+def test_long_texts_are_learned_from(spark):
+    rows = long_documents()
+    assert min(len(r[1].encode()) for r in rows) > language_crf.SAMPLE_BYTES
+    docs = frame(spark, rows)
+    got = {g["doc_id"]: g for g in language_crf.identify(docs).collect()}
+    assert all(got[r[0]]["lang_pred"] == r[2] for r in rows)
+    texts, labels = language_crf.language_sample(docs)
+    assert set(labels) == {"fr", "el"} and all(language_crf.SAMPLE_BYTES - 8 < len(t) <= language_crf.SAMPLE_BYTES for t in texts)
+    whole = {r[2]: [x[1].encode() for x in rows if x[2] == r[2]] for r in rows}
+    assert all(any(t in x for x in whole[y]) for t, y in zip(texts, labels))
+    assert any(not x.startswith(t) for t, y in zip(texts, labels) for x in whole[y] if t in x)
+
+
+def test_quality_of_long_texts(spark):
+    rows = long_documents()
+    labels = spark.createDataFrame([(r[0], int(r[2] == "fr")) for r in rows], "doc_id long, quality int")
+    texts, y = byte_cnn.labelled_sample(frame(spark, rows), labels, "quality")
+    assert set(y.tolist()) == {0, 1} and max(map(len, texts)) <= byte_cnn.SAMPLE_BYTES
+    model = byte_cnn.ByteCnn().fit(texts, y, steps=20)
+    scores = {g["doc_id"]: g["score"] for g in byte_cnn.score_documents(frame(spark, rows), model).collect()}
+    assert len(set(scores.values())) > 2

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -163,6 +163,19 @@ def hash_sample(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
     return few.withColumn("i", F.row_number().over(order)).where(F.col("i") <= n)
 
 
+def text_window(text: Column, key: Column, most: int) -> Column:
+    """UTF-8 bytes of a text, of a longer one ``most`` bytes from a place chosen by a hash of its key;
+    the window's first and last character may be cut."""
+    raw = text.cast("binary")
+    spare = F.greatest(F.octet_length(text) - most, F.lit(0))
+    return F.substring(raw, (F.pmod(F.xxhash64(key, F.lit(1)), spare + 1) + 1).cast("int"), F.lit(most))
+
+
+def whole_characters(raw: bytes) -> bytes:
+    """A window of UTF-8 bytes without the characters cut at its ends."""
+    return bytes(raw).decode(errors="ignore").encode()
+
+
 _HELD: dict = {}
 
 
