@@ -138,6 +138,34 @@ def test_leaks_within_the_budget(spark, monkeypatch):
     assert decontaminate.find_items(spark.createDataFrame([], SCHEMA), table).count() == 0
 
 
+def plain_item_words(text):
+    import regex
+    script = r"[\p{Han}\p{Hiragana}\p{Katakana}\u30FC\p{Thai}\p{Lao}\p{Khmer}]"
+    return [w.lower() for w in regex.findall(script + r"|(?:(?!" + script + r")[A-Za-z0-9éßя한😀“])+", text)]
+
+
+def test_words_of_scripts_without_spaces():
+    texts = ["日本語のテキスト、カタカナー。", "", "abcé日x1本。「я한」 ß", "ภาษาไทย ok", "😀a𠀀b", "“A”日", "plain ascii", "x", "本"]
+    for some in (texts, texts[6:7], texts[:1], [texts[4]], ["", "本", "", "語"]):
+        raw = [t.replace("”", " ").encode() for t in some]
+        buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        starts, ends, counts = decontaminate.item_words(buf, offs)
+        got = [bytes(buf[a:b]).decode().lower() for a, b in zip(starts, ends)]
+        want = [plain_item_words(r.decode()) for r in raw]
+        assert got == [w for ws in want for w in ws] and counts.tolist() == [len(w) for w in want]
+
+
+def test_short_items_and_items_without_spaces(spark):
+    items = [(1, "人工智能正在改变我们的生活方式。"), (2, "ภาษาไทยไม่มีช่องว่าง"), (3, "Tiny Item"), (4, "?!"), (5, "東京タワー")]
+    docs = [(1, "前言：人工智能正在改变我们的生活方式，结束"), (2, "前言人工智慧正在改变我们的生活方式结束"), (3, "xภาษาไทยไม่มีช่องว่างy"), (4, "a tiny, item b"),
+            (5, "tiny little item"), (6, "昨日、東京タワーへ行った"), (7, "東京のタワー"), (8, "完全に別の文章です"), (9, "?!"), (10, "人工智能")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = frame(spark, [(*d, *[None] * 11) for d in docs])
+    got = {(f["doc_id"], f["item_id"], f["distance"]) for f in decontaminate.find_items(rows, table).collect()}
+    assert got == {(1, 1, 0), (2, 1, 1), (3, 2, 0), (4, 3, 0), (6, 5, 0)}
+    assert {r["doc_id"] for r in decontaminate.without_items(rows, table).collect()} == {5, 7, 8, 9, 10}
+
+
 def test_top_k_equals_all_scores(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(6).round(1).tolist(), i) for i in range(400)] + [(1000 + i, [0.5, 0.25], 0) for i in range(60)]

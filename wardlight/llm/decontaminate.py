@@ -1,7 +1,8 @@
 """Operator 9: benchmark items in documents, by pigeonhole edit matching.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased, so case, punctuation and
-line breaks don't hide a leak. An item of m words may differ by k = m // 5 words (inserted, deleted
+line breaks don't hide a leak. In scripts without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer)
+every character is a word, and their punctuation stands between words. An item of m words may differ by k = m // 5 words (inserted, deleted
 or replaced; none below ten words). It is split into k + 1 pieces of nearly equal length: wherever it
 occurs with at most k errors, one piece occurs unchanged. Piece hits are found by hashed word windows
 of the few piece lengths; around every hit, the least edit distance of the item to any run of the
@@ -10,7 +11,7 @@ document's words is computed by Myers' bit-parallel automaton.
 Benchmark items are bounded query data: they go to the tasks in parts of at most ITEM_BYTES of text,
 each part one narrow pass over the documents. Nothing of the documents is shuffled or collected.
 
-Cases: a null item text, and items of fewer than MIN_WORDS words, match nothing; a null or empty
+Cases: an item that is null or has no word matches nothing; a short one matches exactly; a null or empty
 document matches nothing; items of equal text are all reported; a document row is reported once per
 item, with its first place of least distance; repeated document rows are all reported; empty tables
 give an empty result; other columns are ignored.
@@ -29,11 +30,45 @@ from pyspark.sql import functions as F
 from wardlight.llm.common import Hasher, release, slices, split_words, text_bytes
 
 ERRORS_PER_WORD = 5        # one error allowed for so many words
-MIN_WORDS = 5
 ITEM_BYTES = 4 << 20
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _SEED = 31
+# Code points of scripts without spaces, and of the punctuation of East Asian text.
+_ALONE = np.array([(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035),
+                   (0x303B, 0x303C), (0x3041, 0x30FA), (0x30FC, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+                   (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)])
+_MARKS = np.array([(0x3000, 0x3004), (0x3008, 0x3020), (0x302A, 0x3030), (0x3036, 0x303A), (0x303D, 0x303F), (0x30FB, 0x30FB),
+                   (0xFE10, 0xFE1F), (0xFE30, 0xFE4F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)])
+
+
+def _within(codes: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(ranges[:, 0], codes, "right") - 1
+    return (at >= 0) & (codes <= ranges[np.maximum(at, 0), 1])
+
+
+def item_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the number of words of each row."""
+    lead = np.flatnonzero(buf >= 0xE0)                     # characters of three and four bytes
+    lead = lead[(buf[lead] != 0xE2) & (buf[lead] <= 0xF3)]
+    if not len(lead):
+        return split_words(buf, offs, _APART)
+    four = buf[lead] >= 0xF0
+    one, two, three, last = (buf[np.minimum(lead + i, len(buf) - 1)].astype(np.int64) for i in range(4))
+    code = np.where(four, (one & 7) << 18 | (two & 63) << 12 | (three & 63) << 6 | last & 63,
+                    (one & 15) << 12 | (two & 63) << 6 | three & 63)
+    size = 3 + four
+    mark, alone = _within(code, _MARKS), _within(code, _ALONE)
+    word = ~_APART[buf]
+    for i in range(4):
+        word[lead[mark & (size > i)] + i] = False
+    cut = np.zeros(len(buf) + 1, bool)                     # places where a word can't go on
+    cut[offs] = cut[lead[alone]] = cut[lead[alone] + size[alone]] = True
+    first, final = word.copy(), word.copy()
+    first[1:] &= ~word[:-1] | cut[1:-1]
+    final[:-1] &= ~word[1:] | cut[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(final) + 1
+    return starts, ends, np.diff(np.searchsorted(starts, offs))
 
 
 def error_budget(words: int) -> int:
@@ -76,10 +111,10 @@ class ItemIndex:
         for item_id, text in items:
             raw = text.encode()
             buf, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
-            starts, ends, _ = split_words(buf, offs, _APART)
+            starts, ends, _ = item_words(buf, offs)
             words = self.hasher.words(buf, starts, ends, True)
             m = len(words)
-            if m < MIN_WORDS:
+            if not m:
                 continue
             masks: dict[int, int] = defaultdict(int)
             for i, w in enumerate(words.tolist()):
@@ -95,7 +130,7 @@ class ItemIndex:
 
     def matches(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, distance, words of the row up to the match's end, words of the item)."""
-        starts, ends, counts = split_words(buf, offs, _APART)
+        starts, ends, counts = item_words(buf, offs)
         words = self.hasher.words(buf, starts, ends, True)
         row_end = np.cumsum(counts)
         spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
