@@ -7,7 +7,7 @@ before it is decoded.
 
 A token file is a table of segments (Parquet, one binary blob per row: a Spark job can write and
 read it in any store). Documents stand in ascending doc_id order, null ids first; rows with one
-doc_id are ordered by text. Cases: a null or empty text is encoded as the end id alone; repeated
+doc_id are ordered by a hash of their text. Cases: a null or empty text is encoded as the end id alone; repeated
 rows are kept as they are; an empty table makes no segment; other columns are ignored.
 """
 
@@ -193,14 +193,15 @@ def open_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write the segments to ``path`` in doc_id order.
 
-    Rows are range-partitioned by doc_id, so the work splits wherever ids differ; a task holds
-    one Arrow batch of texts and one segment of ids.
+    Rows are range-partitioned by doc_id, text hash and place in the input, so one id or one repeated
+    row on a third of the table is split too; a task holds one Arrow batch of texts and one segment
+    of ids.
     """
     schema = "part int, seq int, first long, n_tokens long, blob binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = held(("words", tokenizer_path), lambda: TextEncoder(tokenizer_path)), TaskContext.get().partitionId()
-        seq = first = held = 0
+        seq = first = waiting = 0
         doc_ids: list[int | None] = []
         found: list[bytes] = []
         end = struct.pack("<I", end_id)
@@ -210,7 +211,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             blob = pack_segment(doc_ids, [len(f) // 4 for f in found], ids)
             return pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()),
-                 "first": [first], "n_tokens": [held], "blob": pa.array([blob], pa.binary())})
+                 "first": [first], "n_tokens": [waiting], "blob": pa.array([blob], pa.binary())})
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -219,16 +220,17 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
                     ids = encoder.encode(text)
                     doc_ids.append(d)
                     found.append(ids + end)
-                    held += len(ids) // 4 + 1
-                if held >= SEGMENT_TOKENS:
+                    waiting += len(ids) // 4 + 1
+                if waiting >= SEGMENT_TOKENS:
                     yield segment()
-                    seq, first, held, doc_ids, found = seq + 1, first + held, 0, [], []
+                    seq, first, waiting, doc_ids, found = seq + 1, first + waiting, 0, [], []
         if doc_ids:
             yield segment()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    (rows.repartitionByRange(spread_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"),
+                       F.monotonically_increasing_id().alias("place"))
+    (rows.repartitionByRange(spread_partitions(docs), "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "place")
+     .select("doc_id", "text").mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path))
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
