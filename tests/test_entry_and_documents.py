@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import shutil
+import subprocess
+import sys
 
 import __spark_entry__ as E
 from wardlight.operators.documents import document_bodies, first_source, prescription_document_lines
@@ -17,6 +21,21 @@ def test_entry_and_registry_contract(spark):
     assert all(isinstance(s, str) and s.strip() for s in o.values())
 
 
+def test_entry_without_the_training_data_part(tmpdir_path):
+    """The entry imports, with all other queries, from a copy without llm/ (pipeline file kept or not)."""
+    here = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(f"{here}/wardlight", f"{tmpdir_path}/wardlight", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{here}/__spark_entry__.py", tmpdir_path)
+    say = "import __spark_entry__ as E; from wardlight.plans.registry import QUERIES as Q; print(set(E.queries()) == set(Q))"
+    for extra in ([], ["corpus_pipeline.py"]):
+        for name in extra:
+            if os.path.exists(f"{here}/{name}"):
+                shutil.copy(f"{here}/{name}", tmpdir_path)
+        done = subprocess.run([sys.executable, "-c", say], cwd=tmpdir_path, capture_output=True, text=True, timeout=120,
+                              env={**os.environ, "PYTHONPATH": tmpdir_path})
+        assert done.stdout.strip() == "True", done.stderr
+
+
 def test_every_query_runs_on_smallest_tables(spark):
     for name, fn in E.queries().items():
         df = fn(spark, "/root/testdata/sf0.001")
