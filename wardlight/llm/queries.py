@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fst, byte_cnn, decontaminate, kd_shards, language_crf, ngram_join, substring_dedup, token_files, top_k, url_templates
+from wardlight.llm import (bpe_fst, byte_cnn, conversation_repair, decontaminate, kd_shards, language_crf, lexical_packing, ngram_join,
+                           substring_dedup, token_files, top_k, url_templates)
 from wardlight.llm.common import read_table
 
 QUERIES: dict = {}
@@ -119,3 +120,15 @@ def op8_language_crf(spark, sf_dir):
 @register("op9_decontaminate")
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op11_lexical_packing")
+def op11_lexical_packing(spark, sf_dir):
+    pieces = lexical_packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@register("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_conversations(conversation_repair.damaged(rows), rows)
