@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from wardlight.llm import (bpe_fst, byte_cnn, conversation_repair, decontaminate, kd_shards, language_crf, lexical_packing, ngram_join,
-                           substring_dedup, token_files, top_k, url_templates)
+                           ranked_search, substring_dedup, token_files, top_k, url_templates)
 from wardlight.llm.common import read_table
 
 QUERIES: dict = {}
@@ -132,3 +132,23 @@ def op11_lexical_packing(spark, sf_dir):
 def op12_conversation_repair(spark, sf_dir):
     rows = read_table(spark, sf_dir, "conversations")
     return conversation_repair.repair_conversations(conversation_repair.damaged(rows), rows)
+
+
+_APART = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+@register("op13_ranked_search", f"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), {_APART}) AS ws FROM documents),
+    corpus AS (SELECT CAST(count(*) FILTER (len(ws) > 0) AS BIGINT) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM t),
+    wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), {_APART})) AS term
+               FROM benchmark),
+    found AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM t)
+              WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+    weighed AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, corpus GROUP BY term, n_docs),
+    parts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))) AS part
+              FROM found JOIN weighed USING (term), corpus),
+    scored AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM wanted JOIN parts USING (term) GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 50""")
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
