@@ -3,6 +3,7 @@ bad vectors, replays in scope."""
 
 import datetime as dt
 import os
+import random
 import uuid
 
 import pandas as pd
@@ -13,9 +14,9 @@ from wardlight.functions.numbering import number_within
 from wardlight.functions.text import js_number
 from wardlight.operators.bookings import resolve_bookings
 from wardlight.operators.entity_query import entity_query
-from wardlight.operators.ingest import hashing_embedder, latest_version, run_incremental_ingest
+from wardlight.operators.ingest import hashing_embedder, point_store, run_incremental_ingest
 from wardlight.operators.querylog import normalise_requests, parse_structured
-from wardlight.operators.ratelimit import rate_limit, requests_in_window
+from wardlight.operators.ratelimit import contended_spans, epoch_micros, rate_limit, requests_in_window
 from wardlight.operators.vectors import search_store, vector_search, vector_topk_batch
 from wardlight.plans.intent import Intent
 from wardlight.session import checkpoint_root
@@ -43,7 +44,7 @@ def requests(spark):
 
 
 def test_hot_and_cold_forms_agree_on_null_and_repeated_rows(requests):
-    assert same(rate_limit(requests, 10 * SEC, 2), rate_limit(requests, 10 * SEC, 2, hot_key_rows=None))
+    assert same(rate_limit(requests, 10 * SEC, 2), rate_limit(requests, 10 * SEC, 2, num_partitions=3))
     cold, hot = requests_in_window(requests, 10 * SEC), requests_in_window(requests, 10 * SEC, hot_window_rows=None)
     assert same(cold, hot) and cold.count() == requests.count()
     rows = requests.withColumn("o", F.monotonically_increasing_id())
@@ -71,7 +72,61 @@ def test_late_requests_get_their_row(spark):
     out = f"{checkpoint_root(spark)}/late-{uuid.uuid4().hex}"
     run_to_table(rate_limit_stream(stream_of(spark, batches, schema), 10 * SEC, 1), out + "/d", out + "/c")
     got = {r["event_id"]: r["accepted"] for r in spark.read.parquet(out + "/d").collect()}
-    assert got == {1: True, 2: True, 3: True, 4: True, 5: True}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True}       # 9,999 s lies in the window of 10,000 s
+
+
+def streamed(spark, batches, window, most, **more):
+    schema, out = "event_id long, key string, ts timestamp_ntz", f"{checkpoint_root(spark)}/late-{uuid.uuid4().hex}"
+    run_to_table(rate_limit_stream(stream_of(spark, batches, schema), window * SEC, most, **more), out + "/d", out + "/c")
+    return {r["event_id"]: r["accepted"] for r in spark.read.parquet(out + "/d").collect()}
+
+
+def test_late_requests_never_overfill_a_window(spark):
+    falling = [[(i, "a", at(100 - i))] for i in range(5)]
+    assert streamed(spark, falling, 60, 1) == {0: True, 1: False, 2: False, 3: False, 4: False}
+    assert streamed(spark, [[(0, "a", at(0))], [(1, "a", at(1000))], [(2, "a", at(1))]], 60, 1) == {0: True, 1: True, 2: False}
+    assert streamed(spark, [[(0, "a", at(0))], [(1, "a", at(1000))], [(2, "a", at(500))]], 60, 1, lateness_us=600 * SEC)[2]
+    rnd = random.Random(3)
+    times = [rnd.randrange(120) for _ in range(60)]
+    batches = [[(10 * b + i, "a", at(times[10 * b + i])) for i in range(10)] + ([(100, None, None)] if b == 2 else []) for b in range(6)]
+    for most, late in ((2, 200), (3, 25)):
+        got = streamed(spark, batches, 20, most, lateness_us=late * SEC)
+        kept, newest, want = [], 0, {100: False}
+        for b in batches:
+            for e, _, _ in sorted((r for r in b if r[0] < 100), key=lambda r: (times[r[0]], r[0])):
+                newest, now = max(newest, times[e]), sorted(kept + [times[e]])
+                want[e] = times[e] >= newest - late and all(sum(x - 20 < y <= x for y in now) <= most for x in range(150))
+                kept = now if want[e] else kept
+        assert got == want
+
+
+def test_limiter_without_contention_has_no_python(spark):
+    rows = [(i, f"k{i % 3}", at(7 * i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "event_id long, key string, ts timestamp_ntz")
+    calm, busy = rate_limit(df, 60 * SEC, 100), rate_limit(df, 60 * SEC, 2)
+    assert "MapInPandas" not in calm._jdf.queryExecution().toString() and "MapInPandas" in busy._jdf.queryExecution().toString()
+    assert calm.count() == 90 and calm.where("not accepted").count() == 0
+    for most in (1, 2, 3, 4):
+        kept, want = {}, {}
+        for e, k, t in rows:
+            inside = [x for x in kept.get(k, []) if x > t - dt.timedelta(seconds=60)]
+            want[e] = len(inside) < most
+            kept[k] = inside + [t] * want[e]
+        assert {r["event_id"]: r["accepted"] for r in rate_limit(df, 60 * SEC, most).collect()} == want
+
+
+def test_limiter_cuts_a_key_that_is_never_idle(spark):
+    """One key, a request every second and three bursts: only the bursts are decided in order."""
+    rows = [(i, 1, at(i)) for i in range(900)] + [(1000 + 100 * b + i, 1, at(200 + 250 * b + i / 50)) for b in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, key long, ts timestamp_ntz").withColumn("_us", epoch_micros("ts"))
+    spans = contended_spans(df, 20 * SEC, 30)
+    assert spans.select("_seg").distinct().count() == 3 and spans.count() < 900 / 2.5 / 2
+    kept, want = [], {}
+    for e, _, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        kept = [x for x in kept if x > t - dt.timedelta(seconds=20)]
+        want[e] = len(kept) < 30
+        kept += [t] * want[e]
+    assert {r["event_id"]: r["accepted"] for r in rate_limit(df.drop("_us"), 20 * SEC, 30).collect()} == want
 
 
 def test_a_stream_that_is_not_done_is_an_error(spark):
@@ -153,8 +208,8 @@ def test_replay_stays_within_the_run(spark):
     assert run(refuser())["failed"] == 2
     out = run(hashing_embedder(8), tenant="A")
     assert (out["processed"], out["failed"]) == (1, 0)
-    assert {r["record_id"] for r in spark.read.parquet(out["store"]).collect()} == {"1", "3"}
-    held = spark.read.parquet(latest_version(spark, root + "/store/quarantine")).collect()
+    assert {r["record_id"] for r in point_store(spark, out["store"]).read().collect()} == {"1", "3"}
+    held = point_store(spark, root + "/store").quarantine()[1].collect()
     assert [r["record_id"] for r in held] == ["2"]
     assert run(hashing_embedder(8), tables=["other"])["processed"] == 0
     assert run(hashing_embedder(8))["processed"] == 1
@@ -168,10 +223,10 @@ def test_batch_then_stream_loses_nothing(spark):
     for n, batches in enumerate(([[(9, "A", "new", at(5))]], [[(10, "A", "bad", at(6))], [(11, "A", "later", at(7))]])):
         src = stream_of(spark, batches, APPT_SCHEMA)
         drain(ingest_stream(src, APPTS, root + "/store", f"{root}/ck{n}", embedders=[refuser()]))
-    store = spark.read.parquet(latest_version(spark, root + "/store"))
+    store = point_store(spark, root + "/store").read()
     assert {r["record_id"] for r in store.collect()} == {"0", "1", "2", "9", "11"}
     assert run_incremental_ingest(spark, {"a": (rows, APPTS)}, root + "/store", root + "/state", hashing_embedder(8))["processed"] == 1
-    assert spark.read.parquet(latest_version(spark, root + "/store")).count() == 6
+    assert point_store(spark, root + "/store").read().count() == 6
 
 
 def test_search_of_what_was_ingested(spark):

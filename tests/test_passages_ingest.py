@@ -8,7 +8,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from wardlight.operators.ingest import changed_rows, hashing_embedder, high_water, run_incremental_ingest, \
+from wardlight.operators.ingest import changed_rows, hashing_embedder, high_water, point_store, run_incremental_ingest, \
     upsert
 from wardlight.operators.passages import build_passages
 from wardlight.session import scratch_path
@@ -116,7 +116,7 @@ def test_ingest_job_end_to_end_with_quarantine(spark):
     out = run_incremental_ingest(spark, {"a": (v1, m)}, root + "/store", root + "/state", [flaky])
     assert out["processed"] == 5 and out["failed"] == 1
     assert calls.value <= 6 + 6      # one batch call + one per-row retry pass: the embedder ran once
-    store = spark.read.parquet(out["store"])
+    store = point_store(spark, out["store"]).read()
     assert store.count() == 5 and store.where(F.size("embedding") != 16).count() == 0
     # second run: nothing new; the quarantined row is replayed and fails again (kept in quarantine)
     out2 = run_incremental_ingest(spark, {"a": (v1, m)}, root + "/store", root + "/state", [flaky])
@@ -124,17 +124,16 @@ def test_ingest_job_end_to_end_with_quarantine(spark):
     # third run: the replayed failure now succeeds through the fallback embedder
     out3 = run_incremental_ingest(spark, {"a": (v1, m)}, root + "/store", root + "/state", [flaky, good])
     assert out3["processed"] == 1 and out3["failed"] == 0
-    assert spark.read.parquet(out3["store"]).count() == 6
+    assert point_store(spark, out3["store"]).read().count() == 6
     # a newer version of a row replaces the stored one
     v2 = v1.union(spark.createDataFrame([(3, "t1", "fixed", T0 + dt.timedelta(days=3))], v1.schema))
     out4 = run_incremental_ingest(spark, {"a": (v2, m)}, root + "/store", root + "/state", [good])
     assert out4["processed"] == 1
-    st = spark.read.parquet(out4["store"])
+    st = point_store(spark, out4["store"]).read()
     assert st.count() == 6 and st.where("record_id = '3'").first()["text"].endswith("fixed")
 
 
 def test_ingest_stream_with_embedder_equals_batch_passages(spark):
-    from wardlight.operators.ingest import latest_version
     from wardlight.sources.tables import DRIVER_MAPPINGS, Catalog
     from wardlight.streaming.jobs import ingest_stream, table_stream
     sf = "/root/testdata/sf0.001"
@@ -145,7 +144,7 @@ def test_ingest_stream_with_embedder_equals_batch_passages(spark):
                       root + "/ck", embedders=[hashing_embedder(8)])
     q.awaitTermination(300)
     assert q.exception() is None
-    store = spark.read.parquet(latest_version(spark, root + "/store"))
+    store = point_store(spark, root + "/store").read()
     batch = build_passages(cat.appointments(), DRIVER_MAPPINGS["appointments"])
     assert store.count() == batch.count()
     assert store.where(F.size("embedding") != 8).count() == 0
@@ -157,13 +156,15 @@ def test_ingest_recovers_from_a_crashed_uncommitted_version(spark):
     m = EntityMapping("a", "appts", {"id": "id", "tenant": "tenant_id", "status": "status"})
     v1 = spark.createDataFrame([(i, "t", "ok", T0 + dt.timedelta(hours=i)) for i in range(4)],
                                "id long, tenant_id string, status string, updated_at timestamp_ntz")
-    # a crashed earlier attempt left version=0 without its _SUCCESS marker
-    spark.createDataFrame([(1,)], "x int").write.parquet(root + "/store/version=0")
+    # a crashed earlier attempt left a run and a manifest that was never published
+    spark.createDataFrame([(1, 0)], "x int, bucket int").write.partitionBy("bucket").parquet(root + "/store/data/0123")
     import os
-    os.remove(root.replace("file:", "") + "/store/version=0/_SUCCESS")
+    os.makedirs(root.replace("file:", "") + "/store/commits")
+    with open(root.replace("file:", "") + "/store/commits/_0123", "w") as f:
+        f.write('{"version": 0, "entr')
     out = run_incremental_ingest(spark, {"a": (v1, m)}, root + "/store", root + "/state", [hashing_embedder(4)])
-    assert out["processed"] == 4 and out["store"].endswith("version=0")
-    assert spark.read.parquet(out["store"]).count() == 4
+    assert out["processed"] == 4 and out["version"] == 0
+    assert point_store(spark, out["store"]).read().count() == 4
 
 
 def test_upsert_matches_a_python_model_on_random_batches(spark):
@@ -177,13 +178,11 @@ def test_upsert_matches_a_python_model_on_random_batches(spark):
 
     store = [row(i, rnd.randrange(0, 5), f"s{i}") for i in range(0, 60, 2)]
     incoming = [row(rnd.randrange(0, 80), rnd.randrange(0, 9), f"n{k}") for k in range(120)]
-    model = {r[0]: r for r in store}
-    newest = {}
-    for r in incoming:                      # newest wins inside the batch (ties: greatest text)
-        cur = newest.get(r[0])
+    model = {}
+    for r in store + incoming:              # the newest version wins, stored or incoming (ties: greatest text)
+        cur = model.get(r[0])
         if cur is None or (r[7], r[6]) > (cur[7], cur[6]):
-            newest[r[0]] = r
-    model.update(newest)                    # incoming replaces stored, whatever its age
+            model[r[0]] = r
     s_df = spark.createDataFrame(store, cols)
     i_df = spark.createDataFrame(incoming, cols)
     once = upsert(s_df, i_df)

@@ -132,10 +132,10 @@ def test_rate_limit_edges_and_brute_force(spark):
     want = _limiter([(r[0], r[1], r[2]) for r in pdf], 86_400_000_000, 3)
     got = {r["event_id"]: r["accepted"] for r in rate_limit(req, 86_400_000_000, 3, num_partitions=3).collect()}
     assert got == want
-    # forced idle-split segmentation (the hot-key path) gives the same decisions, for several windows
+    # the same decisions for several windows, contended in different places
     for w_us in (3_600_000_000, 86_400_000_000, 7 * 86_400_000_000):
         ref = _limiter([(r[0], r[1], r[2]) for r in pdf], w_us, 2)
-        seg = {r["event_id"]: r["accepted"] for r in rate_limit(req, w_us, 2, hot_key_rows=None).collect()}
+        seg = {r["event_id"]: r["accepted"] for r in rate_limit(req, w_us, 2).collect()}
         assert seg == ref, w_us
     # property: at most max accepted stamps in any window
     acc = sorted((r[1], r[2]) for r in pdf if want[r[0]])
@@ -225,18 +225,18 @@ def _carry_state_check(spark):
 
 
 def test_idle_split_spreads_a_bursty_hot_key(spark):
-    from wardlight.operators.ratelimit import idle_split_segments
+    from wardlight.operators.ratelimit import contended_spans
     base = dt.datetime(2024, 1, 1)
     # one key, five bursts of 200 requests, bursts 10 minutes apart, window 1 minute
     rows = [(b * 1000 + i, 1, base + dt.timedelta(minutes=10 * b, milliseconds=50 * i))
             for b in range(5) for i in range(200)]
     df = spark.createDataFrame(rows, "event_id long, key long, ts timestamp_ntz") \
         .withColumn("_us", epoch_micros("ts"))
-    segs = idle_split_segments(df, 60_000_000).select("_seg").distinct().count()
+    segs = contended_spans(df, 60_000_000, 7).select("_key", "_seg").distinct().count()
     assert segs == 5
     W = 60_000_000
     ref = _limiter([(r[0], r[1], r[2]) for r in df.select("event_id", "key", "_us").collect()], W, 7)
-    got = {r["event_id"]: r["accepted"] for r in rate_limit(df.drop("_us"), W, 7, hot_key_rows=None).collect()}
+    got = {r["event_id"]: r["accepted"] for r in rate_limit(df.drop("_us"), W, 7).collect()}
     assert got == ref
 
 

@@ -7,10 +7,11 @@ Shapes at scale:
   AQE broadcasts it when small), so every tenant has its own mark and ``--tenant`` never advances
   another tenant's.
 * I2 embedding: distinct texts only (keyed by md5 of the text), batched through ``mapInPandas``
-  with a user-supplied callable; failures go to a quarantine frame instead of failing the job.
-* S9 upsert: incoming rows deduplicated newest-wins by one partial aggregate per id, then
-  ``store ⟕anti incoming ∪ incoming`` written as a *new version* folder; readers take the newest
-  complete version, so a lost executor or a retried job never exposes a half-written store.
+  with a user-supplied callable; failures go to a quarantine frame instead of failing the job. With a
+  vector cache (a store keyed by the same md5), only texts that no run has embedded yet are sent.
+* S9 upsert: newest wins by ``updated_at``, in whatever order versions arrive. The point store
+  (``point_store``) keeps hash-bucketed deltas, so a batch writes its own rows only, and publishes
+  rows, quarantine and stream epoch in one step.
 * A3/S8 high-water: ``max(updated_at)`` of successfully embedded rows, merged with the old mark by
   ``greatest``; written only after the data version is committed.
 """
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 
 from wardlight.functions.dates import ts_literal
 from wardlight.operators.passages import PASSAGE_SCHEMA, build_passages
+from wardlight.operators.point_store import BUCKETS, MAX_DELTAS, PointStore, SmallTable
+from wardlight.session import checkpoint_root
 from wardlight.sources.mapping import EntityMapping
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -86,10 +89,13 @@ def newest_per_id(df: DataFrame, id_col: str = "id", ts_col: str = "updated_at")
 
 
 def upsert(store: DataFrame, incoming: DataFrame, id_col: str = "id") -> DataFrame:
-    """Incoming points replace stored ones with the same id (like a vector-store upsert)."""
-    inc = newest_per_id(incoming, id_col)
-    kept = store.join(inc.select(id_col), id_col, "left_anti")
-    return kept.unionByName(inc)
+    """The newest version of every point, stored or incoming: an older one never replaces a newer one."""
+    return newest_per_id(store.unionByName(incoming), id_col)
+
+
+def point_store(spark: SparkSession, root: str, buckets: int = BUCKETS, max_deltas: int = MAX_DELTAS) -> PointStore:
+    """The store of ingested points under ``root``."""
+    return PointStore(spark, root, newest_per_id, buckets=buckets, max_deltas=max_deltas)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -165,13 +171,35 @@ def _embed_batches(embedders: list[Embedder]) -> Callable[[Iterator[pd.DataFrame
     return run
 
 
-def embed_all(passages: DataFrame, embedders: Embedder | list[Embedder]) -> DataFrame:
+def vector_cache(spark: SparkSession, root: str) -> PointStore:
+    """Vectors by md5 of their text. One root per embedding model: a key says nothing of the model."""
+    return PointStore(spark, root, id_col="text_key", newest=lambda rows: rows.groupBy("text_key").agg(
+        F.min_by("embedding", F.xxhash64("embedding")).alias("embedding")))
+
+
+def embed_all(passages: DataFrame, embedders: Embedder | list[Embedder], *, cache: PointStore | None = None,
+              parallelism: int | None = None) -> DataFrame:
     """Passages + ``embedding`` + ``error`` (null when embedded). Each distinct text is sent to
-    the embedder once; repeated texts share the vector through a join on md5(text)."""
+    the embedder once; repeated texts share the vector through a join on md5(text).
+
+    With a ``cache`` only texts that it lacks are sent, and their vectors are added to it before this
+    returns. ``parallelism`` is the number of tasks, so of callers of the embedding service at once."""
     embs = embedders if isinstance(embedders, list) else [embedders]
     keyed = passages.withColumn("text_key", F.md5(F.col("text")))
     distinct = keyed.select("text_key", "text").dropDuplicates(["text_key"])
-    vectors = distinct.mapInPandas(_embed_batches(embs), EMBED_SCHEMA)
+
+    def embedded(texts: DataFrame) -> DataFrame:
+        return (texts.repartition(parallelism, "text_key") if parallelism else texts).mapInPandas(_embed_batches(embs), EMBED_SCHEMA)
+
+    if cache is None:
+        vectors = embedded(distinct)
+    else:
+        checkpoint_root(passages.sparkSession)
+        known = cache.read() if cache.exists() else None
+        fresh = embedded(distinct if known is None else distinct.join(known.select("text_key"), "text_key", "left_anti")).checkpoint()
+        cache.merge(fresh.where("embedding is not null").select("text_key", "embedding"))
+        vectors = fresh if known is None else fresh.unionByName(
+            known.join(distinct.select("text_key"), "text_key", "left_semi").withColumn("error", F.lit(None).cast("string")))
     return keyed.join(vectors, "text_key", "inner").drop("text_key") \
         .withColumn("error", F.when(F.col("embedding").isNull(), F.coalesce(F.col("error"), F.lit("no vector")))
                     .otherwise(F.col("error")))
@@ -198,53 +226,34 @@ def embed_passages(passages: DataFrame, embedders: Embedder | list[Embedder]
 # The batch job
 # ---------------------------------------------------------------------------------------------
 
-def latest_version(spark: SparkSession, root: str) -> str | None:
-    """Newest committed ``version=N`` folder under ``root`` (a ``_SUCCESS`` marker must exist)."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    best = None
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            n = int(name.split("=", 1)[1])
-            best = n if best is None or n > best else best
-    return None if best is None else f"{root.rstrip('/')}/version={best}"
-
-
-def next_version(current: str | None, root: str) -> str:
-    n = 0 if current is None else int(current.rsplit("=", 1)[1]) + 1
-    return f"{root.rstrip('/')}/version={n}"
-
-
 def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFrame, EntityMapping]],
                            store_root: str, state_root: str, embedders: Embedder | list[Embedder],
                            *, tenant: str | None = None, tables: list[str] | None = None,
-                           resync: bool = False, overlap: dt.timedelta | None = None) -> dict:
-    """Batch ingest over all (or the chosen) mapped tables; returns counters.
-
-    Data version is written first, state second: a crash between them replays the batch next
-    run, which the stable ids make harmless. Rows quarantined by the previous run are replayed
-    (their newer versions, if any, win), so a failure is never skipped by a later high-water mark.
+                           resync: bool = False, overlap: dt.timedelta | None = None, buckets: int = BUCKETS,
+                           max_deltas: int = MAX_DELTAS, cache_root: str | None = None,
+                           embed_parallelism: int | None = None) -> dict:
+    """Batch ingest over all (or the chosen) mapped tables into the point store under ``store_root``;
+    returns counters and the store's version.
+
+    Data version is written first, state second: a crash between them replays the batch next run,
+    which changes nothing, as the newest version of a point wins whenever it arrives. Rows quarantined
+    by earlier runs, of batches or streams, are tried again in this run's scope, so a failure is never
+    skipped by a later high-water mark; a replayed version that is older than the stored one loses.
     """
-    from wardlight.session import checkpoint_root
     checkpoint_root(spark)
-    state_path = latest_version(spark, state_root)
-    state = spark.read.parquet(state_path) if state_path else None
+    marks = SmallTable(spark, state_root)
+    state = marks.read()
+    store = point_store(spark, store_root, buckets, max_deltas)
     batches = []
     for entity, (df, mapping) in sources.items():
         if tables and entity not in tables and mapping.table not in tables:
             continue
         ch = changed_rows(df, mapping.table, state, tenant=tenant, resync=resync, overlap=overlap)
         batches.append(build_passages(ch, mapping, tenant))
-    q_root = f"{store_root.rstrip('/')}/quarantine"
-    q_prev = latest_version(spark, q_root)
+    retried, failed = store.quarantine()
     held = None
-    if q_prev:
+    if failed is not None:
         # retried within this run's scope; the rest is carried forward as it is
-        failed = spark.read.parquet(q_prev)
         mine = F.lit(True) if tenant is None else F.col("tenant_id").eqNullSafe(F.lit(str(tenant)))
         if tables:
             names = [m.table for e, (_, m) in sources.items() if e in tables or m.table in tables]
@@ -259,7 +268,8 @@ def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFra
     incoming = newest_per_id(incoming)
     # A4: counters observed on the one pass that embeds (no second pass to count)
     obs = Observation("ingest")
-    embedded = embed_all(incoming, embedders).observe(
+    embedded = embed_all(incoming, embedders, cache=vector_cache(spark, cache_root) if cache_root else None,
+                         parallelism=embed_parallelism).observe(
         obs, F.count(F.lit(1)).alias("rows"),
         F.sum(F.when(F.col("error").isNull(), 1).otherwise(0)).alias("processed"))
     # cut lineage once: the embedded batch feeds the store, the quarantine and the state, and
@@ -267,20 +277,9 @@ def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFra
     embedded = embedded.checkpoint(eager=True)
     counters = obs.get
     points, quarantine = split_embedded(embedded)
-    store_path = latest_version(spark, store_root)
-    new_store_path = next_version(store_path, store_root)
-    if store_path:
-        store = spark.read.parquet(store_path)
-        merged = upsert(store, points)
-    else:
-        merged = newest_per_id(points)
-    # the target version has no _SUCCESS yet: any folder there is a crashed attempt, so overwrite
-    merged.write.mode("overwrite").parquet(new_store_path)
     if held is not None:
         quarantine = quarantine.unionByName(held)
-    q_path = f"{q_root}/{new_store_path.rsplit('/', 1)[1]}"
-    quarantine.write.mode("overwrite").parquet(q_path)
-    new_state = high_water(points, state)
-    new_state.write.mode("overwrite").parquet(next_version(state_path, state_root))
+    version = store.merge(points, failed=quarantine, retried=retried)
+    marks.update(lambda old: high_water(points, old))
     rows, processed = int(counters.get("rows") or 0), int(counters.get("processed") or 0)
-    return {"processed": processed, "failed": rows - processed, "store": new_store_path}
+    return {"processed": processed, "failed": rows - processed, "store": store_root, "version": version}

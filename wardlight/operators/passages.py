@@ -83,5 +83,7 @@ def build_passages(df: DataFrame, mapping: EntityMapping, tenant_arg: str | None
         c["tenant_id"].alias("tenant_id"), c["record_id"].alias("record_id"),
         c["patient_id"].alias("patient_id"), c["title"].alias("title"), c["text"].alias("text"),
         c["updated_at"].alias("updated_at"))
-    out = out.withColumn("id", stable_id(mapping.table, F.col("tenant_id"), F.col("record_id")))
+    # a row without an id is known by its text, so such rows don't replace each other
+    key = F.coalesce("record_id", F.concat(F.lit("null:"), F.md5("text")))
+    out = out.withColumn("id", stable_id(mapping.table, F.col("tenant_id"), key))
     return out.select([f.name for f in PASSAGE_SCHEMA.fields])

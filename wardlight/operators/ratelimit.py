@@ -5,11 +5,15 @@ from becoming one giant window partition, rows are bucketed by time (bucket widt
 each row is also copied into the next bucket as a *halo*: every window then lies inside one
 (key, bucket) partition, the count is exact, and only the row's own copy is emitted.
 
-L1 is path-dependent (rejected requests are not recorded), so it is inherently sequential per key.
-It runs as a secondary sort — hash-partition by key, sort by (key, ts) — and ``mapInPandas``
-streams each partition in order with a per-key ring of at most ``max_requests`` accepted stamps:
-memory is bounded by ``max_requests``, never by the size of a key's history. Accept iff fewer than
-``max_requests`` accepted stamps lie in ``(ts - window, ts]``.
+L1 is path-dependent (rejected requests are not recorded), but only where a key is busy: while the
+requests of a window, accepted or not, are no more than ``max_requests``, each is accepted whatever
+came before. So requests are first counted per key and eighth of a window, a small table; spans where
+nine eighths hold more than the limit are *contended*. All other requests are accepted by a plain join
+on the JVM. A contended span, with the window before it, is decided in order: hash-partition by key and
+span, sort by time, and ``mapInPandas`` streams each partition with a ring of at most ``max_requests``
+accepted stamps, so memory is bounded by ``max_requests``. Spans of one key are independent, as the
+window before a span holds sure acceptances only. Accept iff fewer than ``max_requests`` accepted
+stamps lie in ``(ts - window, ts]``.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardlight.session import checkpoint_root
+
 # Default limiter window (60 s) and request budget per window.
 DEFAULT_WINDOW_US = 60_000 * 1000  # 60 s
 DEFAULT_MAX = 100
@@ -88,7 +94,6 @@ def _window_counts_prefix(base: DataFrame, window_us: int) -> DataFrame:
     partial aggregate on the request id.
     """
     from wardlight.functions.numbering import running_sum_within
-    from wardlight.session import checkpoint_root
     checkpoint_root(base.sparkSession)
     # rows are told apart by a number of their own: request ids may repeat or be null
     base = base.withColumn("_rid", F.monotonically_increasing_id()).checkpoint()
@@ -132,52 +137,52 @@ def _limiter(window_us: int, max_requests: int):
     return run
 
 
-HOT_KEY_ROWS = 2_000_000
+PIECES = 8    # a window is counted in so many parts
 
 
-def idle_split_segments(df: DataFrame, window_us: int) -> DataFrame:
-    """Adds ``_seg``: independent segments of each key's stream.
+def contended_spans(df: DataFrame, window_us: int, max_requests: int) -> DataFrame:
+    """``(_key, _piece, _seg)``: the parts of time in which a key's requests (``key``, ``_us``) must be
+    decided in order, and the span each belongs to.
 
-    A key with no request during a whole window-sized bucket has let every accepted stamp expire,
-    so the limiter state is empty after it: the stream can be cut there without changing any
-    decision. Segments are runs of consecutive non-empty buckets, found on the small distinct
-    (key, bucket) table (a partial aggregate); a hot key is thereby spread over its segments.
+    A part is contended when it and the PIECES before it, which cover every window that ends in it, hold
+    more than ``max_requests``; so are the PIECES parts before it, whose requests fill its windows. A span
+    ends where the next part lies more than PIECES later, or is not contended.
     """
-    b = F.floor(F.col("_us") / F.lit(window_us)).cast("bigint")
-    ev = df.withColumn("_b", b)
-    kb = ev.select("key", "_b").distinct()
-    follows = kb.select(F.col("key").alias("_fk"), (F.col("_b") + 1).alias("_fb"))
-    starts = kb.join(follows, F.col("key").eqNullSafe(F.col("_fk")) & (F.col("_b") == F.col("_fb")), "left_anti") \
-        .select(F.col("key").alias("_tk"), F.col("_b").alias("_start"))
-    w = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seg = (kb.join(starts, F.col("key").eqNullSafe(F.col("_tk")) & (F.col("_b") == F.col("_start")), "left")
-           .withColumn("_seg", F.max("_start").over(w)).select("key", "_b", "_seg"))
-    seg = seg.select(F.col("key").alias("_sk"), F.col("_b").alias("_sb"), "_seg")
-    same = F.col("key").eqNullSafe(F.col("_sk")) & F.col("_b").eqNullSafe(F.col("_sb"))
-    return ev.join(seg, same, "inner").drop("_b", "_sk", "_sb")
+    piece = F.floor(F.col("_us") / F.lit(_piece_us(window_us))).cast("bigint")
+    counts = df.groupBy(F.col("key").alias("_key"), piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("_key").orderBy("_piece")
+    busy = counts.withColumn("_busy", F.sum("_n").over(order.rangeBetween(-PIECES, 0)) > max_requests)
+    near = busy.withColumn("_near", F.coalesce(F.max("_busy").over(order.rangeBetween(0, PIECES)), F.lit(False)))
+    before = near.withColumns({"_last": F.lag("_piece").over(order), "_last_near": F.lag("_near").over(order)})
+    starts = F.col("_last").isNull() | ~F.col("_last_near") | (F.col("_piece") - F.col("_last") > PIECES)
+    spans = before.withColumn("_seg", F.max(F.when(starts, F.col("_piece"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.where("_near").select("_key", "_piece", "_seg")
+
+
+def _piece_us(window_us: int) -> int:
+    return -(-window_us // PIECES)
 
 
 def rate_limit(events: DataFrame, window_us: int = DEFAULT_WINDOW_US, max_requests: int = DEFAULT_MAX,
-               key: str = "key", ts: str = "ts", id_col: str = "event_id",
-               num_partitions: int | None = None, hot_key_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
+               key: str = "key", ts: str = "ts", id_col: str = "event_id", num_partitions: int | None = None) -> DataFrame:
     """L1 in batch: ``(event_id, key, ts, accepted)`` for every request (ties ordered by id).
 
-    Skew-adaptive: when the busiest key exceeds ``hot_key_rows`` (one partial aggregate decides;
-    ``None`` forces it), keys are first cut into independent idle-split segments so one hot key is
-    processed by many tasks; a key with no idle window left stays one sequential segment.
+    The contended spans are written once; without any, the plan has no sequential part at all.
     """
+    checkpoint_root(events.sparkSession)
     df = events.select(F.col(id_col).alias("event_id"), F.col(key).alias("key"),
                        F.col(ts).cast("timestamp_ntz").alias("ts"), _micros(ts).alias("_us"))
-    split = hot_key_rows is None
-    if not split:
-        biggest = df.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
-        split = biggest > hot_key_rows
-    df = idle_split_segments(df, window_us) if split else df.withColumn("_seg", F.lit(0).cast("bigint"))
+    spans = contended_spans(df.where("_us is not null"), window_us, max_requests).checkpoint()
+    if spans.isEmpty():
+        # a request without a time has no window: it is rejected, and recorded nowhere
+        return df.select("event_id", "key", "ts", F.col("_us").isNotNull().alias("accepted"))
+    df = df.withColumn("_piece", F.floor(F.col("_us") / F.lit(_piece_us(window_us))).cast("bigint"))
+    same = F.col("key").eqNullSafe(F.col("_key")) & (df["_piece"] == spans["_piece"])
+    sure = df.join(spans, same, "left_anti").select("event_id", "key", "ts", F.col("_us").isNotNull().alias("accepted"))
     parts = [num_partitions] if num_partitions else []
-    # a request without a time has no window: it is rejected, and recorded nowhere
-    untimed = df.where("_us is null").select("event_id", "key", "ts", F.lit(False).alias("accepted"))
-    df = df.where("_us is not null").repartition(*parts, "key", "_seg").sortWithinPartitions("key", "_seg", "_us", "event_id")
-    df = df.withColumn("_k", F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("")))
+    rest = (df.join(spans, same).select("event_id", "key", "ts", "_us", "_seg")
+            .repartition(*parts, "key", "_seg").sortWithinPartitions("key", "_seg", "_us", "event_id"))
+    rest = rest.withColumn("_k", F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("")))
     out = T.StructType([df.schema["event_id"], df.schema["key"], T.StructField("ts", T.TimestampNTZType()),
                         T.StructField("accepted", T.BooleanType())])
-    return df.mapInPandas(_limiter(window_us, max_requests), out).unionByName(untimed)
+    return sure.unionByName(rest.mapInPandas(_limiter(window_us, max_requests), out))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlight.operators.ingest import Embedder, latest_version
+from wardlight.operators.ingest import Embedder, point_store
 
 DISTANCE = "Cosine"
 SCORE_DIGITS = 6
@@ -94,11 +94,8 @@ def search_store(spark: SparkSession, store_root: str, question: str, embedder:
     """The k stored points closest to a question text: the question is embedded as the passages were,
     and held against the newest version of the store that the ingest wrote. Hits carry the whole
     payload (id, tenant, table, record, title, text, time) and the score; no store gives an error."""
-    path = latest_version(spark, store_root)
-    if path is None:
-        raise ValueError(f"nothing was ingested under {store_root}")
     vector = list(embedder(pd.Series([question])))[0]
-    return vector_search(spark.read.parquet(path), vector, tenant, k)
+    return vector_search(point_store(spark, store_root).read(), vector, tenant, k)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.operators.ingest import changed_rows, hashing_embedder, high_water, latest_version, \
+from wardlight.operators.ingest import changed_rows, hashing_embedder, high_water, point_store, \
     run_incremental_ingest, upsert
 from wardlight.operators.passages import build_passages
 from wardlight.operators.vectors import search_store
@@ -137,6 +137,22 @@ def q_upsert_newest(spark, sf_dir):
     return upsert(store, incoming)
 
 
+NEWEST_OF_ALL_SQL = _STORE_SQL + """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, text DESC) AS rn
+          FROM (SELECT * FROM store UNION ALL SELECT * FROM incoming)) WHERE rn = 1"""
+
+
+@register("store_out_of_order", NEWEST_OF_ALL_SQL)
+def q_store_out_of_order(spark, sf_dir):
+    """Versions reach the point store newest first: the changed rows, then the rows they were made of,
+    in two merges, with a compaction in between."""
+    cat, m = Catalog(spark, sf_dir), DRIVER_MAPPINGS["appointments"]
+    store = point_store(spark, scratch_path(spark, "store-late"), max_deltas=2)
+    first = cat.appointments()
+    for rows in (_changed_batch(cat), first.where("id % 2 = 0"), first.where("id % 2 <> 0")):
+        store.merge(build_passages(rows, m))
+    return store.read()
+
+
 @register("high_water", _STORE_SQL +
           """, old AS (SELECT tenant_id, table_name, max(updated_at) AS hw FROM store GROUP BY ALL),
               new AS (SELECT tenant_id, table_name, max(updated_at) AS hw FROM newest GROUP BY ALL)
@@ -212,7 +228,7 @@ store AS (""" + passages_sql("appointments", "appointments", DRIVER_MAPPINGS["ap
           "(PARTITION BY id ORDER BY updated_at DESC, text DESC) AS rn FROM incoming) WHERE rn = 1)\n"
           "SELECT * FROM store WHERE id NOT IN (SELECT id FROM newest) UNION ALL SELECT * FROM newest")
 def q_ingest_job(spark, sf_dir):
-    return spark.read.parquet(latest_version(spark, _ingested(spark, sf_dir) + "/store")).drop("embedding")
+    return point_store(spark, _ingested(spark, sf_dir) + "/store").read().drop("embedding")
 
 
 @register("ingest_then_search")

@@ -3,12 +3,14 @@ the driver table file and reads its sink back; the oracle is the batch SQL of th
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wardlight.operators.ingest import latest_version
+from wardlight.operators.ingest import point_store
 from wardlight.plans import queries_log
-from wardlight.plans.queries_ingest import passages_sql
+from wardlight.plans.queries_ingest import NEWEST_OF_ALL_SQL, _changed_batch, passages_sql
 from wardlight.plans.oracle_views import with_views
 from wardlight.plans.registry import ORACLE, register
 from wardlight.session import scratch_path
@@ -17,6 +19,11 @@ from wardlight.streaming.jobs import drain, ingest_stream, rate_limit_stream, ru
     session_history_stream, table_stream
 
 
+def _by_file(spark, schema, folder):
+    """A stream over the files below ``folder``, one a micro-batch, oldest first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
 @register("rate_limit_stream", ORACLE["rate_limit"])
 def q_rate_limit_stream(spark, sf_dir):
     cat = Catalog(spark, sf_dir)
@@ -27,6 +34,34 @@ def q_rate_limit_stream(spark, sf_dir):
     return spark.read.parquet(out + "/data")
 
 
+_LATE_DAYS, _LATE_MAX = 2, 2
+_PART = ("CASE WHEN event_id % 5 = 0 THEN 2 WHEN {day} % 2 = 1 THEN 0 ELSE 1 END")
+
+
+@register("rate_limit_stream_late", f"""WITH RECURSIVE o AS (
+    SELECT event_id, user_id AS key, ts, epoch_us(ts) AS us,
+           row_number() OVER (PARTITION BY user_id ORDER BY {_PART.format(day='day(ts)')}, epoch_us(ts), event_id) AS rn FROM events),
+  r AS (SELECT event_id, key, ts, rn, true AS accepted, [us] AS kept, us AS newest FROM o WHERE rn = 1
+        UNION ALL
+        SELECT event_id, key, ts, rn, fits, CASE WHEN fits THEN with_it ELSE kept END, newest FROM (
+          SELECT *, us >= newest - {_LATE_DAYS * queries_log.DAY_US} AND len(list_filter(generate_series(1, len(with_it) - {_LATE_MAX}),
+                     lambda j: with_it[j + {_LATE_MAX}] - with_it[j] < {queries_log.DAY_US})) = 0 AS fits FROM (
+            SELECT o.event_id, o.key, o.ts, o.rn, o.us, r.kept, greatest(r.newest, o.us) AS newest, list_sort(list_append(r.kept, o.us)) AS with_it
+            FROM r JOIN o ON o.key = r.key AND o.rn = r.rn + 1)))
+  SELECT event_id, key, ts, accepted FROM r""")
+def q_rate_limit_stream_late(spark, sf_dir):
+    """The events in three files, one a micro-batch: odd days, even days, then every fifth event."""
+    cat, out = Catalog(spark, sf_dir), scratch_path(spark, "rate-limit-late")
+    events = cat.raw("events")
+    for n in range(3):
+        events.where(F.expr(_PART.format(day="day(ts)")) == n).coalesce(1).write.parquet(f"{out}/events/{n}")
+        time.sleep(1.1)                            # file streams go by modification time, in whole seconds
+    src = _by_file(spark, events.schema, out + "/events")
+    run_to_table(rate_limit_stream(Catalog.bind_requests(src), queries_log.DAY_US, _LATE_MAX, lateness_us=_LATE_DAYS * queries_log.DAY_US),
+                 out + "/data", out + "/_checkpoint")
+    return spark.read.parquet(out + "/data")
+
+
 @register("session_history_stream", ORACLE["session_history"])
 def q_session_history_stream(spark, sf_dir):
     cat = Catalog(spark, sf_dir)
@@ -49,4 +84,17 @@ def q_ingest_stream(spark, sf_dir):
     q = ingest_stream(Catalog.bind_appointments(src), DRIVER_MAPPINGS["appointments"], out + "/store",
                       out + "/_checkpoint")
     drain(q)
-    return spark.read.parquet(latest_version(spark, out + "/store"))
+    return point_store(spark, out + "/store").read()
+
+
+@register("ingest_stream_late", NEWEST_OF_ALL_SQL)
+def q_ingest_stream_late(spark, sf_dir):
+    """Two files, one a micro-batch: the changed appointments arrive before the rows they change."""
+    cat, m = Catalog(spark, sf_dir), DRIVER_MAPPINGS["appointments"]
+    out = scratch_path(spark, "ingest-late")
+    for n, rows in enumerate((_changed_batch(cat), cat.appointments())):
+        rows.coalesce(1).write.parquet(f"{out}/rows/{n}")
+        time.sleep(1.1)                            # file streams go by modification time, in whole seconds
+    src = _by_file(spark, cat.appointments().schema, out + "/rows")
+    drain(ingest_stream(src, m, out + "/store", out + "/_checkpoint"))
+    return point_store(spark, out + "/store").read()

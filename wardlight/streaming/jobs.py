@@ -1,15 +1,14 @@
 """Structured Streaming forms: incremental ingest (ST1), exact rate limiting (ST2) and rolling
 session history (ST3).
 
-* ST1: ``readStream`` of a table folder → passages → ``foreachBatch`` upsert into a versioned
-  store. The stream checkpoint replaces the JSON high-water file; a replayed micro-batch rewrites
-  the same stable ids, so recovery after a lost executor or driver is idempotent.
-* ST2: ``applyInPandasWithState`` keyed by request key. State = the accepted stamps still inside
-  the window (at most ``max_requests`` longs), so state size never grows with a key's history.
-  Within a micro-batch a key's rows are sorted by (time, id); across micro-batches the result
-  equals the batch limiter when each key's requests arrive in time order. A request that arrives
-  late is judged by the accepted stamps in its own window and still gets its one output row. State
-  of keys that were silent for ``idle_ms`` of processing time can be dropped.
+* ST1: ``readStream`` of a table folder → passages → ``foreachBatch`` merge into the point store. The
+  stream checkpoint replaces the JSON high-water file; the store knows each stream's last epoch, so
+  recovery after a lost executor or driver is idempotent, and files may come in any order.
+* ST2: ``applyInPandasWithState`` keyed by request key. State = the accepted stamps of the last window
+  and the allowed lateness, sorted, so its size never grows with a key's history. Within a micro-batch a
+  key's rows are sorted by (time, id); across micro-batches the result equals the batch limiter when
+  each key's requests arrive in time order. A late request is held against the windows on both sides
+  of it, so no window ever exceeds the limit, and gets its one output row.
 * ST3: ``applyInPandasWithState`` keyed by session; state = the last ``n`` messages; each
   micro-batch emits the updated history of the sessions it touched.
 """
@@ -17,6 +16,7 @@ session history (ST3).
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from wardlight.operators.ingest import Embedder, embed_all, latest_version, newest_per_id, next_version, \
-    split_embedded, upsert
+from wardlight.operators.ingest import Embedder, embed_all, point_store, split_embedded, vector_cache
 from wardlight.operators.passages import build_passages
 from wardlight.operators.ratelimit import epoch_micros
 from wardlight.operators.sessions import OTHER_LABEL, USER_LABEL
@@ -49,40 +48,26 @@ def table_stream(spark: SparkSession, folder: str, table: str, schema: T.StructT
 
 def ingest_stream(rows: DataFrame, mapping: EntityMapping, store_root: str, checkpoint: str,
                   embedders: Embedder | list[Embedder] | None = None, tenant_arg: str | None = None,
-                  available_now: bool = True):
+                  available_now: bool = True, cache_root: str | None = None):
     """Start the streaming ingest; returns the ``StreamingQuery``.
 
-    Each micro-batch: passages → (optional) embeddings → newest-wins upsert into a new store
-    version. Without embedders the store holds passages only (text search / later embedding).
+    Each micro-batch: passages → (optional) embeddings → a delta of the point store. The newest version
+    of a point wins whatever micro-batch or batch run brings it. Without embedders the store holds
+    passages only (text search / later embedding). The store's manifest keeps each stream's last epoch
+    beside the rows and the quarantine, so a replayed micro-batch changes nothing.
     """
     passages = build_passages(rows, mapping, tenant_arg)
-
-    root = store_root.rstrip("/")
     stream_id = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        # A marker per (stream, epoch) tells a replay; the version itself comes from the store, so
-        # batch and stream runs, and streams with a new checkpoint, never overwrite each other.
-        done = f"{root}/epochs/stream={stream_id}/epoch={epoch}"
-        if latest_version(spark, done):
-            return
-        pts = batch
-        current = latest_version(spark, root)
-        target = next_version(current, root)
-        version = target.rsplit("/", 1)[1]
+        pts, quarantine = batch, None
         if embedders is not None:
             # embed once: points and quarantine both read the materialised result
             checkpoint_root(spark)
-            embedded = embed_all(batch, embedders).checkpoint(eager=True)
-            pts, quarantine = split_embedded(embedded)
-            old = latest_version(spark, f"{root}/quarantine")
-            if old:                               # what earlier runs failed on stays to be retried
-                quarantine = spark.read.parquet(old).unionByName(quarantine)
-            quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/{version}")
-        merged = upsert(spark.read.parquet(current), pts) if current else newest_per_id(pts)
-        merged.write.mode("overwrite").parquet(target)
-        spark.range(1).write.mode("overwrite").parquet(f"{done}/{version}")
+            cache = vector_cache(spark, cache_root) if cache_root else None
+            pts, quarantine = split_embedded(embed_all(batch, embedders, cache=cache).checkpoint(eager=True))
+        point_store(spark, store_root).merge(pts, failed=quarantine, stream=(stream_id, epoch))
 
     w = passages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -93,28 +78,47 @@ def ingest_stream(rows: DataFrame, mapping: EntityMapping, store_root: str, chec
 # ST2
 # ---------------------------------------------------------------------------------------------
 
-RL_STATE = T.StructType([T.StructField("ring", T.ArrayType(T.LongType()))])
+RL_STATE = T.StructType([T.StructField("stamps", T.ArrayType(T.LongType())), T.StructField("newest", T.LongType())])
+
 
+def _fits(stamps: list[int], at: int, t: int, window_us: int, most: int) -> bool:
+    """Whether no window holds more than ``most`` stamps once t stands at place ``at`` of the sorted
+    ``stamps``: of any ``most`` + 1 that follow each other, t among them, the ends are a window apart."""
+    if most <= 0:
+        return False
+    for first in range(max(0, at - most), at + 1):
+        last = first + most                       # places in the list with t
+        if last > len(stamps):
+            break
+        begin = stamps[first] if first < at else t
+        end = t if last == at else stamps[last - 1]
+        if end - begin < window_us:
+            return False
+    return True
 
-def _rl_state_fn(window_us: int, max_requests: int, idle_ms: int | None):
+
+def _rl_state_fn(window_us: int, max_requests: int, lateness_us: int, idle_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:
             state.remove()
             return
-        ring = list(state.get[0]) if state.exists else []
-        newest = max(ring, default=None)
+        stamps, newest = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "event_id"], kind="stable")
         acc = []
-        for t in batch["_us"].to_numpy():
+        for t in batch["_us"]:
+            if pd.isna(t):                        # a request without a time has no window
+                acc.append(False)
+                continue
             t = int(t)
             newest = t if newest is None else max(newest, t)
-            ring = [s for s in ring if s > newest - window_us]
-            if sum(t - window_us < s <= t for s in ring) < max_requests:
-                ring.append(t)
-                acc.append(True)
-            else:
-                acc.append(False)
-        state.update((ring,))
+            at = bisect_right(stamps, t)
+            good = t >= newest - lateness_us and _fits(stamps, at, t, window_us, max_requests)
+            if good:
+                stamps.insert(at, t)
+            acc.append(good)
+        if newest is not None:
+            stamps = stamps[bisect_right(stamps, newest - lateness_us - window_us):]
+        state.update((stamps, newest))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "key": batch["key"].to_numpy(),
@@ -122,19 +126,25 @@ def _rl_state_fn(window_us: int, max_requests: int, idle_ms: int | None):
     return fn
 
 
-def rate_limit_stream(requests: DataFrame, window_us: int, max_requests: int,
-                      idle_ms: int | None = None) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, window_us: int, max_requests: int, idle_ms: int | None = None,
+                      lateness_us: int | None = None) -> DataFrame:
     """Streaming L1 over ``(event_id, key, ts)``; output ``(event_id, key, ts, accepted)``, one row
-    per request however late it is. Ids and keys keep their types. State is at most ``max_requests``
-    stamps a key; with ``idle_ms``, a key that was silent for so much processing time is forgotten
-    (for streams that go on: with it, a run over what is available does not end by itself)."""
+    per request however late it is. Ids and keys keep their types.
+
+    A request is accepted iff afterwards no window, before or after it, holds more than
+    ``max_requests`` accepted ones; for requests in time order that is the batch rule. One that is more
+    than ``lateness_us`` (a window unless given) older than its key's newest is rejected, since stamps that
+    old are forgotten: a key's state is the accepted stamps of a window and that time, at most
+    ``max_requests`` for every window begun in them. With ``idle_ms``, a key that was silent for so much
+    processing time is forgotten (for streams that go on: with it, a run over what is available does
+    not end by itself)."""
     df = (requests.select("event_id", "key", F.col("ts").cast("timestamp_ntz").alias("ts"))
           .withColumn("_us", epoch_micros("ts")))
     out = T.StructType([df.schema["event_id"], df.schema["key"], T.StructField("ts", T.TimestampNTZType()),
                         T.StructField("accepted", T.BooleanType())])
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return (df.groupBy("key")
-            .applyInPandasWithState(_rl_state_fn(window_us, max_requests, idle_ms), out, RL_STATE, "append", timeout))
+    late = window_us if lateness_us is None else lateness_us
+    return (df.groupBy("key").applyInPandasWithState(_rl_state_fn(window_us, max_requests, late, idle_ms), out, RL_STATE, "append", timeout))
 
 
 # ---------------------------------------------------------------------------------------------
