@@ -11,6 +11,7 @@ otherwise.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,59 @@ def tenant_predicate(df: DataFrame, col: str, tenant: str | int) -> Column:
     return F.lit(False)
 
 
+# Aliases of keys that lead to a parent entity, nearest first.
+PARENT_KEYS = (("schedule", "schedules"), ("appointment", "appointments"), ("prescription", "prescriptions"),
+               ("patient", "patients"), ("doctor", "doctors"))
+
+
+def tenant_parent(tables: Mapping[str, DataFrame], mappings: dict[str, EntityMapping], name: str) -> tuple[str, str]:
+    """For an entity without a tenant column: its key column and the parent entity that has the tenant,
+    itself or through a parent of its own. The mapping's ``tenantVia`` decides, else the first known
+    key alias that leads to a tenant."""
+    m = mappings[name]
+    for alias, parent in [m.tenant_via] if m.tenant_via else PARENT_KEYS:
+        if m.physical(alias) and parent in mappings and parent in tables and parent != name:
+            try:
+                if not mappings[parent].tenant_column:
+                    tenant_parent(tables, mappings, parent)
+            except ValueError:
+                continue
+            return m.physical(alias), parent
+    raise ValueError(f"entity {name} has no tenant column, and no mapped parent that has one")
+
+
+def of_tenant(tables: Mapping[str, DataFrame], mappings: dict[str, EntityMapping], name: str, tenant: str | int) -> DataFrame:
+    """The entity's rows of one tenant: by its column, which the scan prunes on, or as a semi-join with
+    the parent's rows of the tenant."""
+    m, base = mappings[name], tables[name]
+    if m.tenant_column:
+        return base.where(tenant_predicate(base, m.tenant_column, tenant))
+    key, parent = tenant_parent(tables, mappings, name)
+    ids = of_tenant(tables, mappings, parent, tenant).select(F.col(mappings[parent].physical("id")).alias("_parent_key"))
+    return base.join(ids, F.col(key) == F.col("_parent_key"), "left_semi")
+
+
+def with_tenant(tables: Mapping[str, DataFrame], mappings: dict[str, EntityMapping], name: str) -> tuple[DataFrame, str]:
+    """The entity's rows and the name of their tenant column, joined from the parent if need be."""
+    m, base = mappings[name], tables[name]
+    if m.tenant_column:
+        return base, m.tenant_column
+    key, parent = tenant_parent(tables, mappings, name)
+    rows, tenant = with_tenant(tables, mappings, parent)
+    own = rows.select(F.col(mappings[parent].physical("id")).alias("_parent_key"), F.col(tenant).alias("_tenant"))
+    return base.join(own, F.col(key) == F.col("_parent_key")).drop("_parent_key"), "_tenant"
+
+
+def department_ids(tables: Mapping[str, DataFrame], m: EntityMapping) -> DataFrame | None:
+    """``(id, name)``, both text, of the departments that the entity's department column points to."""
+    if "department" not in m.lookups or not m.physical("department"):
+        return None
+    entity, id_col, name_col = m.lookups["department"]
+    if entity not in tables:
+        return None
+    return tables[entity].select(F.col(id_col).cast("string").alias("id"), F.col(name_col).alias("name"))
+
+
 def _name_predicate(name_col: Column, value: str, wildcards: bool) -> Column:
     """Contains, or the ``starts with X`` prefix form (empty remainder stays *contains*)."""
     low = value.lower()
@@ -68,7 +122,7 @@ def _status_value(target: str, word: str, dtype: T.DataType):
     return word
 
 
-def build_entity_query(tables: dict[str, DataFrame], mappings: dict[str, EntityMapping],
+def build_entity_query(tables: Mapping[str, DataFrame], mappings: dict[str, EntityMapping],
                        intent: Intent, tenant: str | int, as_of: dt.datetime,
                        wildcards: bool = False, strict_tenant: bool = False,
                        unknown_date: str = "today") -> EntityQuery:
@@ -76,14 +130,11 @@ def build_entity_query(tables: dict[str, DataFrame], mappings: dict[str, EntityM
     m = mappings.get(target)
     if m is None or target not in tables:
         raise ValueError(f"Unsupported target entity: {target}")
-    base = tables[target]
-    tcol = m.tenant_column
-    if tcol is None:
-        raise ValueError(f"entity {target} has no tenant column; derive it through its parent")
+    base = of_tenant(tables, mappings, target, tenant)
     f = intent.filters
     ignored: list[str] = []
     warnings: list[str] = []
-    conds: list[Column] = [tenant_predicate(base, tcol, tenant)]
+    conds: list[Column] = []
     first, last = m.physical("firstName"), m.physical("lastName")
 
     # doctor name: on doctors directly, otherwise EXISTS on doctors by doctor_id
@@ -129,7 +180,14 @@ def build_entity_query(tables: dict[str, DataFrame], mappings: dict[str, EntityM
 
     if f.department:
         dc = m.physical("department")
-        if dc:
+        known = department_ids(tables, m)
+        if known is not None:
+            # a word names departments: their ids are the semi-join's build side; an id works as well
+            word = f.department.lower()
+            known = known.where(F.lower("name").contains(word) | (F.lower("id") == word)).select(
+                F.col("id").try_cast(base.schema[dc].dataType).alias("_department"))
+            base = base.join(known, F.col(dc) == F.col("_department"), "left_semi")
+        elif dc:
             # a word against a numeric id matches nothing (never an error)
             conds.append(F.col(dc) == F.lit(f.department).try_cast(base.schema[dc].dataType))
         else:
@@ -153,10 +211,9 @@ def build_entity_query(tables: dict[str, DataFrame], mappings: dict[str, EntityM
         else:
             ignored.append("minExperience")
 
-    cond = conds[0]
-    for c in conds[1:]:
-        cond = cond & c
-    df = base.where(cond)
+    df = base
+    for c in conds:
+        df = df.where(c)
     if intent.operation == "aggregate":
         df = df.agg(F.count(F.lit(1)).alias("count"))
         return EntityQuery(df, target, True, ignored, warnings)

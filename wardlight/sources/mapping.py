@@ -1,7 +1,9 @@
 """Entity mappings: logical alias → physical column, per entity (S3).
 
 A mapping is plain configuration. ``apply_mapping`` turns it into one ``select`` with aliases, so
-Catalyst prunes every unmapped column at the scan.
+Catalyst prunes every unmapped column at the scan. Beside its columns an entity may name the parent
+that its tenant comes from (``tenantVia``: the alias of its key and the parent entity) and the
+dimension tables that give words for ids (``lookups``: per alias the entity and its id and name columns).
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ class EntityMapping:
     entity: str
     table: str
     columns: dict[str, str] = field(default_factory=dict)  # alias -> physical, insertion-ordered
+    tenant_via: tuple[str, str] | None = None              # alias of the key, parent entity
+    lookups: dict[str, tuple[str, str, str]] = field(default_factory=dict)  # alias -> entity, id and name column
 
     def physical(self, alias: str) -> str | None:
         return self.columns.get(alias)
@@ -48,9 +52,11 @@ def parse_mapping(text: str | bytes, defaults: dict[str, EntityMapping] | None =
                 raise ValueError(f"entity {entity!r} has no table")
             cols = {k: v for k, v in cfg.items()
                     if k != "table" and PASSWORD_KEY_PART not in k.lower() and isinstance(v, str)}
-            out[entity] = EntityMapping(entity, cfg["table"], cols)
+            via = cfg.get("tenantVia")
+            words = {alias: (w["entity"], w["id"], w["name"]) for alias, w in (cfg.get("lookups") or {}).items()}
+            out[entity] = EntityMapping(entity, cfg["table"], cols, (via["key"], via["entity"]) if via else None, words)
         return out
-    except (ValueError, AttributeError):
+    except (ValueError, AttributeError, KeyError, TypeError):
         if defaults is None:
             raise
         return dict(defaults)

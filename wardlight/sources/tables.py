@@ -9,13 +9,16 @@ Binding (driver tables → logical names):
 
 patients      customer   id=c_custkey, tenant_id=c_custkey mod 5, first/last = parts of c_name
 doctors       supplier   id=s_suppkey, tenant_id=s_suppkey mod 5, experience=floor(|acctbal|/500)
-appointments  orders     id=o_orderkey, patient_id=o_custkey, doctor_id=o_orderkey mod 10,
+appointments  orders     id=o_orderkey, patient_id=o_custkey, doctor_id=o_custkey div 15,
                          opd_date=o_orderdate, status P/F/O → 0/1/4, department_id=o_orderpriority
 prescriptions orders     one header per order, problem=o_orderpriority, created_at=o_orderdate
 items         lineitem⋈part  candidate item tables split by l_returnflag (A, N, R)
 messages      conversations
 vectors       embeddings tenant_id = label
 requests      events     key = user_id
+departments   nation     words for the doctors' department ids
+dependents    events     patient_id=user_id, no tenant of their own
+schedules     supplier   one per doctor; scheduleDays lineitem, no tenant of their own
 """
 
 from __future__ import annotations
@@ -245,6 +248,27 @@ class Catalog:
                         _tenant(F.col("l_suppkey")).alias("tenant_id"),
                         F.to_date("l_shipdate").alias("date")))
 
+    def departments(self) -> DataFrame:
+        """Names of the doctors' departments."""
+        return self.raw("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+
+    def dependents(self) -> DataFrame:
+        """One row per event; the tenant is the patient's."""
+        return self.raw("events").select(
+            F.col("event_id").alias("id"), F.col("user_id").alias("patient_id"), F.col("event_type").alias("relation"),
+            F.col("ts").alias("created_at"))
+
+    def schedules(self) -> DataFrame:
+        """One row per doctor."""
+        return self.raw("supplier").select(
+            (F.col("s_suppkey") + 100_000_000).alias("id"), _tenant(F.col("s_suppkey")).alias("tenant_id"), F.col("s_suppkey").alias("doctor_id"))
+
+    def schedule_days(self) -> DataFrame:
+        """One row per line; doctor and tenant are those of the schedule."""
+        return self.raw("lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_suppkey") + 100_000_000).alias("schedule_id"),
+            F.to_date("l_shipdate").alias("available_on"), F.col("l_quantity").cast("int").alias("max_tokens"))
+
     def messages(self) -> DataFrame:
         return self.bind_messages(self.raw("conversations"))
 
@@ -268,7 +292,9 @@ class Catalog:
     def tables(self) -> Mapping[str, DataFrame]:
         return LazyTables({"patients": self.patients, "doctors": self.doctors,
                            "appointments": self.appointments, "prescriptions": self.prescriptions,
-                           "doctorHolidays": self.holidays})
+                           "doctorHolidays": self.holidays, "dependents": self.dependents,
+                           "schedules": self.schedules, "scheduleDays": self.schedule_days,
+                           "departments": self.departments})
 
 
 # Logical mappings for the driver binding (alias → physical column of the Catalog frames).
@@ -279,7 +305,8 @@ DRIVER_MAPPINGS: dict[str, EntityMapping] = {
         "balance": "balance"}),
     "doctors": EntityMapping("doctors", "doctors", {
         "id": "id", "tenant": "tenant_id", "firstName": "first_name", "lastName": "last_name",
-        "experience": "experience", "department": "doctor_department_id", "specialty": "specialist"}),
+        "experience": "experience", "department": "doctor_department_id", "specialty": "specialist"},
+        lookups={"department": ("departments", "id", "name")}),
     "appointments": EntityMapping("appointments", "appointments", {
         "id": "id", "tenant": "tenant_id", "patient": "patient_id", "doctor": "doctor_id",
         "department": "department_id", "scheduledAt": "opd_date", "status": "status",
@@ -290,4 +317,9 @@ DRIVER_MAPPINGS: dict[str, EntityMapping] = {
         "diabetic": "diabetic", "createdAt": "created_at", "updatedAt": "updated_at"}),
     "doctorHolidays": EntityMapping("doctorHolidays", "doctor_holidays", {
         "doctor": "doctor_id", "tenant": "tenant_id", "date": "date"}),
+    "dependents": EntityMapping("dependents", "dependents", {
+        "id": "id", "patient": "patient_id", "relation": "relation", "createdAt": "created_at"}),
+    "schedules": EntityMapping("schedules", "schedules", {"id": "id", "doctor": "doctor_id", "tenant": "tenant_id"}),
+    "scheduleDays": EntityMapping("scheduleDays", "schedule_days", {
+        "id": "id", "schedule": "schedule_id", "availableOn": "available_on", "maxTokens": "max_tokens"}),
 }
