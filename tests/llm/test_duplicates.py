@@ -80,17 +80,42 @@ def test_estimates_are_never_too_low(spark):
         assert (got >= np.log2(true[mine]).astype(int)).all()
 
 
-@pytest.mark.parametrize("pairs", [32, 0])
-def test_components_of_near_copies(spark, monkeypatch, pairs):
-    """With 0, every rest is taken up by rounds of first documents; the result is the same."""
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_SHINGLE", pairs)
-    rows = corpus(seed=pairs)
-    if not pairs:
+@pytest.mark.parametrize("seed", [32, 0])
+def test_components_of_near_copies(spark, seed):
+    rows = corpus(seed=seed)
+    if not seed:
         rows = [r for r in rows if len(r[1] or "") < 1200][40:]
     got = ngram_join.near_duplicates(frame(spark, rows)).collect()
     assert sorted(tuple(g) for g in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_of_families(spark, seed):
+    """Copies of copies, cut and edited with few words, so that copies share what their first text
+    lacks; texts made of shared passages; ids in any order."""
+    rnd = random.Random(seed)
+    few = [f"w{i}" for i in range(6)]
+    passages = [[f"p{k}x{i}" for i in range(25)] for k in range(4)]
+    texts = []
+    for f in range(4):
+        family = [[f"f{f}x{i}" for i in range(rnd.choice([24, 60, 90]))]]
+        for _ in range(24):
+            copy = list(rnd.choice(family))
+            for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+                copy[rnd.randrange(len(copy))] = rnd.choice(few)
+            if rnd.random() < 0.3:
+                at = rnd.randrange(len(copy))
+                copy[at:at + rnd.randint(1, 4)] = rnd.choices(few, k=rnd.randint(0, 3))
+            family.append(copy)
+        texts += family
+    for _ in range(25):
+        texts.append(sum(rnd.sample(passages, rnd.randint(1, 4)), []) + rnd.choices(few, k=rnd.randint(0, 12)))
+    ids = rnd.sample(range(1000), len(texts))
+    rows = [(d, " ".join(t), *[None] * 11) for d, t in zip(ids, texts)]
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(tuple(g) for g in got) == brute_components(rows)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = corpus(n=5)
     odd = [rows[0], (None, rows[0][1], *rows[0][2:]), (None, None, *rows[0][2:])]

@@ -11,11 +11,11 @@ their sets is at least the threshold. The steps, each of which loses no link:
    The counts are then taken again over the classes alone: of a near copy, the shingles that its
    edits made are its own, and r, the number of the others, bounds its overlap with any set.
 3. Two linked sets share a shingle among their first n - ceil(threshold * n) + 1. Those shingles
-   give candidate pairs. In a group that shares one, only the smallest document is paired with the
-   others. With its links and overlaps known, the rest of the group is taken up again as far as it
-   lies in different components and its overlaps with the first document allow links across them;
-   near copies of the first document that only link through shingles it lacks are grouped by those.
-   So a group of many near copies costs little more than one pair a copy.
+   give candidate pairs. In a group that shares one, a lead, the document with the fewest shingles of
+   its own, is paired with the others. With its links and overlaps known, the rest is paired as far as it
+   lies in different components and its overlaps with the lead allow a link; near copies of the lead
+   that only link through shingles it lacks are grouped by those. So a group of many near copies costs
+   little more than one pair a copy.
 4. Sets are cut into fragments at fixed places of the hash order. Per candidate pair and fragment the
    overlap is counted separately; the sum per pair decides.
 5. Components of the links between classes; those that hold the same doc_id are one. A component is
@@ -46,7 +46,6 @@ from wardlight.session import checkpoint_root, scratch_path
 WIDTH = 5
 PERCENT = 80
 FRAGMENTS = 4
-PAIRS_PER_SHINGLE = 32     # what is left is compared at once when it has no more pairs per prefix shingle
 _SEED = 21
 
 
@@ -245,7 +244,7 @@ def _off_lead(pairs: DataFrame, sets: DataFrame, fragments: int = FRAGMENTS) ->
 
 
 def _seen_from_lead(live: DataFrame, overlaps: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (doc, n, r, i, token, off) of ``live`` that can still link across components, given
+    """The rows (doc, n, r, i, far, token, off) of ``live`` that can still link across components, given
     every document's overlap i with its group's lead p.
 
     Sets x and y have at most min(i_x, i_y) shingles of p in common, and at most min(r_x - i_x,
@@ -253,93 +252,78 @@ def _seen_from_lead(live: DataFrame, overlaps: DataFrame, comp: DataFrame, sets:
     is held against the greatest values outside; the others against the greatest of all. Where the
     shingles of p are not enough for a link, the two must share one that p lacks: near copies that
     lie too far from p are then grouped by those (``off``), which few documents have. A document with
-    more of them than twice its prefix is no near copy of p: it stays in its group, with i null.
+    more of them than twice its prefix is no near copy of p: it is ``far`` and stays in its group.
     """
     rows = live.where(F.col("doc") != F.col("lead.doc")).select("doc", "n", "r", "token", F.col("lead.doc").alias("p"))
-    rows = rows.join(overlaps.select(F.col("a").alias("p"), F.col("b").alias("doc"), F.col("both").alias("i")), ["p", "doc"], "left")
+    rows = rows.join(overlaps.select(F.col("a").alias("p"), F.col("b").alias("doc"), F.col("both").alias("i")), ["p", "doc"])
     rows = rows.join(comp, "doc", "left").join(comp.select(F.col("doc").alias("p"), F.col("comp").alias("pc")), "p", "left")
-    weak = F.col("i").isNull() | (F.col("r") - F.col("i") > 2 * (F.col("r") - F.ceil(F.col("n") * percent / 100) + 1))
-    rows = rows.withColumn("out", F.coalesce("comp", "doc") != F.coalesce("pc", "p")).withColumn("weak", weak) \
-        .withColumn("in_p", F.when(weak, F.col("r")).otherwise(F.col("i"))) \
-        .withColumn("off_p", F.when(weak, F.col("r")).otherwise(F.col("r") - F.col("i")))
+    far = F.col("r") - F.col("i") > 2 * (F.col("r") - F.ceil(F.col("n") * percent / 100) + 1)
+    rows = rows.withColumn("out", F.coalesce("comp", "doc") != F.coalesce("pc", "p")).withColumn("far", far) \
+        .withColumn("off_p", F.col("r") - F.col("i"))
     most = rows.groupBy("token").agg(
-        F.min("n").alias("least"), *[f(c).alias(f"{c}_all") for c, f in (("in_p", F.max), ("off_p", F.max), ("weak", F.bool_or))],
-        *[f(F.when(F.col("out"), F.col(c))).alias(f"{c}_out") for c, f in (("in_p", F.max), ("off_p", F.max), ("weak", F.bool_or))])
-    rows = rows.join(most.where("in_p_out is not null"), "token")
+        F.min("n").alias("least"), *[f(c).alias(f"{c}_all") for c, f in (("i", F.max), ("off_p", F.max), ("far", F.bool_or))],
+        *[f(F.when(F.col("out"), F.col(c))).alias(f"{c}_out") for c, f in (("i", F.max), ("off_p", F.max), ("far", F.bool_or))])
+    rows = rows.join(most.where("i_out is not null"), "token")
 
     def partner(c: str) -> Column:
         return F.when(F.col("out"), F.col(c + "_all")).otherwise(F.col(c + "_out"))
 
     enough = (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent
-    on_p = F.least("in_p", partner("in_p"))
-    rows = rows.where(F.col("weak") | ((on_p + F.least("off_p", partner("off_p"))) * (100 + percent) >= enough))
-    rows = rows.withColumn("stays", F.col("weak") | partner("weak") | (on_p * (100 + percent) >= enough)).checkpoint()
-    near = rows.where("not weak").select("p", "doc", "n", "r", "i").distinct()
+    on_p = F.least("i", partner("i"))
+    rows = rows.where((on_p + F.least("off_p", partner("off_p"))) * (100 + percent) >= enough)
+    rows = rows.withColumn("stays", F.col("far") | partner("far") | (on_p * (100 + percent) >= enough)).checkpoint()
+    near = rows.where("not far").select("p", "doc", "n", "r", "i").distinct()
     off = _off_lead(near.select("p", "doc"), sets).join(near, ["p", "doc"]) \
-        .select("doc", "n", "r", "i", F.xxhash64("p", "token").alias("token"), F.lit(True).alias("off"))
-    stay = rows.where("stays").select("doc", "n", "r", F.when(~F.col("weak"), F.col("i")).alias("i"), "token", F.lit(False).alias("off"))
+        .select("doc", "n", "r", "i", F.lit(False).alias("far"), F.xxhash64("p", "token").alias("token"), F.lit(True).alias("off"))
+    stay = rows.where("stays").select("doc", "n", "r", "i", "far", "token", F.lit(False).alias("off"))
     return _one_per_member_set(stay).unionByName(_one_per_member_set(off))
 
 
+def _left_pairs(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(a, b), once each, of the documents that share a token of ``rows``, lie in different components
+    and whose own bounds allow a link. Most of a group lies in one component; only what lies outside of
+    it is held against the others."""
+    named = rows.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    parts = named.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    live = named.join(main.drop("comps"), "token")
+
+    def side(end: str) -> list[Column]:
+        return [F.col(c).alias(c + end) for c in ("doc", "n", "r", "i", "far", "comp")]
+
+    one = live.where("comp != main").select("token", "off", "main", *side("a"))
+    two = live.select("token", *side("b"))
+    na, ra, ia, nb, rb, ib = (F.col(c) for c in ("na", "ra", "ia", "nb", "rb", "ib"))
+    reach = F.least(ia, ib) + F.when(F.col("off") | F.col("fara") | F.col("farb"), F.least(ra - ia, rb - ib)).otherwise(0)
+    can = ((F.col("compa") != F.col("compb")) & ((F.col("compb") == F.col("main")) | (F.col("doca") < F.col("docb")))
+           & _can_link(na, ra, nb, rb, percent) & (reach * (100 + percent) >= (na + nb) * percent))
+    pairs = one.join(two, (one["token"] == two["token"]) & can)
+    return pairs.select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b")).distinct()
+
+
 def similar_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Enough links (a < b) between ``sets`` (doc, n, k, shared) to connect every similar pair.
+    """Enough links between ``sets`` (doc, n, k, shared) to connect every similar pair.
 
-    A round pairs the smallest document of each token's group with the members that lie in other
-    components, takes it out, and drops the groups that then lie in one component. Once the pairs
-    across components are in proportion to the prefix shingles, those whose bounds allow a link are
-    all tested at once.
+    First each token's group is paired with its lead, the document with the fewest shingles of its own:
+    of near copies that is the one they were made from. What the leads' overlaps leave possible across
+    components is then paired by each two documents' own bounds.
     """
     spark = sets.sparkSession
     checkpoint_root(spark)
     path = scratch_path(spark, "prefixes")
     _shared_prefixes(sets, percent).write.parquet(path)
-    rest = spark.read.parquet(path).withColumns({"i": F.lit(None).cast("long"), "off": F.lit(True)})
-    most = sets.agg(F.sum("k")).first()[0] or 0
-    links = tested = None
-    comp = sets.select("doc", F.col("doc").alias("comp")).limit(0)
-    while True:
-        named = rest.select("doc", "n", "r", "i", "token", "off").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        parts = named.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min(F.struct("doc", "n", "r", "i")).alias("lead"))
-        groups = parts.groupBy("token").agg(
-            F.min(F.struct("lead.doc", "lead.n", "lead.r", "lead.i", "comp")).alias("lead"), F.count("*").alias("comps"),
-            ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("across"))
-        groups = groups.where("comps > 1").checkpoint()
-        size = groups.agg(F.count("*").alias("groups"), F.sum("across").alias("across")).first()
-        if not size["groups"]:
-            break
-        live = named.join(groups.drop("comps", "across"), "token")
-        full = links is not None and size["across"] <= PAIRS_PER_SHINGLE * most
-
-        def side(of: str, name: str) -> list[Column]:
-            return [F.col(of + c).alias(alias) for c, alias in (("doc", name), ("n", "n" + name), ("r", "r" + name), ("i", "i" + name), ("comp", "c" + name))]
-
-        na, ra, ia, nb, rb, ib = (F.col(c) for c in ("na", "ra", "ia", "nb", "rb", "ib"))
-        on_p = F.least(ia, ib)
-        reach = on_p + F.when(F.col("off"), F.least(ra - ia, rb - ib)).otherwise(0)
-        can = ((F.col("ca") != F.col("cb")) & _can_link(na, ra, nb, rb, percent)
-               & (ia.isNull() | ib.isNull() | (reach * (100 + percent) >= (na + nb) * percent)))
-        if links is None:
-            can = F.col("a") < F.col("b")             # the lead's overlaps with all serve the next round
-        if full:
-            one, two = live.select("token", "off", *side("", "a")), live.select("token", *side("", "b"))
-            cand = one.join(two, (one["token"] == two["token"]) & (F.col("a") < F.col("b")) & can)
-        else:
-            cand = live.select("off", *side("lead.", "a"), *side("", "b")).where(can)
-        cand = cand.select("a", "b").distinct()
-        if tested is not None:
-            cand = cand.join(tested, ["a", "b"], "left_anti")
-        cand = cand.checkpoint()
-        overlaps = overlaps_of(cand, sets).checkpoint()
-        found = _similar(overlaps, percent)
-        first = links is None
-        links = found if first else links.unionByName(found)
-        if full:
-            break
-        tested = cand if first else tested.unionByName(cand)
-        comp = components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-        rest = _seen_from_lead(live, overlaps, comp, sets, percent) if first else live.where(F.col("doc") != F.col("lead.doc"))
-        rest = rest.select("doc", "n", "r", "i", "token", "off").checkpoint()
-    return links if links is not None else sets.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
+    rows = spark.read.parquet(path)
+    leads = rows.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("own"), "doc")).alias("lead")).checkpoint()
+    live = rows.join(leads, "token")
+    first = live.where(F.col("doc") != F.col("lead.doc")).select(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).distinct()
+    overlaps = overlaps_of(first, sets).checkpoint()
+    links = _similar(overlaps, percent)
+    comp = components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
+    rest = _seen_from_lead(live, overlaps, comp, sets, percent).checkpoint()
+    pairs = _left_pairs(rest, comp, percent)
+    for one, two in (("a", "b"), ("b", "a")):
+        pairs = pairs.join(overlaps.select(F.col(one).alias("a"), F.col(two).alias("b")), ["a", "b"], "left_anti")
+    return links.unionByName(_similar(overlaps_of(pairs.checkpoint(), sets), percent))
 
 
 def _components_of_ids(members: DataFrame) -> DataFrame:
