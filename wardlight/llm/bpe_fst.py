@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from wardlight.llm.common import LATIN_DIGITS, LATIN_LETTERS, LATIN_SPACE, Memo,
 MAX_STATES = 250_000
 MAX_PIECES = 150_000
 MAX_PAIRS = 500_000
+LONG_PIECE = 64            # characters; longer pieces are encoded but not kept
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +40,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def _packed(base: int, places: list[tuple[int, tuple | None]]) -> bytes:
+    flat = array("i", (base,))
+    for node, tokens in places:
+        flat.append(node)
+        flat.append(-1 if tokens is None else len(tokens))
+        if tokens:
+            flat.extend(tokens)
+    return flat.tobytes()
+
+
+def _unpacked(state: bytes) -> tuple[int, list[tuple[int, tuple | None]]]:
+    flat, at, places = array("i", state), 1, []
+    while at < len(flat):
+        n = flat[at + 1]
+        places.append((flat[at], tuple(flat[at + 2:at + 2 + n]) if n >= 0 else None))
+        at += 2 + max(n, 0)
+    return flat[0], places
+
+
 class BpeTransducer:
     """Token ids (little-endian 32-bit) of a piece, byte by byte."""
 
@@ -56,14 +77,15 @@ class BpeTransducer:
                     self.token_at.append(-1)
             self.token_at[node] = t
         self.edges: dict[int, tuple[list, list] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}                # token << 32 | token after it
         self._fresh()
 
     def _fresh(self) -> None:
-        # A state: (last emitted token, live places), a place being (trie node of the bytes since
-        # it, tokens up to it that are not emitted). The last place is the present one.
-        self.states: dict[tuple, int] = {(-1, ((0, ()),)): 0}
-        self.places: list[tuple] = list(self.states)
+        # A state: last emitted token and live places, a place being (trie node of the bytes since
+        # it, tokens up to it that are not emitted). The last place is the present one. States are
+        # kept as packed integers, about a quarter of what they take as tuples.
+        self.states: dict[bytes, int] = {_packed(-1, [(0, ())]): 0}
+        self.places: list[bytes] = list(self.states)
         self.moves: dict[int, int] = {}                 # state << 8 | byte -> state, ~state if it emits
         self.emits: dict[int, bytes] = {}
         self.finals: dict[int, bytes] = {}
@@ -103,7 +125,7 @@ class BpeTransducer:
     def _may_follow(self, s: int, t: int) -> bool:
         """Whether merging the bytes of s + t leaves s and t: no part that ever ends s and part that
         begins t at the same time have a rank before one of them is taken into a larger part."""
-        ok = self.pairs.get((s, t))
+        ok = self.pairs.get(s << 32 | t)
         if ok is None:
             if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
@@ -117,11 +139,11 @@ class BpeTransducer:
                             break
                 if not ok:
                     break
-            self.pairs[s, t] = ok
+            self.pairs[s << 32 | t] = ok
         return ok
 
     def _move(self, move: int) -> int:
-        base, places = self.places[move >> 8]
+        base, places = _unpacked(self.places[move >> 8])
         byte, live, here = move & 255, [], None
         for node, tokens in places:
             node = self.child.get(node << 8 | byte)
@@ -146,7 +168,7 @@ class BpeTransducer:
             live = [(node, tokens[shared:]) for node, tokens in live]
         if all(tokens for _, tokens in live):
             base = -2                                   # no place asks for it any more
-        key = (base, tuple(live))
+        key = _packed(base, live)
         found = self.states.get(key)
         if found is None:
             if len(self.states) >= MAX_STATES:
@@ -178,7 +200,7 @@ class BpeTransducer:
                 state = ~state
         final = self.finals.get(state)
         if final is None:
-            rest = self.places[state][1][-1][1]
+            rest = _unpacked(self.places[state])[1][-1][1]
             final = self.finals[state] = struct.pack(f"<{len(rest)}I", *rest)
         out.append(final)
         return b"".join(out)
@@ -203,6 +225,9 @@ class Pieces(Memo):
     def compute(self, piece: str) -> bytes:
         return self.transducer.encode(piece.encode())
 
+    def __missing__(self, piece: str) -> bytes:
+        return super().__missing__(piece) if len(piece) <= LONG_PIECE else self.compute(piece)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
