@@ -9,7 +9,8 @@ share of blocked pages among its labelled ones, (blocked + weight * prior) / (la
 reaches the threshold; a template without labelled pages keeps the prior and is allowed.
 
 The tree works on one row per distinct generalised path, counted before any exchange by host, so a
-host with a third of all pages is as many rows as it has distinct paths.
+host with a third of all pages is as many rows as it has distinct paths. Each level of the tree is
+written before the next one is named, so a level's plan does not grow with the depth.
 
 Cases: a null url or one without ``://`` has an empty host and path (one template of its own); paths
 deeper than max_depth keep the rest as one wildcard segment; repeated rows count as often as they
@@ -80,7 +81,7 @@ def path_templates(paths: DataFrame, min_pages: int, weight: float, prior: float
             "host", "template", "segment", name.alias("name"))
         paths = at.join(names, ["host", "template", "segment"], "left").select(
             "host", "segments", "pages", "labelled", "blocked",
-            F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"))
+            F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template")).checkpoint()
     purity = (F.sum("blocked") + F.lit(weight * prior)) / (F.sum("labelled") + F.lit(weight))
     return paths.join(paths.groupBy("host", "template").agg(purity.alias("purity")), ["host", "template"]) \
         .select("host", "segments", "template", "purity")
