@@ -5,8 +5,8 @@ pairs of neighbouring blocks of BLOCK bytes, so each overlaps the next by half.
 response in a chunk is one feature of it; a hidden layer reads them, its units are averaged and
 maximised over the chunks, and one logistic unit makes the probability.
 
-It is trained by Adam on a bounded sample (SAMPLE rows per label with the smallest hashes of their
-ids; of a longer text, a window of SAMPLE_BYTES chosen by hash) on the driver; the model is 20 kB.
+It is trained by Adam on a bounded sample (SAMPLE rows per label with the smallest hashes of
+id and text; of a longer text, a window of SAMPLE_BYTES chosen by hash) on the driver; the model is 20 kB.
 Scoring is one narrow pass over the whole texts.
 
 Cases: a null or empty text is a document of zero bytes and gets a score like any other; without
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import hash_sample, release, slices, text_bytes, text_window, whole_characters
+from wardlight.llm.common import hash_sample, release, sample_hash, sampled_texts, slices, text_bytes, text_window, whole_characters
 
 EMBED, WIDTH, STRIDE, BLOCK, FILTERS, HIDDEN = 8, 8, 2, 256, 32, 16
 SAMPLE, SAMPLE_BYTES = 1200, 16_384
@@ -155,13 +155,12 @@ def held_out(id_column: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int = SAMPLE,
                     longest: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """At most ``per_label`` training rows of each label: those with the smallest id hashes."""
+    """``per_label`` training rows of each label, all if there are fewer: those with the smallest hashes of
+    id and text. Texts are only exchanged once they are chosen."""
     marks = labels.select(F.col("doc_id").alias("key"), F.col(label).alias("label")).where("label in (0, 1)")
-    texts = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select(
-        F.col("doc_id").alias("key"), text_window(F.col("text"), F.col("doc_id"), longest).alias("text"))
-    known = texts.select("key").join(marks, "key")
-    chosen = hash_sample(known, "label", "key", per_label)
-    rows = texts.join(F.broadcast(chosen), "key").orderBy("label", "i", "text").collect()     # at most 2 * per_label rows
+    own = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).withColumn("hash", sample_hash(F.col("doc_id"), F.col("text")))
+    chosen = hash_sample(own.select(F.col("doc_id").alias("key"), "hash").join(marks, "key"), per_label)
+    rows = sampled_texts(own.select("hash", text_window(F.col("text"), F.col("doc_id"), longest).alias("text")), chosen).collect()
     return [whole_characters(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.float32)
 
 

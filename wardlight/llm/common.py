@@ -152,15 +152,22 @@ def window_starts(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(n.sum())) - np.repeat(head, n) + np.repeat(first, n), row
 
 
-def hash_sample(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
-    """``rows`` with their place ``i`` (1 to n): per label at most the n with the smallest hashes of
-    their keys. Counts per label first cut the rows to about 4 n by a threshold of the hash, so a
-    label of a third of all rows is never sorted whole."""
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_count"))
-    few = rows.join(counts, F.col(label) == F.col("_label")).where(place * F.col("_count") < 4 * n * (1 << 30)).drop("_label", "_count")
-    order = Window.partitionBy(label).orderBy(place, key)
-    return few.withColumn("i", F.row_number().over(order)).where(F.col("i") <= n)
+def sample_hash(key: Column, text: Column) -> Column:
+    """By which training rows are chosen: equal rows are one, rows that share a key are not."""
+    return F.xxhash64(key, text)
+
+
+def hash_sample(rows: DataFrame, n: int) -> DataFrame:
+    """label, hash, i (from 1): per label the n smallest distinct hashes of ``rows`` (label, hash), all if
+    there are fewer. Repeated rows are one before the exchange, and no task sends more than n hashes of
+    a label on to be ranked."""
+    order = Window.partitionBy("label").orderBy("hash")
+    return rows.select("label", "hash").distinct().withColumn("i", F.row_number().over(order)).where(F.col("i") <= n)
+
+
+def sampled_texts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """label, i, text: one row of ``texts`` (hash, text) per row of ``chosen``, which is small."""
+    return texts.join(F.broadcast(chosen), "hash").groupBy("label", "i").agg(F.min("text").alias("text")).orderBy("label", "i")
 
 
 def text_window(text: Column, key: Column, most: int) -> Column:

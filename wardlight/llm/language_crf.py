@@ -12,7 +12,7 @@ chunks of a document are chained by these, and all chunks of a batch then go for
 once. That is forward-backward of the whole text, for texts of any length.
 
 The model is fitted on the driver on a bounded sample: per language SAMPLE rows with the smallest
-hashes of their ids; of a longer text, a window of SAMPLE_BYTES chosen by hash. It is 2 MB for four languages.
+hashes of id and text; of a longer text, a window of SAMPLE_BYTES chosen by hash. It is 2 MB for four languages.
 
 Cases: a null text or one without a letter is ``und`` with score 0; a text whose letters are all
 outside the words' bytes can't occur (other scripts are non-ASCII bytes); rows without a language
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.byte_cnn import held_out
-from wardlight.llm.common import hash_sample, mix64, release, slices, split_words, text_bytes, text_window, whole_characters
+from wardlight.llm.common import hash_sample, mix64, release, sample_hash, sampled_texts, slices, split_words, text_bytes, text_window, whole_characters
 
 BUCKETS = 1 << 17
 SAMPLE, SAMPLE_BYTES = 400, 16_384
@@ -223,10 +223,12 @@ class LanguageCrf:
 
 
 def language_sample(docs: DataFrame, per_language: int = SAMPLE, longest: int = SAMPLE_BYTES) -> tuple[list[bytes], list[str]]:
-    """At most ``per_language`` training rows of each language: those with the smallest id hashes."""
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").alias("key"), F.col("lang").alias("label"), text_window(F.col("text"), F.col("doc_id"), longest).alias("text"))
-    rows = hash_sample(rows, "label", "key", per_language).orderBy("label", "i", "text").collect()
+    """``per_language`` training rows of each language, all if there are fewer: those with the smallest
+    hashes of id and text. Texts are only exchanged once they are chosen."""
+    own = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn(
+        "hash", sample_hash(F.col("doc_id"), F.col("text")))
+    chosen = hash_sample(own.select(F.col("lang").alias("label"), "hash"), per_language)
+    rows = sampled_texts(own.select("hash", text_window(F.col("text"), F.col("doc_id"), longest).alias("text")), chosen).collect()
     return [whole_characters(r["text"]) for r in rows], [r["label"] for r in rows]
 
 
