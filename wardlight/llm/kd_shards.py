@@ -45,8 +45,11 @@ def shard_metadata(docs: DataFrame, dimensions: list[str]) -> DataFrame:
         *[(F.log2(F.octet_length(text) + 8) if d == "size" else _scaled(d, kinds[d])).alias(f"d{i}")
           for i, d in enumerate(dimensions)])
     checkpoint_root(docs.sparkSession)
-    tie = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(1 << _TIE_BITS))
-    base = base.withColumn("tie", tie).checkpoint()
+    # ties are broken by what a row holds and, among equal rows, by a number: not by where it is read
+    held = base.columns
+    base = base.groupBy(*held).agg(F.count("*").alias("copies")).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    base = base.withColumn("tie", F.pmod(F.xxhash64(*held, "copy"), F.lit(1 << _TIE_BITS))).drop("copies", "copy").checkpoint()
     ends = base.agg(*[f(f"d{i}").alias(f"{n}{i}") for i in range(len(dimensions))
                       for n, f in (("lo", F.min), ("hi", F.max))]).first()
 
