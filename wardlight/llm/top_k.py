@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 VECTOR_BLOCK = 16384
-QUERY_BLOCK = 512
-DEPTHS = (0.125, 0.5, 1.0)  # parts of a list read before the bounds are compared
+QUERY_BLOCK = 8192         # queries that meet a vector block in one task
+QUERIES_AT_ONCE = 512      # of which so many are held against it together
+DEPTHS = (0.8, 0.9, 0.95, 1.0)  # parts of a list read before the bounds are compared
 
 
 def _packed(rows: DataFrame, block: str) -> DataFrame:
@@ -126,11 +127,13 @@ def top_k(rows: DataFrame, id_column: str, vector_column: str, is_query: Column,
             width = max(c["width"][0].as_py(), q["width"][0].as_py())
             ids, vectors, lists = _unpack(c, width)
             asks, queries, _ = _unpack(q, width)
-            for ask, query, some in zip(asks, queries, aggregate_block(queries, vectors, lists, k, asks=asks, ids=ids)):
-                score = vectors[some] @ query
-                best = np.lexsort((ids[some], -score))[:k]
-                for o, v in zip(out, (np.full(len(best), ask), ids[some][best], score[best])):
-                    o.append(v)
+            for at in range(0, len(asks), QUERIES_AT_ONCE):
+                a, q_ = asks[at:at + QUERIES_AT_ONCE], queries[at:at + QUERIES_AT_ONCE]
+                for ask, query, some in zip(a, q_, aggregate_block(q_, vectors, lists, k, asks=a, ids=ids)):
+                    score = vectors[some] @ query
+                    best = np.lexsort((ids[some], -score))[:k]
+                    for o, v in zip(out, (np.full(len(best), ask), ids[some][best], score[best])):
+                        o.append(v)
         return pa.table({n: pa.array(np.concatenate([np.zeros(0, np.int64), *o]), pa.int64())
                          for n, o in zip(("query_id", "vec_id", "score"), out)})
 
