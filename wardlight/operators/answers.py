@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from wardlight.functions.dates import resolve_date_columns, ts_literal
 from wardlight.functions.text import full_name
-from wardlight.operators.entity_query import STARTS_WITH, department_ids, with_tenant
+from wardlight.operators.entity_query import STARTS_WITH, department_ids, has_tenant, with_tenant
 from wardlight.operators.name_match import containing
 from wardlight.plans.intent import DEFAULT_LIMIT, DEFAULT_TARGET
 from wardlight.sources.mapping import EntityMapping
@@ -102,7 +102,7 @@ def _predicates(questions: DataFrame, t: _Target, as_of: dt.datetime, unknown_da
     return questions.where(F.col("target") == t.name).select(
         "question_id", "target", "operation", (F.col("operation") == "aggregate").alias("counted"), whole.alias("limit"),
         F.when(unknown, F.concat(F.lit(f"unknown status word for {t.name}: "), F.col("status"))).alias("error"),
-        F.array_join(F.array_compact(F.array(*[F.when(_given(f), F.lit(f)) for f in t.ignored])), ",").alias("ignored_filters"),
+        F.array_join(F.array_compact(F.array(*[F.when(_given(f) & (start.isNotNull() if f == "date" else F.lit(True)), F.lit(f)) for f in t.ignored])), ",").alias("ignored_filters"),
         F.struct(F.col("tenant_id").cast("string").alias("tenant"), of("doctorName", F.lower("doctorName")).alias("doctor"),
                  of("patientName", F.when(prefix, rest).otherwise(name)).alias("patient"),
                  of("patientName", prefix, "boolean").alias("prefix"), status.alias("status"),
@@ -223,7 +223,7 @@ def answer_questions(tables: Mapping[str, DataFrame], mappings: dict[str, Entity
     """
     ask = questions.withColumns({
         "target": F.when(_given("target"), F.col("target")).otherwise(DEFAULT_TARGET), "limit": F.col("limit").cast("double")})
-    targets = [n for n in mappings if n in tables and mappings[n].physical("id")]
+    targets = [n for n in mappings if n in tables and mappings[n].physical("id") and has_tenant(tables, mappings, n)]
     needles = ask.select(F.lower("doctorName").alias("needle")).where("needle <> ''")
     doctors = _names(tables, mappings, "doctors", needles, "d")
     name = F.lower("patientName")

@@ -3,14 +3,11 @@
 Each request names a patient and a doctor by a fragment; the reference picks the first row whose
 first *or* last name contains the fragment (case-insensitive) within the request's tenant.
 
-A ``contains`` join condition would plan as a nested-loop join. Instead we build an exact
-*substring index*: every name emits its substrings of exactly the lengths that occur among the
-needles (the list of distinct lengths is tiny: at most the longest needle), the substrings are
-semi-joined against the distinct needles right after generation (so only matching substrings are
-shuffled), and ``min(id)`` per (tenant, substring) is a partial aggregate. Requests then equi-join
-that index on (tenant, needle): no pairs, no nested loop, and a hot needle shared by many
-requests is just a skewed equi-join key that AQE splits. A fixed-size hash prefilter (a broadcast
-of at most ``PREFILTER_BUCKETS`` bucket ids) drops non-matching substrings before the shuffle.
+A ``contains`` join condition would plan as a nested-loop join. Instead the needles find the names by
+their rarest trigram (``name_match``), and the smallest id per (tenant, needle) is a partial aggregate.
+Requests then equi-join that index on (tenant, needle): no pairs of requests and people, and a hot
+needle shared by many requests is just a skewed equi-join key that AQE splits. Every request gets one
+row of one resolution; accepted and rejected bookings are two filters of it.
 """
 
 from __future__ import annotations
@@ -22,10 +19,8 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.dates import ts_literal
 from wardlight.functions.text import js_trim
-
-# Size of the needle-hash prefilter: the broadcast bucket set has at most this many rows, a bound
-# fixed by the parameter and independent of the data.
-PREFILTER_BUCKETS = 1 << 20
+from wardlight.operators.name_match import containing
+from wardlight.session import checkpoint_root
 
 REASON_PATIENT = "patient_not_found"
 REASON_DOCTOR = "doctor_not_found"
@@ -37,75 +32,33 @@ def _norm_needle(c: Column) -> Column:
     return F.when(c.isNotNull() & (c != ""), F.lower(c))
 
 
-def substring_index(names: DataFrame, needles: DataFrame, name_cols: list[str],
-                    id_col: str = "id", tenant_col: str = "tenant_id",
-                    lengths: list[int] | None = None) -> DataFrame:
-    """``(tenant_id, needle, match_id)``: smallest id whose any ``name_col`` contains ``needle``.
-
-    ``needles`` has ``(tenant_id, needle)`` with lower-cased needles. ``lengths`` (the distinct
-    needle lengths, at most the longest needle) is computed with one small aggregate when absent.
-    """
-    nd = needles.select(F.col(tenant_col).alias("_nt"), F.col("needle").alias("_nn")).distinct()
-    if lengths is None:
-        lengths = [r[0] for r in nd.select(F.length("_nn")).distinct().collect()]
-    lengths = sorted({int(n) for n in lengths if n is not None and n > 0})
-    # only lengths that a lower-cased name can contain (one small aggregate): a short projection
-    longest = names.agg(*[F.max(F.length(F.lower(F.col(c)))).alias(f"m{i}") for i, c in enumerate(name_cols)]).first()
-    lengths = [n for n in lengths if n <= max((x or 0 for x in longest), default=0)]
-    if not lengths:
-        return nd.select(F.col("_nt").alias(tenant_col), F.col("_nn").alias("needle"),
-                         F.lit(None).cast("bigint").alias("match_id")).where(F.lit(False))
-    def grams(low: Column, n: int) -> Column:
-        return F.when(F.length(low) >= n,
-                      F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda p: low.substr(p, F.lit(n)))
-                      ).otherwise(F.array().cast("array<string>"))
-
-    arrays = [grams(F.lower(F.col(c)), n) for c in name_cols for n in lengths]
-    subs = names.select(F.col(tenant_col).cast("string").alias("_st"), F.col(id_col).alias("_id"),
-                        F.explode(F.array_distinct(F.flatten(F.array(*arrays)))).alias("_sub"))
-    # map-side prefilter: substrings whose (tenant, text) hash bucket holds no needle are dropped
-    # before any shuffle; the bucket set is bounded by PREFILTER_BUCKETS rows, so broadcasting it
-    # is safe at any scale (one-hash Bloom filter; the exact join below removes false positives)
-    buckets = nd.select(F.pmod(F.xxhash64("_nt", "_nn"), F.lit(PREFILTER_BUCKETS)).alias("_h")).distinct()
-    subs = (subs.withColumn("_h", F.pmod(F.xxhash64("_st", "_sub"), F.lit(PREFILTER_BUCKETS)))
-            .join(F.broadcast(buckets), "_h", "left_semi").drop("_h"))
-    # smallest id per substring first (combined map-side, so a substring that all names share is one
-    # row per task), then the exact join with the needles on the same keys
-    least = subs.groupBy("_st", "_sub").agg(F.min("_id").alias("match_id"))
-    hits = least.join(nd, (F.col("_st") == F.col("_nt")) & (F.col("_sub") == F.col("_nn")), "left_semi")
-    return (hits.select(F.col("_st").alias(tenant_col), F.col("_sub").alias("needle"), "match_id"))
+def first_match(needles: DataFrame, people: DataFrame, name_cols: tuple[str, ...] = ("first_name", "last_name"),
+                id_col: str = "id", tenant_col: str = "tenant_id") -> DataFrame:
+    """``(tenant, needle, match_id)``: the smallest id of a tenant any of whose names contains the
+    lower-cased ``needle`` (J5, T4). Names that people share are one before they are compared."""
+    names = None
+    for c in name_cols:
+        own = people.select(F.col(tenant_col).cast("string").alias("scope"), F.lower(F.col(c)).alias("name"), F.col(id_col).alias("id"))
+        names = own if names is None else names.unionByName(own)
+    names = names.where("name is not null").groupBy("scope", "name").agg(F.min("id").alias("id"))
+    return (containing(needles, names).groupBy(F.col("scope").alias("tenant"), "needle").agg(F.min("id").alias("match_id")))
 
 
-def resolve_bookings(requests: DataFrame, patients: DataFrame, doctors: DataFrame,
-                     as_of: dt.datetime, *, zero_id_is_missing: bool = True
-                     ) -> tuple[DataFrame, DataFrame]:
-    """``requests(request_id, tenant_id, patient_name, doctor_name, date)`` →
-    ``(accepted, rejected)``.
-
-    accepted: ``request_id, tenant_id, patient_id, doctor_id, scheduled_at, status`` (status 0,
-    time = the request date at midnight, else ``as_of`` + 1 day). rejected: ``request_id,
-    tenant_id, reason``. ``zero_id_is_missing`` keeps the reference's truthiness test (an id of 0
-    counts as not found).
-    """
+def resolution(requests: DataFrame, patients: DataFrame, doctors: DataFrame, as_of: dt.datetime, *,
+               zero_id_is_missing: bool = True) -> DataFrame:
+    """``requests(request_id, tenant_id, patient_name, doctor_name, date)`` → one row each: request_id,
+    tenant_id, patient_id, doctor_id, scheduled_at, and the reason of a rejection, null if accepted."""
     r = requests.select("request_id", F.col("tenant_id").cast("string").alias("tenant_id"),
                         _norm_needle(F.col("patient_name")).alias("pn"),
                         _norm_needle(F.col("doctor_name")).alias("dn"),
                         js_trim(F.col("date")).alias("date"))
-    # both needle-length sets in one small aggregate (each bounded by the longest needle)
-    lens = r.agg(F.collect_set(F.length("pn")).alias("p"), F.collect_set(F.length("dn")).alias("d")).first()
-    pidx = substring_index(patients, r.select("tenant_id", F.col("pn").alias("needle")).where("needle IS NOT NULL"),
-                           ["first_name", "last_name"], lengths=list(lens["p"]))
-    didx = substring_index(doctors, r.select("tenant_id", F.col("dn").alias("needle")).where("needle IS NOT NULL"),
-                           ["first_name", "last_name"], lengths=list(lens["d"]))
     # a missing needle gets a key of its own that no name has, so such requests share no partition
     own = F.concat(F.lit("\x00"), F.col("request_id").cast("string"))
-    r = r.withColumn("pj", F.coalesce("pn", own)).withColumn("dj", F.coalesce("dn", own))
-    j = (r.join(pidx.select(F.col("tenant_id").alias("_pt"), F.col("needle").alias("_pn"),
-                            F.col("match_id").alias("patient_id")),
-                (F.col("tenant_id") == F.col("_pt")) & (F.col("pj") == F.col("_pn")), "left")
-         .join(didx.select(F.col("tenant_id").alias("_dt"), F.col("needle").alias("_dn"),
-                           F.col("match_id").alias("doctor_id")),
-               (F.col("tenant_id") == F.col("_dt")) & (F.col("dj") == F.col("_dn")), "left"))
+    j = r
+    for needle, people, found in (("pn", patients, "patient_id"), ("dn", doctors, "doctor_id")):
+        index = first_match(r.select(F.col("tenant_id").alias("scope"), F.col(needle).alias("needle")), people)
+        j = j.join(index.select(F.col("tenant").alias("_t"), F.col("needle").alias("_n"), F.col("match_id").alias(found)),
+                   (F.col("tenant_id") == F.col("_t")) & (F.coalesce(needle, own) == F.col("_n")), "left").drop("_t", "_n")
     p_ok = F.col("patient_id").isNotNull()
     d_ok = F.col("doctor_id").isNotNull()
     if zero_id_is_missing:
@@ -114,20 +67,43 @@ def resolve_bookings(requests: DataFrame, patients: DataFrame, doctors: DataFram
     has_date = F.col("date").isNotNull() & (F.col("date") != "")
     parsed = F.try_to_timestamp(F.col("date"), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
     when_ts = F.when(has_date, parsed).otherwise(ts_literal(as_of + dt.timedelta(days=1)))
-    date_ok = ~has_date | parsed.isNotNull()
-    j = j.select("request_id", "tenant_id", "patient_id", "doctor_id",
-                 p_ok.alias("_pok"), d_ok.alias("_dok"), date_ok.alias("_tok"), when_ts.alias("scheduled_at"))
-    accepted = j.where(F.col("_pok") & F.col("_dok") & F.col("_tok")).select(
-        "request_id", "tenant_id", "patient_id", "doctor_id", "scheduled_at", F.lit(0).alias("status"))
-    rejected = j.where(~(F.col("_pok") & F.col("_dok") & F.col("_tok"))).select(
-        "request_id", "tenant_id",
-        F.when(~F.col("_pok") & ~F.col("_dok"), F.lit(REASON_BOTH))
-         .when(~F.col("_pok"), F.lit(REASON_PATIENT))
-         .when(~F.col("_dok"), F.lit(REASON_DOCTOR))
-         .otherwise(F.lit(REASON_DATE)).alias("reason"))
-    return accepted, rejected
+    reason = (F.when(~p_ok & ~d_ok, F.lit(REASON_BOTH)).when(~p_ok, F.lit(REASON_PATIENT)).when(~d_ok, F.lit(REASON_DOCTOR))
+              .when(has_date & parsed.isNull(), F.lit(REASON_DATE)))
+    return j.select("request_id", "tenant_id", "patient_id", "doctor_id", when_ts.alias("scheduled_at"), reason.alias("reason"))
+
+
+def _accepted(resolved: DataFrame) -> DataFrame:
+    return resolved.where("reason is null").drop("reason").withColumn("status", F.lit(0))
+
+
+def _rejected(resolved: DataFrame) -> DataFrame:
+    return resolved.where("reason is not null").select("request_id", "tenant_id", "reason")
+
+
+def resolve_bookings(requests: DataFrame, patients: DataFrame, doctors: DataFrame,
+                     as_of: dt.datetime, *, zero_id_is_missing: bool = True
+                     ) -> tuple[DataFrame, DataFrame]:
+    """``requests(request_id, tenant_id, patient_name, doctor_name, date)`` →
+    ``(accepted, rejected)``.
+
+    accepted: ``request_id, tenant_id, patient_id, doctor_id, scheduled_at, status`` (status 0,
+    time = the request date at midnight, else ``as_of`` + 1 day). rejected: ``request_id,
+    tenant_id, reason``. ``zero_id_is_missing`` keeps the reference's truthiness test (an id of 0
+    counts as not found).
+    """
+    resolved = resolution(requests, patients, doctors, as_of, zero_id_is_missing=zero_id_is_missing)
+    return _accepted(resolved), _rejected(resolved)
 
 
 def append_appointments(accepted: DataFrame, path: str) -> None:
-    """Accepted bookings appended to the appointments sink."""
-    accepted.write.mode("append").parquet(path)
+    """Accepted bookings appended to the appointments sink; the files follow the bytes, not the
+    tasks (AQE joins small partitions and splits large ones)."""
+    accepted.hint("rebalance").write.mode("append").parquet(path)
+
+
+def book(requests: DataFrame, patients: DataFrame, doctors: DataFrame, as_of: dt.datetime, path: str, **kw) -> DataFrame:
+    """Appends the accepted bookings to ``path`` and returns the rejected ones, from one resolution."""
+    checkpoint_root(requests.sparkSession)
+    resolved = resolution(requests, patients, doctors, as_of, **kw).checkpoint()
+    append_appointments(_accepted(resolved), path)
+    return _rejected(resolved)

@@ -59,16 +59,23 @@ def tenant_parent(tables: Mapping[str, DataFrame], mappings: dict[str, EntityMap
     key alias that leads to a tenant."""
     m = mappings[name]
     for alias, parent in [m.tenant_via] if m.tenant_via else PARENT_KEYS:
-        if m.physical(alias) and parent in mappings and parent in tables and parent != name:
-            try:
-                if not mappings[parent].tenant_column:
-                    tenant_parent(tables, mappings, parent)
-            except ValueError:
-                continue
+        if m.physical(alias) and parent != name and has_tenant(tables, mappings, parent):
             return m.physical(alias), parent
     raise ValueError(f"entity {name} has no tenant column, and no mapped parent that has one")
 
 
+def has_tenant(tables: Mapping[str, DataFrame], mappings: dict[str, EntityMapping], name: str) -> bool:
+    """Whether the entity exists and has a tenant, of its own or through parents."""
+    if name not in mappings or name not in tables:
+        return False
+    if mappings[name].tenant_column:
+        return True
+    try:
+        return bool(tenant_parent(tables, mappings, name))
+    except ValueError:
+        return False
+
+
 def of_tenant(tables: Mapping[str, DataFrame], mappings: dict[str, EntityMapping], name: str, tenant: str | int) -> DataFrame:
     """The entity's rows of one tenant: by its column, which the scan prunes on, or as a semi-join with
     the parent's rows of the tenant."""

@@ -10,12 +10,13 @@ and the SQL + vector hybrid envelope (Q2/J6).
   points just gets more blocks); each (tenant, query block, corpus block) cogroup is one matrix
   product in numpy that emits only its local top-k per query; a final ``row_number`` (with a
   partial ``WindowGroupLimit`` before the shuffle) keeps the global top-k from ≤ k × blocks rows.
+* Few queries: ``vector_topk_queries`` sends the queries to the points, block by block.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlight.operators.ingest import Embedder, point_store
+from wardlight.session import scratch_path
 
 DISTANCE = "Cosine"
 SCORE_DIGITS = 6
@@ -184,6 +186,92 @@ def vector_topk_batch(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
                          F.round("score", SCORE_DIGITS).alias("score"))
 
 
+QUERY_BLOCK_BYTES = 32 << 20
+
+
+def _running_topk(block: dict, k: int, exclude_self: bool):
+    """``block``: (tenant, length) -> query ids and their vectors as unit rows. Each task keeps the k best
+    points of every query so far, and gives them when its points are through."""
+    def best(ids: np.ndarray, scores: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by_id = np.unique(points, return_inverse=True)[1] if points.dtype == object else points
+        order = np.lexsort((by_id, -scores, ids))
+        ids, scores, points = ids[order], scores[order], points[order]
+        first = np.r_[0, np.flatnonzero(np.diff(ids)) + 1] if len(ids) else np.zeros(0, np.int64)
+        keep = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)])) < k
+        return ids[keep], scores[keep], points[keep]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+        for b in batches:
+            ok = b["embedding"].map(lambda v: v is not None and len(v) > 0 and bool(np.isfinite(np.asarray(v, float)).all()))
+            b = b[ok.to_numpy(bool)]
+            for group, points in b.groupby([b["tenant_id"], b["embedding"].map(len)], sort=False):
+                if group not in block:
+                    continue
+                qids, Q = block[group]
+                C, ids = np.stack(points["embedding"].to_numpy()).astype(np.float64), points["id"].to_numpy()
+                norm = np.linalg.norm(C, axis=1)
+                C, ids = C[norm > 0] / norm[norm > 0, None], ids[norm > 0]
+                for at in range(0, len(Q) if len(C) else 0, 1024):
+                    S = Q[at:at + 1024] @ C.T
+                    if exclude_self:
+                        S[qids[at:at + 1024, None] == ids[None, :]] = -np.inf
+                    most = min(k, S.shape[1])
+                    bar = np.partition(S, S.shape[1] - most, axis=1)[:, S.shape[1] - most]
+                    old = kept.get((group, at))
+                    if old is not None:                   # only what the k best so far may yield to
+                        full = np.bincount(old[0], minlength=len(S)) >= k
+                        last = np.full(len(S), np.inf)
+                        np.minimum.at(last, old[0], old[1])
+                        bar = np.where(full, np.maximum(bar, last), bar)
+                    rows, cols = np.nonzero((S >= bar[:, None]) & np.isfinite(S))
+                    found = (rows, S[rows, cols], ids[cols])
+                    kept[group, at] = best(*(found if old is None else map(np.concatenate, zip(old, found))))
+        for (group, at), (rows, scores, points) in kept.items():
+            yield pd.DataFrame({"query_id": block[group][0][at + rows], "id": points, "score": scores})
+    return run
+
+
+def vector_topk_queries(queries: DataFrame, corpus: DataFrame, k: int = 5, *, exclude_self: bool = False,
+                        block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+    """V1 for few queries against many points: as ``vector_topk_batch``, but only the queries travel.
+
+    They are read in blocks of ``block_bytes`` of vectors, each sent with the tasks of one pass over the
+    points, which stay where they are: what is exchanged is at most k rows per query and task. A query
+    id should occur once; queries and points with vectors that can't be scored have no hits.
+    """
+    spark = corpus.sparkSession
+    queries = queries.select("query_id", F.col("tenant_id").cast("string").alias("tenant_id"), "q_embedding").where(_usable(F.col("q_embedding")))
+    corpus = corpus.select("id", F.col("tenant_id").cast("string").alias("tenant_id"), "embedding")
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                           T.StructField("id", corpus.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
+    path = scratch_path(spark, "topk")
+    spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])).write.parquet(path)
+
+    def search(block: dict) -> None:
+        units = {}
+        for group, found in block.items():
+            Q = np.asarray([v for _, v in found], np.float64)
+            norm = np.linalg.norm(Q, axis=1)
+            units[group] = (np.array([q for q, _ in found], dtype=object if isinstance(found[0][0], str) else None)[norm > 0],
+                            Q[norm > 0] / norm[norm > 0, None])
+        local = corpus.mapInPandas(_running_topk(units, k, exclude_self), schema)
+        local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).write.mode("append").parquet(path)
+
+    block: dict = {}
+    size = 0
+    for row in queries.toLocalIterator():
+        block.setdefault((row["tenant_id"], len(row["q_embedding"])), []).append((row["query_id"], row["q_embedding"]))
+        size += 8 * len(row["q_embedding"])
+        if size >= block_bytes:
+            search(block)
+            block, size = {}, 0
+    if block:
+        search(block)
+    return spark.read.parquet(path).select("query_id", "rank", "id", F.round("score", SCORE_DIGITS).alias("score"))
+
+
 # ---------------------------------------------------------------------------------------------
 # S11 / S12
 # ---------------------------------------------------------------------------------------------

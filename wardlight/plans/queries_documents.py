@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from wardlight.operators.documents import documents_for_selection, first_source, prescription_document_lines
+from wardlight.operators.documents import documents_for_selection, first_source, prescription_document_lines, write_documents
 from wardlight.operators.entity_query import entity_query
 from wardlight.plans.intent import Intent
 from wardlight.plans.registry import AS_OF
 from wardlight.sources.tables import DRIVER_MAPPINGS
 from wardlight.plans.oracle_views import with_views
 from wardlight.plans.registry import register
-from wardlight.sources.tables import HEADER_CANDIDATES, ITEM_CANDIDATES, Catalog
+from wardlight.session import scratch_path
+from wardlight.sources.tables import HEADER_CANDIDATES, ITEM_CANDIDATES, Catalog, read_by_tenant
 
 _ITEM_COLS = ("prescription_id, source_table, line_no, part_id, supplier_id, price, medicine_name, "
               "dosage, duration, time, comment")
@@ -86,6 +87,14 @@ def q_prescription_documents(spark, sf_dir):
                                        order_cols=("line_no", "part_id", "supplier_id", "price"))
 
 
+@register("documents_sink", _DOC_SQL)
+def q_documents_sink(spark, sf_dir):
+    """The lines of all documents, written to a folder per tenant and read back."""
+    path = scratch_path(spark, "documents")
+    write_documents(q_prescription_documents(spark, sf_dir), path)
+    return read_by_tenant(spark, path)
+
+
 _EXPORT_SEL = """sel AS (SELECT r.id FROM prescriptions r JOIN patients p ON p.id = r.patient_id
         WHERE r.tenant_id = '0' AND contains(lower(p.first_name || ' ' || p.last_name), 'customer 00000010')
         ORDER BY r.id LIMIT 100),"""

@@ -231,6 +231,21 @@ def q_ingest_job(spark, sf_dir):
     return point_store(spark, _ingested(spark, sf_dir) + "/store").read().drop("embedding")
 
 
+@register("ingest_counters", with_views("appointments") + ", " + _BATCH_SQL + """,
+marks AS (SELECT tenant_id, max(updated_at) AS hw FROM appointments GROUP BY tenant_id),
+changed AS (SELECT DISTINCT b.id FROM batch b JOIN marks USING (tenant_id) WHERE b.updated_at > hw)
+SELECT 1 AS run, count(*) AS processed, CAST(0 AS BIGINT) AS failed FROM appointments WHERE updated_at > TIMESTAMP '1970-01-01'
+UNION ALL SELECT 2, count(*), 0 FROM changed""")
+def q_ingest_counters(spark, sf_dir):
+    """What two runs of the job count while they embed (A4)."""
+    cat, root, m = Catalog(spark, sf_dir), scratch_path(spark, "counters"), DRIVER_MAPPINGS["appointments"]
+    rows = []
+    for n, source in enumerate((cat.appointments(), cat.appointments().unionByName(_changed_batch(cat))), 1):
+        out = run_incremental_ingest(spark, {"appointments": (source, m)}, root + "/store", root + "/state", hashing_embedder(8))
+        rows.append((n, out["processed"], out["failed"]))
+    return spark.createDataFrame(rows, "run int, processed long, failed long")
+
+
 @register("ingest_then_search")
 def q_ingest_then_search(spark, sf_dir):
     """No SQL: the vectors come from the embedder (tests compare with a full scoring)."""

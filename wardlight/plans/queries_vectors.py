@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.text import full_name
 from wardlight.operators.entity_query import entity_query
-from wardlight.operators.ingest import hashing_embedder
+from wardlight.operators.ingest import hashing_embedder, point_store
+from wardlight.operators.passages import build_passages
 from wardlight.operators.vectors import collection_stats, hybrid_envelope, sample_points, \
-    vector_search, vector_topk_batch
+    vector_search, vector_topk_batch, vector_topk_queries, write_collection_info
 from wardlight.plans.intent import Intent
 from wardlight.plans.oracle_views import with_views
+from wardlight.plans.queries_ingest import passages_sql
 from wardlight.plans.registry import AS_OF, register
+from wardlight.session import scratch_path
 from wardlight.sources.tables import DRIVER_MAPPINGS, Catalog
 
 _COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -47,6 +50,46 @@ def q_vector_topk_batch(spark, sf_dir):
     return vector_topk_batch(queries, v, k=5, exclude_self=True, block_rows=128)
 
 
+@register("vector_topk_hundredth", with_views("vectors") +
+          f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM (
+                SELECT q.id AS query_id, c.id, {_COS.format(a='q.embedding', b='c.embedding')} AS score,
+                       row_number() OVER (PARTITION BY q.id ORDER BY
+                           {_COS.format(a='q.embedding', b='c.embedding')} DESC, c.id) AS rank
+                FROM vectors q JOIN vectors c ON q.tenant_id = c.tenant_id AND q.id <> c.id WHERE q.id % 100 = 0)
+              WHERE rank <= 10""")
+def q_vector_topk_hundredth(spark, sf_dir):
+    """The points whose id is divisible by 100 against all points of their tenant."""
+    v = Catalog(spark, sf_dir).vectors()
+    queries = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "tenant_id", F.col("embedding").alias("q_embedding"))
+    return vector_topk_queries(queries, v, k=10, exclude_self=True)
+
+
+@register("hits_with_payload", with_views("appointments") + ", points AS (" +
+          passages_sql("appointments", "appointments", DRIVER_MAPPINGS["appointments"]) +
+          f"""), q AS (SELECT embedding AS wanted FROM embeddings WHERE vec_id = 0)
+          SELECT p.*, round({_COS.format(a='e.embedding', b='wanted')}, 6) AS score
+          FROM points p JOIN embeddings e ON p.record_id = CAST(e.vec_id AS VARCHAR), q WHERE tenant_id = '1'
+          ORDER BY {_COS.format(a='e.embedding', b='wanted')} DESC, p.id LIMIT 5""")
+def q_hits_with_payload(spark, sf_dir):
+    """Passages stored with the vector of the same number; the hits carry the whole payload."""
+    cat = Catalog(spark, sf_dir)
+    vectors = cat.vectors().select(F.col("id").cast("string").alias("record"), "embedding")
+    points = build_passages(cat.appointments(), DRIVER_MAPPINGS["appointments"]).join(vectors, F.col("record_id") == F.col("record")).drop("record")
+    store = point_store(spark, scratch_path(spark, "payload"))
+    store.merge(points)
+    return vector_search(store.read(), _lookup_vector(spark, sf_dir, 0)[1], "1", k=5)
+
+
+@register("collection_info", with_views("vectors") +
+          """SELECT tenant_id, count(*) AS points, min(len(embedding)) AS dim_min,
+                    max(len(embedding)) AS dim_max, 'Cosine' AS distance FROM vectors GROUP BY tenant_id""")
+def q_collection_info(spark, sf_dir):
+    """The collection's statistics written as JSON lines and read back."""
+    path = scratch_path(spark, "info")
+    write_collection_info(collection_stats(Catalog(spark, sf_dir).vectors()), path)
+    return spark.read.schema("tenant_id string, points long, dim_min long, dim_max long, distance string").json(path)
+
+
 @register("vector_stats", with_views("vectors") +
           """SELECT tenant_id, count(*) AS points, min(len(embedding)) AS dim_min,
                     max(len(embedding)) AS dim_max, 'Cosine' AS distance FROM vectors GROUP BY tenant_id""")
