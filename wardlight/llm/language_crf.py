@@ -34,6 +34,7 @@ from wardlight.llm.common import hash_sample, mix64, release, sample_hash, sampl
 
 BUCKETS = 1 << 17
 SAMPLE, SAMPLE_BYTES = 400, 16_384
+FIT_BYTES = 1 << 18        # text whose features are made at once while fitting
 CHUNK = 64                 # words of a chunk
 SEQUENCE, SPAN = 128, 24   # words of a training sequence, mean words between switches
 EPOCHS, BATCH, RATE = 3, 128, 0.3
@@ -155,10 +156,20 @@ class LanguageCrf:
             return self
         offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         buf = np.frombuffer(b"".join(texts), np.uint8)
-        starts, ends, counts = split_words(buf, offs, _APART)
-        if not len(starts):
+        found, bytes_so_far = [], 0
+        for i, j in slices(offs, FIT_BYTES):              # what features are made of takes 100 times their text
+            part = buf[offs[i]:offs[j]]
+            starts, ends, counts = split_words(part, offs[i:j + 1] - offs[i], _APART)
+            if len(starts):
+                grams, head, words = word_features(part, starts, ends)
+                found.append((grams.astype(np.int32), head + bytes_so_far, words.astype(np.int32), counts))
+                bytes_so_far += len(grams)
+            else:
+                found.append((np.zeros((0, 2), np.int32), np.zeros(0, np.int64), np.zeros((0, 5), np.int32), counts))
+        grams, head, words, counts = (np.concatenate([f[k] for f in found]) for k in range(4))
+        del found
+        if not len(head):
             return self
-        grams, head, words = word_features(buf, starts, ends)
         size = np.diff(np.append(head, len(grams)))
         word_label = np.repeat(labels, counts)
         rng, seen = np.random.default_rng(seed), np.full(self.weight.shape, 1e-3)
@@ -235,7 +246,9 @@ def language_sample(docs: DataFrame, per_language: int = SAMPLE, longest: int =
 def train(docs: DataFrame) -> LanguageCrf:
     texts, labels = language_sample(docs)
     languages = sorted(set(labels))
-    return LanguageCrf(languages).fit(texts, np.array([languages.index(x) for x in labels], np.int64))
+    model = LanguageCrf(languages).fit(texts, np.array([languages.index(x) for x in labels], np.int64))
+    release()
+    return model
 
 
 def label_documents(docs: DataFrame, model: LanguageCrf, carried: list[str], with_text: bool = False) -> DataFrame:
