@@ -18,7 +18,7 @@ from wardlight.streaming.jobs import rate_limit_stream, run_to_table, session_hi
 
 SF = "/root/testdata/sf0.001"
 
-# Question corpora of the reference (sample questions, example payloads, smoke tests).
+# Sample questions that the labels must be equal on (parity inputs).
 QUESTIONS = {
     "How many doctors are available today?": ("aggregate", "doctors"),
     "Total number of patients registered last week.": ("aggregate", "patients"),

@@ -128,13 +128,12 @@ def _named(signatures: DataFrame, t: _Target, doctors: DataFrame | None, patient
     """(sig, id) of the signatures with a name: ids of the name first, then the rows with them."""
     rows = t.rows
     out = []
-    dept = None
 
     def checked(found: DataFrame) -> DataFrame:
         if known is not None:
             found = found.join(known, (F.col("want.department") == F.col("asked")) & (F.col("department") == F.col("known")), "left")
             return found.where(_fits(F.col("known").isNotNull())).drop("asked", "known")
-        return found.where(_fits(dept))
+        return found.where(_fits())
 
     same = F.col("want.tenant") == F.col("tenant")
     if t.patient:
