@@ -79,9 +79,9 @@ flagged AS (SELECT *,
       WHEN 'prescriptions' THEN array_to_string(list_filter([CASE WHEN department IS NOT NULL THEN 'department' END,
           CASE WHEN least IS NOT NULL THEN 'minExperience' END], lambda x: x IS NOT NULL), ',')
       WHEN 'patients' THEN array_to_string(list_filter([CASE WHEN dn IS NOT NULL THEN 'doctorName' END, CASE WHEN status IS NOT NULL THEN 'status' END,
-          CASE WHEN "date" IS NOT NULL THEN 'date' END, CASE WHEN least IS NOT NULL THEN 'minExperience' END], lambda x: x IS NOT NULL), ',')
+          CASE WHEN d0 IS NOT NULL THEN 'date' END, CASE WHEN least IS NOT NULL THEN 'minExperience' END], lambda x: x IS NOT NULL), ',')
       WHEN 'doctors' THEN array_to_string(list_filter([CASE WHEN pn IS NOT NULL THEN 'patientName' END, CASE WHEN status IS NOT NULL THEN 'status' END,
-          CASE WHEN "date" IS NOT NULL THEN 'date' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS ignored_filters FROM q)
+          CASE WHEN d0 IS NOT NULL THEN 'date' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS ignored_filters FROM q)
 """
 
 
