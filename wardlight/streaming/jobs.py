@@ -35,11 +35,11 @@ from wardlight.sources.mapping import EntityMapping
 
 def table_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file stream over ``<folder>/<table>.parquet`` (or a folder of such files)."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    """A file stream over ``<folder>/<table>*.parquet``: files, or folders of part files of any name."""
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+    return r.parquet(f"{folder.rstrip('/')}/{table}*.parquet")
 
 
 # ---------------------------------------------------------------------------------------------
