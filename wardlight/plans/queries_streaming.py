@@ -3,8 +3,6 @@ the driver table file and reads its sink back; the oracle is the batch SQL of th
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,9 +17,12 @@ from wardlight.streaming.jobs import drain, ingest_stream, rate_limit_stream, ru
     session_history_stream, table_stream
 
 
-def _by_file(spark, schema, folder):
-    """A stream over the files below ``folder``, one a micro-batch, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+def _in_parts(spark, parts, folder, run):
+    """Each part written below ``folder``, in as many files as it has, and what is new given to ``run`` as
+    a stream: with one checkpoint and ``availableNow`` every part is a micro-batch of its own."""
+    for n, rows in enumerate(parts):
+        rows.write.parquet(f"{folder}/{n}")
+        run(spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder))
 
 
 @register("rate_limit_stream", ORACLE["rate_limit"])
@@ -50,15 +51,12 @@ _PART = ("CASE WHEN event_id % 5 = 0 THEN 2 WHEN {day} % 2 = 1 THEN 0 ELSE 1 END
             FROM r JOIN o ON o.key = r.key AND o.rn = r.rn + 1)))
   SELECT event_id, key, ts, accepted FROM r""")
 def q_rate_limit_stream_late(spark, sf_dir):
-    """The events in three files, one a micro-batch: odd days, even days, then every fifth event."""
+    """The events in three parts, one a micro-batch: odd days, even days, then every fifth event."""
     cat, out = Catalog(spark, sf_dir), scratch_path(spark, "rate-limit-late")
     events = cat.raw("events")
-    for n in range(3):
-        events.where(F.expr(_PART.format(day="day(ts)")) == n).coalesce(1).write.parquet(f"{out}/events/{n}")
-        time.sleep(1.1)                            # file streams go by modification time, in whole seconds
-    src = _by_file(spark, events.schema, out + "/events")
-    run_to_table(rate_limit_stream(Catalog.bind_requests(src), queries_log.DAY_US, _LATE_MAX, lateness_us=_LATE_DAYS * queries_log.DAY_US),
-                 out + "/data", out + "/_checkpoint")
+    _in_parts(spark, [events.where(F.expr(_PART.format(day="day(ts)")) == n) for n in range(3)], out + "/events", lambda src: run_to_table(
+        rate_limit_stream(Catalog.bind_requests(src), queries_log.DAY_US, _LATE_MAX, lateness_us=_LATE_DAYS * queries_log.DAY_US),
+        out + "/data", out + "/_checkpoint"))
     return spark.read.parquet(out + "/data")
 
 
@@ -89,12 +87,9 @@ def q_ingest_stream(spark, sf_dir):
 
 @register("ingest_stream_late", NEWEST_OF_ALL_SQL)
 def q_ingest_stream_late(spark, sf_dir):
-    """Two files, one a micro-batch: the changed appointments arrive before the rows they change."""
+    """Two parts, one a micro-batch: the changed appointments arrive before the rows they change."""
     cat, m = Catalog(spark, sf_dir), DRIVER_MAPPINGS["appointments"]
     out = scratch_path(spark, "ingest-late")
-    for n, rows in enumerate((_changed_batch(cat), cat.appointments())):
-        rows.coalesce(1).write.parquet(f"{out}/rows/{n}")
-        time.sleep(1.1)                            # file streams go by modification time, in whole seconds
-    src = _by_file(spark, cat.appointments().schema, out + "/rows")
-    drain(ingest_stream(src, m, out + "/store", out + "/_checkpoint"))
+    _in_parts(spark, (_changed_batch(cat), cat.appointments()), out + "/rows",
+              lambda src: drain(ingest_stream(src, m, out + "/store", out + "/_checkpoint")))
     return point_store(spark, out + "/store").read()
