@@ -6,8 +6,8 @@ and the SQL + vector hybrid envelope (Q2/J6).
   remain available as ``method="sql"``); ``orderBy(score).limit(k)`` plans as
   ``TakeOrderedAndProject`` (k rows per partition, then a k × partitions merge).
 * Batch: exact all-vs-all within a tenant without ever materialising pairs as rows. Queries and
-  corpus are cut into hash blocks sized from per-tenant counts (so a tenant holding a third of all
-  points just gets more blocks); each (tenant, query block, corpus block) cogroup is one matrix
+  corpus are cut into hash blocks, a grid of the same few for every larger tenant, so that the copies
+  sent grow with the points, and more only where a block would not fit its bytes; each (tenant, query block, corpus block) cogroup is one matrix
   product in numpy that emits only its local top-k per query; a final ``row_number`` (with a
   partial ``WindowGroupLimit`` before the shuffle) keeps the global top-k from ≤ k × blocks rows.
 * Few queries: ``vector_topk_queries`` sends the queries to the points, block by block.
@@ -104,6 +104,9 @@ def search_store(spark: SparkSession, store_root: str, question: str, embedder:
 # V1: batched exact top-k
 # ---------------------------------------------------------------------------------------------
 
+CELLS = 1 << 22                # scores held at once
+
+
 def _local_topk(k: int, exclude_self: bool, chunk: int = 1024):
     """Top-k of a block of queries against a block of points of the same vector length."""
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -123,9 +126,11 @@ def _local_topk(k: int, exclude_self: bool, chunk: int = 1024):
         qn = np.linalg.norm(Q, axis=1)
         Q, qid, qn = Q[qn > 0], q["query_id"].to_numpy()[qn > 0], qn[qn > 0]
         out = []
-        for s in range(0, len(Q) if len(C) else 0, chunk):
-            ids = qid[s:s + chunk]
-            S = (Q[s:s + chunk] / qn[s:s + chunk, None]) @ (C / cn[:, None]).T
+        step = max(1, min(chunk, CELLS // max(1, len(C))))
+        unit = C / cn[:, None]
+        for s in range(0, len(Q) if len(C) else 0, step):
+            ids = qid[s:s + step]
+            S = (Q[s:s + step] / qn[s:s + step, None]) @ unit.T
             if exclude_self:
                 S[ids[:, None] == cid[None, :]] = -np.inf
             kk = min(k, S.shape[1])
@@ -145,6 +150,20 @@ def _local_topk(k: int, exclude_self: bool, chunk: int = 1024):
     return fn
 
 
+GRID = 8                       # blocks a side while a block's vectors fit BLOCK_BYTES
+BLOCK_BYTES = 16 << 20
+
+
+def _blocks(side: DataFrame, emb: str, name: str, block_rows: int) -> DataFrame:
+    """(tenant_id, ``name``): blocks of each tenant's rows. Every row travels once for each block of the
+    other side, so blocks are ``block_rows`` only while a tenant has few; then GRID of them grow with the
+    tenant, and only those that would not fit BLOCK_BYTES become more."""
+    rows = F.count(F.lit(1))
+    fit = F.ceil(rows * F.max(F.size(emb)) * 8 / F.lit(BLOCK_BYTES))
+    return side.groupBy("tenant_id").agg(
+        F.greatest(F.least(F.ceil(rows / F.lit(block_rows)), F.greatest(fit, F.lit(GRID))), F.lit(1)).cast("int").alias(name))
+
+
 def _usable(emb: Column) -> Column:
     """Vectors that can be scored: not null, not empty, all components finite."""
     return emb.isNotNull() & (F.size(emb) > 0) & F.forall(emb, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -162,11 +181,8 @@ def vector_topk_batch(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     # ids keep the caller's types (stored points have text ids)
     local_schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
                                  T.StructField("id", corpus.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    qcount = queries.groupBy("tenant_id").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)), F.lit(1)).cast("int").alias("qblocks"))
-    ccount = corpus.groupBy("tenant_id").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)), F.lit(1)).cast("int").alias("cblocks"))
-    blocks = qcount.join(ccount, "tenant_id", "inner")  # one row per tenant
+    blocks = _blocks(queries, "q_embedding", "qblocks", block_rows).join(
+        _blocks(corpus, "embedding", "cblocks", block_rows), "tenant_id", "inner")  # one row per tenant
     qb = blocks.select(F.col("tenant_id").alias("tenant_id"), "qblocks", "cblocks")
     cb = blocks.select(F.col("tenant_id").alias("tenant_id"), "qblocks", "cblocks")
     q = (queries.join(qb, "tenant_id", "inner")
