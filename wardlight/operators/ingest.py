@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from wardlight.functions.dates import ts_literal
 from wardlight.operators.passages import PASSAGE_SCHEMA, build_passages
 from wardlight.operators.point_store import BUCKETS, MAX_DELTAS, PointStore, SmallTable
-from wardlight.session import checkpoint_root
+from wardlight.session import checkpoint_root, drop_scratch, scratch_path
 from wardlight.sources.mapping import EntityMapping
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -123,11 +123,15 @@ def hashing_embedder(dim: int = 64) -> Embedder:
     """Deterministic feature-hashing embedder (tests, benches, offline runs)."""
     def embed(texts: pd.Series) -> pd.Series:
         out = []
+        places: dict[str, tuple[int, float]] = {}        # a token is hashed once a batch
         for t in texts:
             v = [0.0] * dim
             for tok in _TOKEN.findall((t or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(tok.encode("utf-8"), digest_size=8).digest(), "little")
-                v[h % dim] += 1.0 if (h >> 63) & 1 else -1.0
+                place = places.get(tok)
+                if place is None:
+                    h = int.from_bytes(hashlib.blake2b(tok.encode("utf-8"), digest_size=8).digest(), "little")
+                    place = places[tok] = (h % dim, 1.0 if (h >> 63) & 1 else -1.0)
+                v[place[0]] += place[1]
             n = math.sqrt(sum(x * x for x in v))
             out.append([x / n for x in v] if n > 0 else v)
         return pd.Series(out)
@@ -226,6 +230,13 @@ def embed_passages(passages: DataFrame, embedders: Embedder | list[Embedder]
 # The batch job
 # ---------------------------------------------------------------------------------------------
 
+def _written(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
+    """Rows as a compressed table of their own, and its folder (a checkpoint's rows are not compressed)."""
+    path = scratch_path(spark, "ingest-rows")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), path
+
+
 def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFrame, EntityMapping]],
                            store_root: str, state_root: str, embedders: Embedder | list[Embedder],
                            *, tenant: str | None = None, tables: list[str] | None = None,
@@ -265,21 +276,24 @@ def run_incremental_ingest(spark: SparkSession, sources: dict[str, tuple[DataFra
     incoming = batches[0]
     for b in batches[1:]:
         incoming = incoming.unionByName(b)
-    incoming = newest_per_id(incoming)
+    # read twice below, by the embedder and by the join with its vectors: passages are built once
+    incoming, built = _written(spark, newest_per_id(incoming))
     # A4: counters observed on the one pass that embeds (no second pass to count)
     obs = Observation("ingest")
     embedded = embed_all(incoming, embedders, cache=vector_cache(spark, cache_root) if cache_root else None,
                          parallelism=embed_parallelism).observe(
         obs, F.count(F.lit(1)).alias("rows"),
         F.sum(F.when(F.col("error").isNull(), 1).otherwise(0)).alias("processed"))
-    # cut lineage once: the embedded batch feeds the store, the quarantine and the state, and
+    # written once: the embedded batch feeds the store, the quarantine and the state, and
     # the (expensive, external) embedder must run exactly once
-    embedded = embedded.checkpoint(eager=True)
+    embedded, vectors = _written(spark, embedded)
     counters = obs.get
     points, quarantine = split_embedded(embedded)
     if held is not None:
         quarantine = quarantine.unionByName(held)
-    version = store.merge(points, failed=quarantine, retried=retried)
+    version = store.merge(points, failed=quarantine, retried=retried, unique=True)      # incoming holds an id once
     marks.update(lambda old: high_water(points, old))
+    for path in (built, vectors):
+        drop_scratch(spark, path)
     rows, processed = int(counters.get("rows") or 0), int(counters.get("processed") or 0)
     return {"processed": processed, "failed": rows - processed, "store": store_root, "version": version}

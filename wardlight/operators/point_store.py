@@ -173,22 +173,28 @@ class PointStore:
         return runs, self.spark.read.schema(_schema(now, "failed_schema")).parquet(*[f"{self.root}/data/{r}" for r in runs])
 
     # ---- writing --------------------------------------------------------------------------
-    def _write(self, rows: DataFrame) -> tuple[str, list[str]]:
-        """Rows with a ``bucket`` as a new run: its name and the buckets it has files of."""
-        run = uuid.uuid4().hex
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{run}")
+    def _write(self, rows: DataFrame, hashed: str, buckets: int, unique: bool = False) -> tuple[str, list[str]]:
+        """The newest of ``rows`` as a new run: its name and the buckets it has files of. ``newest`` groups by
+        id, which leaves a task the ids of a few buckets, so they are written without another exchange;
+        ``unique`` rows are written from where they are."""
+        run, by = uuid.uuid4().hex, F.hash(self.id_col) if hashed == "hash" else F.xxhash64(self.id_col)
+        newest = (rows if unique else self.newest(rows)).withColumn("bucket", F.pmod(by, F.lit(buckets)).cast("int"))
+        if hashed != "hash":                         # a store made when buckets went by another hash
+            newest = newest.repartition("bucket")
+        newest.write.partitionBy("bucket").parquet(f"{self.root}/data/{run}")
         return run, [n.split("=", 1)[1] for n in self.manifests.files.names(f"data/{run}") if n.startswith("bucket=")]
 
     def merge(self, rows: DataFrame, failed: DataFrame | None = None, retried: list[str] | None = None,
-              stream: tuple[str, int] | None = None) -> int:
+              stream: tuple[str, int] | None = None, unique: bool = False) -> int:
         """Add versions of rows; returns the store's version. ``failed`` is quarantined in place of the
-        runs ``retried``. A stream's epoch (``stream``) that was merged before changes nothing."""
+        runs ``retried``. A stream's epoch (``stream``) that was merged before changes nothing. ``unique``:
+        the caller knows that no id repeats in ``rows``."""
         now = self.manifests.current()
         if stream and now and now["streams"].get(stream[0], -1) >= stream[1]:
             return now["version"]
         buckets = now["buckets"] if now else self.buckets
-        numbered = self.newest(rows).withColumn("bucket", F.pmod(F.xxhash64(self.id_col), F.lit(buckets)).cast("int"))
-        run, touched = self._write(numbered)
+        hashed = now.get("hashed", "xxhash64") if now else "hash"
+        run, touched = self._write(rows, hashed, buckets, unique)
         bad, bad_schema = None, None
         if failed is not None:
             bad = uuid.uuid4().hex
@@ -198,11 +204,11 @@ class PointStore:
                 bad = None
 
         def change(now: dict | None) -> dict | None:
-            now = now or {"buckets": buckets, "schema": None, "entries": {}, "quarantine": [], "failed_schema": None, "streams": {}}
+            now = now or {"buckets": buckets, "hashed": hashed, "schema": None, "entries": {}, "quarantine": [], "failed_schema": None, "streams": {}}
             if stream and now["streams"].get(stream[0], -1) >= stream[1]:
                 return None
-            if now["buckets"] != buckets:            # the store was made by another writer meanwhile
-                raise ValueError(f"{self.root} has {now['buckets']} buckets, not {buckets}")
+            if now["buckets"] != buckets or now.get("hashed", "xxhash64") != hashed:      # made by another writer meanwhile
+                raise ValueError(f"{self.root} has {now['buckets']} buckets, not {buckets}, or goes by another hash")
             schema = _wider(_schema(now) if now["schema"] else None, rows.schema)
             entries = {b: list(runs) for b, runs in now["entries"].items()}
             for b in touched:
@@ -210,14 +216,13 @@ class PointStore:
             full = {b: entries[b] for b in touched if len(entries[b]) > self.max_deltas}
             if full:
                 whole = self._rows(full, schema)
-                compacted, _ = self._write(self.newest(whole.drop("bucket")).withColumn(
-                    "bucket", F.pmod(F.xxhash64(self.id_col), F.lit(buckets)).cast("int")))
+                compacted, _ = self._write(whole.drop("bucket"), hashed, buckets)
                 entries.update({b: [compacted] for b in full})
             waiting = [r for r in now["quarantine"] if r not in (retried or [])] + ([bad] if bad else [])
             last = {**now["streams"], **({stream[0]: stream[1]} if stream else {})}
             kept = _schema(now, "failed_schema") if now["failed_schema"] else None
             kept = _wider(kept, bad_schema) if bad_schema is not None else kept
-            return {"buckets": buckets, "schema": schema.jsonValue(), "entries": entries, "quarantine": waiting,
+            return {"buckets": buckets, "hashed": hashed, "schema": schema.jsonValue(), "entries": entries, "quarantine": waiting,
                     "failed_schema": kept.jsonValue() if kept else None, "streams": last}
 
         return self.manifests.commit(change)
