@@ -13,6 +13,10 @@ questions there are.
 
 Per signature the smallest ids are kept, as many as its longest list asks for, by a rank that Spark
 cuts before the exchange. Questions join their signature at the end.
+
+The plan has dozens of joins. What grows with questions, people or rows is joined by sorting (``_by_merge``):
+sides that are each just small enough to broadcast would be in the driver's memory all at once. Names
+are matched once and kept in a checkpoint, as every target joins them.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from wardlight.functions.text import full_name
 from wardlight.operators.entity_query import STARTS_WITH, department_ids, has_tenant, with_tenant
 from wardlight.operators.name_match import containing
 from wardlight.plans.intent import DEFAULT_LIMIT, DEFAULT_TARGET
+from wardlight.session import checkpoint_root
 from wardlight.sources.mapping import EntityMapping
 from wardlight.sources.tables import STATUS_CODES
 
@@ -41,6 +46,11 @@ def _given(name: str) -> Column:
     return c.isNotNull() if name == "minExperience" else F.coalesce(c != "", F.lit(False))
 
 
+def _by_merge(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast, as it grows with the input."""
+    return df.hint("merge")
+
+
 def _slot(ts: Column) -> Column:
     """Two numbers a day: its instants up to 23:59:59.999, which end a date range, and those after."""
     day = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
@@ -137,16 +147,16 @@ def _named(signatures: DataFrame, t: _Target, doctors: DataFrame | None, patient
 
     same = F.col("want.tenant") == F.col("tenant")
     if t.patient:
-        own = signatures.where("want.patient is not null").join(patients, F.col("want.patient") == F.col("p_needle")) \
+        own = signatures.where("want.patient is not null").join(_by_merge(patients), F.col("want.patient") == F.col("p_needle")) \
             .where(~F.col("want.prefix") | F.col("p_name").startswith(F.col("want.patient")))
-        found = own.join(rows, (F.col("p_id") == F.col("patient")) & same)
+        found = own.join(_by_merge(rows), (F.col("p_id") == F.col("patient")) & same)
         if t.doctor:
-            found = found.join(doctors, (F.col("want.doctor") == F.col("d_needle")) & (F.col("doctor") == F.col("d_id")), "left") \
+            found = found.join(_by_merge(doctors), (F.col("want.doctor") == F.col("d_needle")) & (F.col("doctor") == F.col("d_id")), "left") \
                 .where("want.doctor is null or d_id is not null")
         out.append(checked(found).select("sig", "id"))
     if t.doctor:
-        own = signatures.where("want.patient is null and want.doctor is not null").join(doctors, F.col("want.doctor") == F.col("d_needle"))
-        out.append(checked(own.join(rows, (F.col("d_id") == F.col("doctor")) & same)).select("sig", "id"))
+        own = signatures.where("want.patient is null and want.doctor is not null").join(_by_merge(doctors), F.col("want.doctor") == F.col("d_needle"))
+        out.append(checked(own.join(_by_merge(rows), (F.col("d_id") == F.col("doctor")) & same)).select("sig", "id"))
     if not out:
         return rows.select(F.lit("").alias("sig"), "id").limit(0)
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
@@ -205,8 +215,9 @@ def _names(tables: Mapping[str, DataFrame], mappings: dict[str, EntityMapping],
     m = mappings[entity]
     people = tables[entity].select(F.lit("").alias("scope"), F.col(m.physical("id")).cast("string").alias(f"{p}_id"),
                                    F.lower(full_name(F.col(m.physical("firstName")), F.col(m.physical("lastName")))).alias("name"))
+    checkpoint_root(needles.sparkSession)
     return containing(needles.select(F.lit("").alias("scope"), "needle"), people).select(
-        F.col("needle").alias(f"{p}_needle"), f"{p}_id", F.col("name").alias(f"{p}_name"))
+        F.col("needle").alias(f"{p}_needle"), f"{p}_id", F.col("name").alias(f"{p}_name")).checkpoint()
 
 
 def answer_questions(tables: Mapping[str, DataFrame], mappings: dict[str, EntityMapping], questions: DataFrame,
@@ -245,11 +256,11 @@ def answer_questions(tables: Mapping[str, DataFrame], mappings: dict[str, Entity
         named = _named(signatures, t, doctors, patients, known)
         counts, ids = _unnamed(signatures, t, known, most)
         counts = counts.unionByName(named.groupBy("sig").agg(F.count("*").alias("n")))
-        ranked = (ids.unionByName(named).join(signatures.where("top > 0").select("sig", "top"), "sig")
+        ranked = (ids.unionByName(named).join(_by_merge(signatures.where("top > 0").select("sig", "top")), "sig")
                   .withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("id"))).where("r <= top"))
         lists = ranked.groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col("id").cast("string").alias("id")))),
                                                       lambda x: x["id"]).alias("ids"))
-        found = wanted.join(counts, "sig", "left").join(lists, "sig", "left")
+        found = wanted.join(_by_merge(counts), "sig", "left").join(_by_merge(lists), "sig", "left")
         ids = F.slice(F.coalesce("ids", F.array().cast("array<string>")), F.lit(1), F.col("limit").cast("int"))
         found = found.withColumn("record_ids", F.when(F.col("error").isNull() & ~F.col("counted"), ids))
         count = F.when(F.col("counted"), F.coalesce("n", F.lit(0))).otherwise(F.size("record_ids"))
@@ -273,5 +284,5 @@ def answer_records(tables: Mapping[str, DataFrame], mappings: dict[str, EntityMa
     """question_id, rank and the whole row of every listed record of one entity."""
     key = F.col(mappings[target].physical("id"))
     listed = answers.where(F.col("target") == target).select("question_id", F.posexplode("record_ids").alias("_at", "_id"))
-    return (listed.join(tables[target], F.col("_id") == key.cast("string"))
+    return (listed.join(_by_merge(tables[target]), F.col("_id") == key.cast("string"))
             .select("question_id", (F.col("_at") + 1).cast("int").alias("rank"), *tables[target].columns))

@@ -40,5 +40,6 @@ def containing(needles: DataFrame, names: DataFrame) -> DataFrame:
             .groupBy(F.col("scope").alias("s"), "needle")
             .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
             .where("n > 0").drop("n"))
-    return (grams.join(rare, (F.col("scope") == F.col("s")) & (F.col("gram") == F.col("g")))
+    # needles grow with the input, grams hardly: only the latter may be broadcast
+    return (grams.join(rare.hint("merge"), (F.col("scope") == F.col("s")) & (F.col("gram") == F.col("g")))
             .where(F.contains("name", "needle")).drop("s", "g", "gram"))
