@@ -50,7 +50,8 @@ def first_source(candidates: list[tuple[str, DataFrame | None]], key: str,
     Absent tables (``None``) are skipped; a single existing candidate is returned as is.
     ``method="aggregate"``: the winning priority per key is a partial aggregate (``min``) joined
     back with a semi join on ``(key, priority)`` — a hot key is combined map-side and the join
-    can be split by AQE, at the price of reading the candidates twice.
+    can be split by AQE, at the price of reading the candidates twice. The winners, one narrow row
+    per key, are hashed: sorting the candidates would hold a partition's whole rows in a task.
     ``method="window"``: ``min(priority) over (partition by key)`` — one pass and one exchange,
     whose partitioning later per-key steps (joins, numbering) reuse.
     """
@@ -71,7 +72,7 @@ def first_source(candidates: list[tuple[str, DataFrame | None]], key: str,
         return u.withColumn("_best", F.min("_prio").over(w)).where(F.col("_prio") == F.col("_best")) \
             .drop("_prio", "_best")
     best = u.groupBy(key).agg(F.min("_prio").alias("_best"))
-    best = best.select(F.col(key).alias("_bk"), "_best")
+    best = best.select(F.col(key).alias("_bk"), "_best").hint("shuffle_hash")
     out = u.join(best, (F.col(key) == F.col("_bk")) & (F.col("_prio") == F.col("_best")), "left_semi")
     return out.drop("_prio")
 
