@@ -21,17 +21,23 @@ from pyspark.sql import functions as F
 
 
 HOT_GROUP_ROWS = 2_000_000
+# Rows that one task sorts when the number of all rows is known.
+TASK_ROWS = 1_000_000
 
 
 def number_within(df: DataFrame, key: str, order_cols: list[str], out: str = "n",
-                  hot_group_rows: int | None = HOT_GROUP_ROWS, biggest: int | None = None) -> DataFrame:
+                  hot_group_rows: int | None = HOT_GROUP_ROWS, biggest: int | None = None, rows: int = 0) -> DataFrame:
     """Skew-adaptive numbering: one partial aggregate finds the largest group (or pass it as
     ``biggest``); if it exceeds ``hot_group_rows`` the range-based form runs, else the
-    one-shuffle window form. ``hot_group_rows=None`` always uses the range form."""
+    one-shuffle window form. ``hot_group_rows=None`` always uses the range form. ``rows``: about how many
+    rows there are; the window form then has a task for every ``TASK_ROWS`` of them, if that is more than
+    the session's shuffle partitions."""
     if hot_group_rows is not None:
         if biggest is None:
             biggest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
         if biggest <= hot_group_rows:
+            if rows > TASK_ROWS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+                df = df.repartition(-(-rows // TASK_ROWS), key)
             return number_within_window(df, key, order_cols, out)
     return number_within_range(df, key, order_cols, out)
 

@@ -153,8 +153,8 @@ def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, d
 
     # item lines: items are the left (streamed, AQE-splittable) side of the join, and numbering
     # never puts a whole prescription into one task when one is hot
-    biggest = h.agg(F.max("_n_items")).first()[0] or 0
-    numbered = number_within(items, "prescription_id", list(order_cols), "_n", hot_group_rows, biggest)
+    biggest, rows = h.agg(F.max("_n_items"), F.sum("_n_items")).first()
+    numbered = number_within(items, "prescription_id", list(order_cols), "_n", hot_group_rows, biggest or 0, rows or 0)
     hk = h.where(~no_items).select(F.col("id").alias("_hid"), F.col("tenant_id").alias("_htenant"))
     it = numbered.join(hk, F.col("prescription_id") == F.col("_hid"), "inner")
     name = _pick(it, MED_NAME_COLUMNS, MEDICINE_DEFAULT)
