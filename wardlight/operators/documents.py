@@ -96,9 +96,11 @@ def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, d
                                 items: DataFrame, *, heading: str = DEFAULT_HEADING,
                                 footer: str = DEFAULT_FOOTER, order_cols: tuple[str, ...] = ("line_no",),
                                 hot_group_rows: int | None = HOT_GROUP_ROWS,
-                                materialize: bool = True) -> DataFrame:
+                                materialize: bool = True,
+                                deal: Callable[[DataFrame, str], DataFrame] = lambda rows, tenant: rows) -> DataFrame:
     """P1 as lines. ``items`` already holds the winning candidate rows (see ``first_source``);
-    ``order_cols`` must order a prescription's items uniquely."""
+    ``order_cols`` must order a prescription's items uniquely. ``deal`` may exchange the headers and the
+    items, given the name of their tenant column, before their lines are made."""
     p = patients.select(F.col("id").alias("_pid"), F.col("first_name").alias("patient_first_name"),
                         F.col("last_name").alias("patient_last_name"), F.col("gender").alias("patient_gender"),
                         F.col("dob").alias("patient_dob"))
@@ -147,7 +149,7 @@ def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, d
         h = h.checkpoint(eager=True)
     no_items = F.col("_n_items").isNull()
     header_lines.append(_line(5, 0, 0, F.lit(NO_ITEMS), no_items))
-    keys = h.select(F.col("id").alias("prescription_id"), "tenant_id",
+    keys = deal(h, "tenant_id").select(F.col("id").alias("prescription_id"), "tenant_id",
                     F.filter(F.array(*header_lines), lambda x: x.isNotNull()).alias("_lines"))
     head = keys.select("prescription_id", "tenant_id", F.explode("_lines").alias("l"))
 
@@ -156,7 +158,7 @@ def prescription_document_lines(prescriptions: DataFrame, patients: DataFrame, d
     biggest, rows = h.agg(F.max("_n_items"), F.sum("_n_items")).first()
     numbered = number_within(items, "prescription_id", list(order_cols), "_n", hot_group_rows, biggest or 0, rows or 0)
     hk = h.where(~no_items).select(F.col("id").alias("_hid"), F.col("tenant_id").alias("_htenant"))
-    it = numbered.join(hk, F.col("prescription_id") == F.col("_hid"), "inner")
+    it = deal(numbered.join(hk, F.col("prescription_id") == F.col("_hid"), "inner"), "_htenant")
     name = _pick(it, MED_NAME_COLUMNS, MEDICINE_DEFAULT)
     dosage = _pick(it, DOSAGE_COLUMNS, DOSAGE_DEFAULT)
     duration = _pick(it, ("duration",), NOT_AVAILABLE)
@@ -206,11 +208,17 @@ def document_bodies(lines: DataFrame) -> DataFrame:
                       F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("body"))
 
 
-def write_documents(lines: DataFrame, path: str) -> None:
+def deal_by_tenant(rows: DataFrame, tenant: str = "tenant_id") -> DataFrame:
+    """Rows rebalanced by tenant: AQE joins small tenants into one task and splits a tenant with a third
+    of all rows into many, so the number of files follows the bytes, not tasks times tenants."""
+    return rows.hint("rebalance", tenant)
+
+
+def write_documents(lines: DataFrame, path: str, dealt: bool = False) -> None:
     """One folder per tenant, rows sorted by (document, layout) inside each file.
 
-    Lines are rebalanced by tenant: AQE joins small tenants into one task and splits a tenant with a
-    third of all lines into many, so the number of files follows the bytes, not tasks times tenants (a
-    huge document may span files; readers order by ``prescription_id, section, item_no, sub``)."""
-    (lines.hint("rebalance", "tenant_id").sortWithinPartitions("tenant_id", "prescription_id", "section", "item_no", "sub")
+    Lines are dealt by tenant (a huge document may span files; readers order by ``prescription_id, section,
+    item_no, sub``). ``dealt``: they were made of headers and items that were dealt so, which is a
+    fraction of the bytes of the lines."""
+    ((lines if dealt else deal_by_tenant(lines)).sortWithinPartitions("tenant_id", "prescription_id", "section", "item_no", "sub")
      .write.mode("overwrite").partitionBy("tenant_id").parquet(path))

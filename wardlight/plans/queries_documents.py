@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.operators.documents import documents_for_selection, first_source, prescription_document_lines, write_documents
+from wardlight.operators.documents import deal_by_tenant, documents_for_selection, first_source, prescription_document_lines, write_documents
 from wardlight.operators.entity_query import entity_query
 from wardlight.plans.intent import Intent
 from wardlight.plans.registry import AS_OF
@@ -78,20 +78,24 @@ SELECT tenant_id, pid AS prescription_id, 'prescriptions/' || tenant_id || '/' |
        section, item_no, sub, line FROM lines"""
 
 
-@register("prescription_documents", _DOC_SQL)
-def q_prescription_documents(spark, sf_dir):
+def _documents(spark, sf_dir, **kw):
     cat = Catalog(spark, sf_dir)
     headers = first_source([(t, cat.prescriptions() if t == "prescriptions" else None)
                             for t in HEADER_CANDIDATES], "id")
     return prescription_document_lines(headers, cat.patients(), cat.doctors(), _first_items(cat),
-                                       order_cols=("line_no", "part_id", "supplier_id", "price"))
+                                       order_cols=("line_no", "part_id", "supplier_id", "price"), **kw)
+
+
+@register("prescription_documents", _DOC_SQL)
+def q_prescription_documents(spark, sf_dir):
+    return _documents(spark, sf_dir)
 
 
 @register("documents_sink", _DOC_SQL)
 def q_documents_sink(spark, sf_dir):
     """The lines of all documents, written to a folder per tenant and read back."""
     path = scratch_path(spark, "documents")
-    write_documents(q_prescription_documents(spark, sf_dir), path)
+    write_documents(_documents(spark, sf_dir, deal=deal_by_tenant), path, dealt=True)
     return read_by_tenant(spark, path)
 
 
